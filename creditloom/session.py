@@ -17,8 +17,8 @@ def build_session(cores: str = "*", partitions: int = 8, app: str = "creditloom"
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
-        .config("spark.sql.codegen.maxFields", "400")
         .getOrCreate()
     )
 
