@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from creditloom.oracle.text import OFFSET
+from creditloom.oracle.text import grid
 from creditloom.sources.mapped import mapped_table
 from creditloom.sources.schemas import TABLES
 
@@ -24,25 +23,16 @@ class Inputs:
         return {name: self[name] for name in TABLES}
 
 
-def on_grid(value: Column) -> Column:
-    """A double moved to a grid of about seven digits; see ``oracle.text.settled``."""
-    x = value.cast("double")
-    size = F.abs(x)
-
-    def floored(scale: float) -> Column:
-        return F.floor(x * scale + OFFSET).cast("double") / scale
-
-    return (
-        F.when(size < 100, floored(1e6)).when(size < 1e5, floored(1e3)).otherwise(floored(1.0))
-    )
-
-
 def published(df: DataFrame, *keys: str) -> DataFrame:
-    """The form in which a result is compared: ``keys`` exact, all else on the grid."""
-    def form(field: T.StructField) -> Column:
-        c = F.col(f"`{field.name}`")
+    """The form in which a result is compared: ``keys`` exact, all else on the grid.
+
+    Written as SQL text: one expression string per column is parsed in the JVM,
+    where a chain of Column calls would cross into it dozens of times.
+    """
+    def form(field: T.StructField) -> str:
+        c = f"`{field.name}`"
         if field.name not in keys:
-            return on_grid(c).alias(field.name)
-        return c.cast("long").alias(field.name) if isinstance(field.dataType, T.IntegralType) else c
+            return f"{grid(f'cast({c} as double)')} AS {c}"
+        return f"cast({c} as bigint) AS {c}" if isinstance(field.dataType, T.IntegralType) else c
 
-    return df.select([form(f) for f in df.schema])
+    return df.selectExpr(*map(form, df.schema))
