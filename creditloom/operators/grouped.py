@@ -76,7 +76,7 @@ def rows_per_key(df: DataFrame, key: str) -> DataFrame:
     n, s = F.sum("times"), F.sum(F.col("size") * F.col("times"))
     squares = F.sum((F.col("size") * F.col("size") * F.col("times")).cast("double"))
     variance = F.try_divide(squares - s.cast("double") * s / n, n - 1)
-    quart = {q: F.percentile("size", p, "times") for q, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))}
+    quart = {q: F.percentile("size", p, F.col("times")) for q, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))}
     return often.agg(
         n.alias("keys"),
         (s / n).alias("mean"),

@@ -36,3 +36,18 @@ def published(df: DataFrame, *keys: str) -> DataFrame:
         return f"cast({c} as bigint) AS {c}" if isinstance(field.dataType, T.IntegralType) else c
 
     return df.selectExpr(*map(form, df.schema))
+
+
+#: Score columns that stand for the out-of-fold predictions of four models.
+SCORES = {
+    "score_a": "1e0 - coalesce(EXT_SOURCE_2, 0.5e0)",
+    "score_b": "coalesce(EXT_SOURCE_3, 0.5e0)",
+    "score_c": "coalesce(EXT_SOURCE_1, 0.5e0)",
+    "score_d": "(SK_ID_CURR * 7919 % 1000) / 1e3",
+}
+
+
+def with_scores(applicants: DataFrame) -> DataFrame:
+    """Key, label and four scores in 0..1 derived from the applicant row."""
+    texts = (f"{expr} AS {name}" for name, expr in SCORES.items())
+    return applicants.selectExpr("SK_ID_CURR", "TARGET", *texts)

@@ -137,6 +137,7 @@ def write_parquet(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
+    """CSV with a header; an empty text reads back as null."""
     mode = "append" if append else "overwrite"
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
