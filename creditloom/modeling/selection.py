@@ -8,23 +8,31 @@ from pyspark.sql import functions as F
 from creditloom.sources.schemas import LABEL
 
 
-def correlation_importance(df: DataFrame, columns: list[str], label: str = LABEL) -> DataFrame:
+def correlation_importance(
+    df: DataFrame, columns: list[str], label: str = LABEL, by: list[str] | None = None
+) -> DataFrame:
     """Absolute correlation of each column with the label: a model-free importance.
 
-    All columns are aggregated in one pass over the rows.  A constant column has
-    none and gets zero.
+    Rows are laid out as ``(column, value, label)`` and aggregated by column, with
+    partial results combined in the map tasks.  Hundreds of correlations side by
+    side would need an aggregation buffer of thousands of fields.  A constant
+    column has no correlation and gets zero.  ``by`` adds grouping columns.
     """
-    def cell(c: str) -> Column:
-        x, y = F.col(c).cast("double"), F.col(label).cast("double")
-        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-        # corr() raises on a constant column in ANSI mode
-        r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-        return F.struct(
-            F.lit(c).alias("feature"),
-            F.coalesce(F.nanvl(F.abs(r), F.lit(0.0)), F.lit(0.0)).alias("importance"),
+    by = by or []
+    y = F.col(label).cast("double")
+    cells = F.array(
+        *(
+            F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("_x"))
+            for c in columns
         )
-
-    return df.agg(F.array(*map(cell, columns)).alias("_cells")).select(F.inline("_cells"))
+    )
+    long = df.select(*by, y.alias("_y"), F.inline(cells))
+    both = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    x, y = F.when(both, F.col("_x")), F.when(both, F.col("_y"))
+    # corr() raises on a constant column in ANSI mode
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    size = F.coalesce(F.nanvl(F.abs(r), F.lit(0.0)), F.lit(0.0))
+    return long.groupBy(*by, "feature").agg(size.alias("importance"))
 
 
 def mean_importance(per_model: DataFrame) -> DataFrame:

@@ -9,62 +9,46 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def column_summary(df: DataFrame) -> DataFrame:
-    """Rows, nulls, minimum, maximum and mean per column; one pass, one row each.
-
-    Numbers are reported for numeric columns only.
+def column_profile(df: DataFrame) -> DataFrame:
+    """One row per column: type, rows, nulls, distinct values (null is one), min, max, mean.
+
+    The table is laid out as ``(column, value)`` and counted by it, in one pass.
+    From the counted values everything follows, exact distinct counts included: a
+    wide ``count(DISTINCT)`` would copy every row once per column, and here no
+    column's values have to meet in one task.  Numbers are reported for numeric
+    columns only.
     """
-    def parts(field: T.StructField) -> Column:
-        c = F.col(field.name)
-        numeric = isinstance(field.dataType, T.NumericType)
-        nothing = F.lit(None).cast("double")
+    def cell(field: T.StructField) -> Column:
+        c = F.col(f"`{field.name}`")
+        number = isinstance(field.dataType, T.NumericType)
+        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+            c = c + F.lit(0.0)  # one zero
         return F.struct(
             F.lit(field.name).alias("column"),
             F.lit(field.dataType.simpleString()).alias("dtype"),
-            F.count(F.lit(1)).alias("n_rows"),
-            F.count_if(c.isNull()).alias("n_null"),
-            (F.min(c).cast("double") if numeric else nothing).alias("min"),
-            (F.max(c).cast("double") if numeric else nothing).alias("max"),
-            (F.avg(c) if numeric else nothing).alias("mean"),
+            c.cast("string").alias("value"),
+            (c.cast("double") if number else F.lit(None).cast("double")).alias("number"),
         )
 
-    return df.agg(F.array(*map(parts, df.schema)).alias("_columns")).select(F.inline("_columns"))
-
-
-def distinct_values(df: DataFrame) -> DataFrame:
-    """Exact distinct count per column, null counting as a value.
-
-    Values are laid out as ``(column, value)`` and deduplicated there: a wide
-    ``count(DISTINCT)`` would copy every row once per column, and a single
-    column's values never have to meet in one task.
-    """
-    cells = F.array(
-        *(
-            F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
-            for c in df.columns
-        )
+    cells = df.select(F.inline(F.array(*map(cell, df.schema))))
+    values = cells.groupBy("column", "dtype", "value", "number").agg(F.count(F.lit(1)).alias("n"))
+    known = F.sum(F.when(F.col("number").isNotNull(), F.col("n")))
+    return values.groupBy("column", "dtype").agg(
+        F.sum("n").alias("n_rows"),
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_null"),
+        F.count(F.lit(1)).alias("n_unique"),
+        F.min("number").alias("min"),
+        F.max("number").alias("max"),
+        F.try_divide(F.sum(F.col("number") * F.col("n")), known).alias("mean"),
     )
-    seen = df.select(F.inline(cells)).distinct()
-    return seen.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
 
 
 def profile_table(df: DataFrame, name: str) -> DataFrame:
-    """One row per column: type, share of nulls, distinct values, extremes, mean."""
-    share = F.when(F.col("n_rows") > 0, F.col("n_null") / F.col("n_rows") * 100).otherwise(0.0)
-    return (
-        column_summary(df)
-        .join(F.broadcast(distinct_values(df)), "column", "left")  # one row per column
-        .select(
-            F.lit(name).alias("table"),
-            "column",
-            "dtype",
-            "n_rows",
-            share.alias("null_pct"),
-            F.coalesce("n_unique", F.lit(0)).alias("n_unique"),
-            "min",
-            "max",
-            "mean",
-        )
+    """The column profile of a named table, with nulls as a percentage."""
+    share = (F.col("n_null") / F.col("n_rows") * 100).alias("null_pct")
+    return column_profile(df).select(
+        F.lit(name).alias("table"), "column", "dtype", "n_rows", share, "n_unique",
+        "min", "max", "mean",
     )
 
 

@@ -116,13 +116,8 @@ def _feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean over the folds of the importance within each fold."""
     app = stratified_folds(application_features(_train(spark, sf_dir)))
     columns = [c for c in numeric_feature_columns(app) if c.startswith("APP_")]
-    per_fold = [
-        sel.correlation_importance(app.where(F.col("fold") == k), columns) for k in range(5)
-    ]
-    stacked = per_fold[0]
-    for part in per_fold[1:]:
-        stacked = stacked.unionByName(part)
-    return published(sel.mean_importance(stacked), "feature")
+    per_fold = sel.correlation_importance(app, columns, by=["fold"])
+    return published(sel.mean_importance(per_fold), "feature")
 
 
 def _prune(spark: SparkSession, sf_dir: str) -> DataFrame:

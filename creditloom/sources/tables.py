@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creditloom.operators.profiling import column_summary, distinct_values
+from creditloom.operators.profiling import column_profile
 from creditloom.sources.schemas import TABLES, column_type
 
 
@@ -90,7 +90,6 @@ def type_report(df: DataFrame) -> DataFrame:
     ``narrow_type`` is the chosen type; text whose distinct count is below half
     of the rows is reported as ``dictionary`` (parquet encodes it that way).
     """
-    summary = column_summary(df).join(distinct_values(df), "column", "left")
     fits = F.col("dtype")
     for kind, least, most in reversed(_INTEGER_RANGES):
         inside = (F.col("min") >= least) & (F.col("max") <= most)
@@ -105,7 +104,7 @@ def type_report(df: DataFrame) -> DataFrame:
         )
         .otherwise(F.col("dtype"))
     )
-    return summary.select("column", choice.alias("narrow_type"), "min", "max", "n_unique")
+    return column_profile(df).select("column", choice.alias("narrow_type"), "min", "max", "n_unique")
 
 
 # --- cached builds and sinks ------------------------------------------------
