@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 VECTOR = "features"
 
@@ -15,26 +14,28 @@ def column_fills(df: DataFrame, columns: list[str], median: bool = False) -> dic
     For trees a value below the column's minimum, so that "unknown" is its own
     branch; for linear models the (approximate) median.
     """
-    def fill(c: str):
-        value = F.col(c).cast("double")
+    statistic = "percentile_approx(cast(`{c}` as double), 0.5)" if median else "min(`{c}`)"
+    row = df.selectExpr(
+        *(f"cast({statistic.format(c=c)} as double) AS `{c}`" for c in columns)
+    ).first()  # one number per column
+
+    def fill(value: float | None) -> float:
         if median:
-            return F.coalesce(F.percentile_approx(value, 0.5), F.lit(0.0))
-        low = F.min(value)
-        return F.coalesce(low - 1.0 - F.abs(low) * 0.1, F.lit(-1.0))
+            return 0.0 if value is None else value
+        return -1.0 if value is None else value - 1.0 - abs(value) * 0.1
 
-    row = df.agg(*(fill(c).alias(c) for c in columns)).first()  # one number per column
-    return row.asDict()
+    return {c: fill(row[c]) for c in columns}
 
 
 def assembled(df: DataFrame, columns: list[str], fills: dict[str, float]) -> DataFrame:
     """Add the vector column; single precision, as the models use it."""
     kept = [c for c in df.columns if c not in columns]
-    values = (
-        F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(fills[c]))
-        .cast("float").cast("double").alias(c)
+    values = (  # as SQL text: one call per column instead of a chain of them
+        f"cast(cast(coalesce(nanvl(cast(`{c}` as double), null), {fills[c]!r}D) as float) as double)"
+        f" AS `{c}`"
         for c in columns
     )
     vectors = VectorAssembler(inputCols=columns, outputCol=VECTOR).transform(
-        df.select(*kept, *values)
+        df.selectExpr(*(f"`{c}`" for c in kept), *values)
     )
     return vectors.select(*kept, VECTOR)

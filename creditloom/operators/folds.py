@@ -114,13 +114,17 @@ def encode_folds(
     df: DataFrame, columns: list[str] | None = None, label: str = LABEL
 ) -> DataFrame:
     """Add ``TE_<column>`` to each row, from the rows outside its own fold."""
-    return _encode(df, fold_encodings(df, columns or present_encoded(df), label), columns, True)
+    encodings = materialised(fold_encodings(df, columns or present_encoded(df), label))
+    return _encode(df, encodings, columns, True)
 
 
 def encode_for_model(
     df: DataFrame, encodings: DataFrame, fold: int, columns: list[str]
 ) -> DataFrame:
-    """``TE_<column>`` as model ``fold`` sees it, for training and held-out rows alike."""
+    """``TE_<column>`` as model ``fold`` sees it, for training and held-out rows alike.
+
+    ``encodings`` should be materialised: every fold and column reads it.
+    """
     return _encode(df, encodings.where(F.col("fold") == fold).drop("fold"), columns, False)
 
 
@@ -137,7 +141,7 @@ def encode_full(
         _smoothed(F.col("cat_sum"), F.col("cat_count"), overall).alias("value"),
         overall.alias("overall"),
     )
-    return _encode(rows, encodings, columns, False)
+    return _encode(rows, materialised(encodings), columns, False)
 
 
 def _encode(
@@ -146,7 +150,6 @@ def _encode(
     """Left join each column's encodings; unseen and null categories get the overall mean."""
     columns = columns or present_encoded(df)
     by = ["fold"] if by_fold else []
-    encodings = materialised(encodings)  # one row per category, read once per column
     small = is_small(encodings)
     overall = encodings.groupBy(*by).agg(F.max("overall").alias("_overall"))
     if by_fold:
