@@ -6,7 +6,6 @@ import math
 import random
 import statistics
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Model
@@ -14,7 +13,6 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.util import inheritable_thread_target
 
 from creditloom.modeling.logs import append_run
 from creditloom.modeling.matrix import VECTOR, assembled, column_fills
@@ -24,7 +22,7 @@ from creditloom.operators.folds import (
 )
 from creditloom.operators.metrics import auc_exact
 from creditloom.plans.feature_table import feature_columns, numeric_feature_columns
-from creditloom.session import materialised, scratch_dir
+from creditloom.session import in_threads, materialised, scratch_dir
 from creditloom.sources.schemas import APPLICANT, LABEL
 
 HELD = "held_out"
@@ -93,12 +91,6 @@ class CvResult:
         return statistics.pstdev(self.fold_auc)
 
 
-def in_threads(tasks: list[Callable], width: int) -> list:
-    """Run driver-side calls, each starting its own Spark jobs, ``width`` at a time."""
-    with ThreadPoolExecutor(max_workers=max(1, width)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(t)) for t in tasks]]
-
-
 def with_score(model: Model, rows: DataFrame, name: str = "score") -> DataFrame:
     """Probability of the positive class; the learner's own output columns are dropped."""
     out = model.transform(rows).withColumn(name, vector_to_array("probability")[1])

@@ -118,11 +118,17 @@ def auc_bounds(fanned: DataFrame, label: str, levels: int) -> DataFrame:
 def _fan_out(
     df: DataFrame, scores: list[str], grid: list[tuple[float, ...]], label: str
 ) -> DataFrame:
-    """Each row once per combination, with its blended score."""
-    options = F.array(
-        *(
-            F.struct(F.lit(i).alias("position"), blended(scores, w).alias("_score"))
-            for i, w in enumerate(grid)
-        )
+    """Each row once per combination, with its blended score.
+
+    The weights are one literal array; the blend is computed after the fan-out, so
+    the generated code holds one sum of products however long the grid is.
+    """
+    names = [f"_w{i}" for i in range(len(scores))]
+    options = ", ".join(
+        "struct(" + ", ".join([str(i), *(f"{w!r}D" for w in weights)]) + ")"
+        for i, weights in enumerate(grid)
+    )
+    fanned = df.select(label, *scores, F.inline(F.expr(f"array({options})")).alias("position", *names))
+    return fanned.select(
+        label, "position", blended(scores, [F.col(n) for n in names]).alias("_score")
     )
-    return df.select(label, F.inline(options))

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -49,8 +50,10 @@ def distinct_counts(df: DataFrame, key: str, named: dict[str, str]) -> DataFrame
     copy.  Here only ``(key, column number, value)`` is copied and deduplicated,
     and the values of a large key spread over many tasks.
     """
+    kinds = {df.schema[source].dataType for source in named.values()}
+    shared = kinds.pop() if len(kinds) == 1 else T.StringType()  # text only for mixed types
     pairs = [
-        F.struct(F.lit(i).alias("_which"), F.col(source).cast("string").alias("_value"))
+        F.struct(F.lit(i).alias("_which"), F.col(source).cast(shared).alias("_value"))
         for i, source in enumerate(named.values())
     ]
     seen = df.select(key, F.inline(F.array(*pairs))).distinct()

@@ -16,6 +16,7 @@ from creditloom.plans import history as h
 from creditloom.plans import hypotheses as hyp
 from creditloom.plans.application import application_features
 from creditloom.plans.cross import cross_features
+from creditloom.session import in_threads, scratch_dir
 from creditloom.sources.schemas import APPLICANT, LABEL, TABLES
 from creditloom.sources.tables import parquet_cache, scan_table
 
@@ -77,8 +78,12 @@ def supplements(tables: dict[str, DataFrame]) -> dict[str, Callable[[], DataFram
 
 
 def feature_table(app: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """Applicants with all 304 engineered columns, as one plan."""
-    parts = [build() for build in supplements(tables).values()]
+    """Applicants with all 304 engineered columns, as one plan.
+
+    Parts that look for large keys first start a counting job, hence the threads.
+    """
+    scratch_dir(app.sparkSession)
+    parts = in_threads(list(supplements(tables).values()), 4)
     return cross_features(join_features(application_features(app), parts, APPLICANT))
 
 
