@@ -152,7 +152,9 @@ def train_cv(
         return model, scores
 
     scratch_dir(df.sparkSession)  # names the checkpoint folder before threads start
-    fitted = in_threads([lambda k=k: fit(k) for k in range(n_folds)], parallel)
+    fitted = in_threads(
+        df.sparkSession, [lambda k=k: fit(k) for k in range(n_folds)], parallel
+    )
     models = [model for model, _ in fitted]
     scores = fitted[0][1]
     for _, part in fitted[1:]:

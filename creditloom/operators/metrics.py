@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditloom.operators.ordered import prefix_totals
+from creditloom.operators.ordered import MOST_PARTS, prefix_totals
 from creditloom.sources.schemas import LABEL
 
 #: Distinct scores up to which one task may do the running sums.
@@ -35,7 +35,8 @@ def _running(
     names = {f"{POSITIVES}_upto": POSITIVES, f"{NEGATIVES}_upto": NEGATIVES}
     n = counts.count()
     if n > window_scores:
-        return prefix_totals(counts, by, [order], names, int(n // window_scores) + 1)
+        parts = min(MOST_PARTS, int(n // window_scores) + 1)
+        return prefix_totals(counts, by, [order], names, parts)
     keys = [F.col(b) for b in by] or [F.lit(0)]
     upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow

@@ -17,6 +17,9 @@ from creditloom.session import materialised
 #: Rows from which a key no longer goes through a single task.
 HOT_ROWS = 1_000_000
 
+#: Most range partitions for large keys; beyond it the partitions grow and spill.
+MOST_PARTS = 10_000
+
 RANK, SIZE, COPIES = "_before", "_size", "_copies"
 
 
@@ -53,7 +56,8 @@ def ranked(
         return _ranked_by_window(df, key, time, ties)
     names = F.broadcast(hot.select(key))  # at most rows / hot_rows keys
     cold = _ranked_by_window(df.join(names, key, "left_anti"), key, time, ties)
-    parts = max(2, int(hot.agg(F.sum("_rows")).first()[0] // hot_rows) + 1)
+    hot_total = hot.agg(F.sum("_rows")).first()[0]
+    parts = min(MOST_PARTS, max(2, int(hot_total // hot_rows) + 1))
     large = _ranked_by_range(df.join(names, key, "left_semi"), key, time, ties, parts)
     return cold.unionByName(large)
 

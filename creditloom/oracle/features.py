@@ -243,7 +243,7 @@ def h5_parts() -> list[str]:
         out.append(
             f"SELECT {KEY}, coalesce(sum(AMT_CREDIT_SUM_DEBT), 0) AS H5_BUR_{short}_DEBT_TOTAL,"
             f" coalesce(sum(AMT_CREDIT_SUM_OVERDUE), 0) AS H5_BUR_{short}_OVERDUE_TOTAL,"
-            f" count_if(CREDIT_ACTIVE = 'Active') AS H5_BUR_{short}_ACTIVE_COUNT"
+            f" count(*) FILTER (WHERE CREDIT_ACTIVE = 'Active') AS H5_BUR_{short}_ACTIVE_COUNT"
             f" FROM bureau WHERE CREDIT_TYPE = '{kind}' GROUP BY {KEY}"
         )
     return out
@@ -260,7 +260,7 @@ def h6_parts() -> list[str]:
     prev, bur = years.format(t="DAYS_DECISION"), years.format(t="DAYS_CREDIT")
     return [
         f"SELECT {KEY}, count(*) / {prev} AS H6_PREV_APPS_PER_YEAR,"
-        f" count_if(DAYS_DECISION > -365) / (count(*) / {prev} + 0.1)"
+        f" count(*) FILTER (WHERE DAYS_DECISION > -365) / (count(*) / {prev} + 0.1)"
         f" AS H6_PREV_APPLICATION_ACCELERATION FROM previous_application GROUP BY {KEY}",
         f"SELECT {KEY}, min(gap) AS H6_PREV_MIN_APP_GAP_DAYS, avg(gap) AS H6_PREV_MEAN_APP_GAP_DAYS,"
         f" stddev_samp(gap) AS H6_PREV_APP_GAP_STD FROM ({GAPS}) g WHERE gap IS NOT NULL"

@@ -55,19 +55,19 @@ APP_BUILDING_INFO_NULL_COUNT = cast(APARTMENTS_AVG IS NULL as int) + cast(BASEME
 
 BALANCE = """
 BB_MONTHS_COUNT = count(*)
-BB_STATUS_0_COUNT = count_if(STATUS = '0')
-BB_STATUS_1_COUNT = count_if(STATUS = '1')
-BB_STATUS_2_COUNT = count_if(STATUS = '2')
-BB_STATUS_3_COUNT = count_if(STATUS = '3')
-BB_STATUS_4_COUNT = count_if(STATUS = '4')
-BB_STATUS_5_COUNT = count_if(STATUS = '5')
-BB_STATUS_C_COUNT = count_if(STATUS = 'C')
-BB_STATUS_X_COUNT = count_if(STATUS = 'X')
-BB_DPD_MONTHS = count_if(STATUS IN ('1','2','3','4','5'))
+BB_STATUS_0_COUNT = coalesce(count_if(STATUS = '0'), 0)
+BB_STATUS_1_COUNT = coalesce(count_if(STATUS = '1'), 0)
+BB_STATUS_2_COUNT = coalesce(count_if(STATUS = '2'), 0)
+BB_STATUS_3_COUNT = coalesce(count_if(STATUS = '3'), 0)
+BB_STATUS_4_COUNT = coalesce(count_if(STATUS = '4'), 0)
+BB_STATUS_5_COUNT = coalesce(count_if(STATUS = '5'), 0)
+BB_STATUS_C_COUNT = coalesce(count_if(STATUS = 'C'), 0)
+BB_STATUS_X_COUNT = coalesce(count_if(STATUS = 'X'), 0)
+BB_DPD_MONTHS = coalesce(count_if(STATUS IN ('1','2','3','4','5')), 0)
 BB_MONTHS_BALANCE_MIN = min(MONTHS_BALANCE)
 BB_MONTHS_BALANCE_MAX = max(MONTHS_BALANCE)
-BB_RECENT_6M_DPD = count_if(MONTHS_BALANCE >= -6 AND STATUS IN ('1','2','3','4','5'))
-BB_RECENT_6M_COUNT = count_if(MONTHS_BALANCE >= -6)
+BB_RECENT_6M_DPD = coalesce(count_if(MONTHS_BALANCE >= -6 AND STATUS IN ('1','2','3','4','5')), 0)
+BB_RECENT_6M_COUNT = coalesce(count_if(MONTHS_BALANCE >= -6), 0)
 """
 
 BALANCE_RATIOS = """
@@ -77,14 +77,14 @@ BB_RECENT_6M_DPD_RATE = BB_RECENT_6M_DPD / nullif(BB_RECENT_6M_COUNT + 1, 0)
 
 BUREAU = """
 BUR_COUNT = count(*)
-BUR_CONSUMER_COUNT = count_if(CREDIT_TYPE = 'Consumer credit')
-BUR_CREDIT_CARD_COUNT = count_if(CREDIT_TYPE = 'Credit card')
-BUR_MORTGAGE_COUNT = count_if(CREDIT_TYPE = 'Mortgage')
-BUR_CAR_LOAN_COUNT = count_if(CREDIT_TYPE = 'Car loan')
-BUR_MICROLOAN_COUNT = count_if(CREDIT_TYPE = 'Microloan')
-BUR_ACTIVE_COUNT = count_if(CREDIT_ACTIVE = 'Active')
-BUR_CLOSED_COUNT = count_if(CREDIT_ACTIVE = 'Closed')
-BUR_BAD_DEBT_COUNT = count_if(CREDIT_ACTIVE = 'Bad debt')
+BUR_CONSUMER_COUNT = coalesce(count_if(CREDIT_TYPE = 'Consumer credit'), 0)
+BUR_CREDIT_CARD_COUNT = coalesce(count_if(CREDIT_TYPE = 'Credit card'), 0)
+BUR_MORTGAGE_COUNT = coalesce(count_if(CREDIT_TYPE = 'Mortgage'), 0)
+BUR_CAR_LOAN_COUNT = coalesce(count_if(CREDIT_TYPE = 'Car loan'), 0)
+BUR_MICROLOAN_COUNT = coalesce(count_if(CREDIT_TYPE = 'Microloan'), 0)
+BUR_ACTIVE_COUNT = coalesce(count_if(CREDIT_ACTIVE = 'Active'), 0)
+BUR_CLOSED_COUNT = coalesce(count_if(CREDIT_ACTIVE = 'Closed'), 0)
+BUR_BAD_DEBT_COUNT = coalesce(count_if(CREDIT_ACTIVE = 'Bad debt'), 0)
 BUR_AMT_CREDIT_MEAN = avg(AMT_CREDIT_SUM)
 BUR_AMT_CREDIT_TOTAL = coalesce(sum(AMT_CREDIT_SUM), 0)
 BUR_AMT_CREDIT_MAX = max(AMT_CREDIT_SUM)
@@ -93,7 +93,7 @@ BUR_DEBT_TOTAL = coalesce(sum(AMT_CREDIT_SUM_DEBT), 0)
 BUR_DEBT_MAX = max(AMT_CREDIT_SUM_DEBT)
 BUR_OVERDUE_TOTAL = coalesce(sum(AMT_CREDIT_SUM_OVERDUE), 0)
 BUR_OVERDUE_MAX = max(AMT_CREDIT_SUM_OVERDUE)
-BUR_OVERDUE_COUNT = count_if(AMT_CREDIT_SUM_OVERDUE > 0)
+BUR_OVERDUE_COUNT = coalesce(count_if(AMT_CREDIT_SUM_OVERDUE > 0), 0)
 BUR_CREDIT_LIMIT_MEAN = avg(AMT_CREDIT_SUM_LIMIT)
 BUR_MAX_OVERDUE_EVER = max(AMT_CREDIT_MAX_OVERDUE)
 BUR_MAX_OVERDUE_MEAN = avg(AMT_CREDIT_MAX_OVERDUE)
@@ -101,7 +101,7 @@ BUR_MOST_RECENT_CREDIT_DAYS = max(DAYS_CREDIT)
 BUR_OLDEST_CREDIT_DAYS = min(DAYS_CREDIT)
 BUR_LATEST_ENDDATE = max(DAYS_CREDIT_ENDDATE)
 BUR_MOST_RECENT_UPDATE = max(DAYS_CREDIT_UPDATE)
-BUR_INQUIRIES_LAST_YEAR = count_if(DAYS_CREDIT > -365)
+BUR_INQUIRIES_LAST_YEAR = coalesce(count_if(DAYS_CREDIT > -365), 0)
 BUR_ANNUITY_TOTAL = coalesce(sum(AMT_ANNUITY), 0)
 BUR_ANNUITY_MEAN = avg(AMT_ANNUITY)
 BUR_BB_DPD_MONTHS_TOTAL = coalesce(sum(BB_DPD_MONTHS), 0)
@@ -124,13 +124,13 @@ BUREAU_1Y = """
 BUR_RECENT_1Y_COUNT = count(*)
 BUR_RECENT_1Y_CREDIT_MEAN = avg(AMT_CREDIT_SUM)
 BUR_RECENT_1Y_OVERDUE = coalesce(sum(AMT_CREDIT_SUM_OVERDUE), 0)
-BUR_RECENT_1Y_ACTIVE = count_if(CREDIT_ACTIVE = 'Active')
+BUR_RECENT_1Y_ACTIVE = coalesce(count_if(CREDIT_ACTIVE = 'Active'), 0)
 """
 
 BUREAU_2Y = """
 BUR_RECENT_2Y_COUNT = count(*)
 BUR_RECENT_2Y_DEBT = coalesce(sum(AMT_CREDIT_SUM_DEBT), 0)
-BUR_RECENT_2Y_OVERDUE_COUNT = count_if(AMT_CREDIT_SUM_OVERDUE > 0)
+BUR_RECENT_2Y_OVERDUE_COUNT = coalesce(count_if(AMT_CREDIT_SUM_OVERDUE > 0), 0)
 """
 
 BUREAU_RATIOS = """
@@ -144,9 +144,9 @@ BUR_CREDIT_TYPE_DIVERSITY = cast(BUR_CONSUMER_COUNT > 0 as int) + cast(BUR_CREDI
 
 PREVIOUS = """
 PREV_COUNT = count(*)
-PREV_APPROVED_COUNT = count_if(NAME_CONTRACT_STATUS = 'Approved')
-PREV_REFUSED_COUNT = count_if(NAME_CONTRACT_STATUS = 'Refused')
-PREV_CANCELED_COUNT = count_if(NAME_CONTRACT_STATUS = 'Canceled')
+PREV_APPROVED_COUNT = coalesce(count_if(NAME_CONTRACT_STATUS = 'Approved'), 0)
+PREV_REFUSED_COUNT = coalesce(count_if(NAME_CONTRACT_STATUS = 'Refused'), 0)
+PREV_CANCELED_COUNT = coalesce(count_if(NAME_CONTRACT_STATUS = 'Canceled'), 0)
 PREV_AMT_APPLICATION_MEAN = avg(AMT_APPLICATION)
 PREV_AMT_APPLICATION_MAX = max(AMT_APPLICATION)
 PREV_AMT_APPLICATION_TOTAL = coalesce(sum(AMT_APPLICATION), 0)
@@ -163,15 +163,15 @@ PREV_DAYS_FIRST_DRAWING_MEAN = avg(DAYS_FIRST_DRAWING)
 PREV_DAYS_FIRST_DUE_MEAN = avg(DAYS_FIRST_DUE)
 PREV_DAYS_LAST_DUE_MEAN = avg(DAYS_LAST_DUE_1ST_VERSION)
 PREV_DAYS_TERMINATION_MEAN = avg(DAYS_TERMINATION)
-PREV_CASH_LOAN_COUNT = count_if(NAME_CONTRACT_TYPE = 'Cash loans')
-PREV_REVOLVING_COUNT = count_if(NAME_CONTRACT_TYPE = 'Revolving loans')
+PREV_CASH_LOAN_COUNT = coalesce(count_if(NAME_CONTRACT_TYPE = 'Cash loans'), 0)
+PREV_REVOLVING_COUNT = coalesce(count_if(NAME_CONTRACT_TYPE = 'Revolving loans'), 0)
 PREV_PRODUCT_VARIETY = count(DISTINCT PRODUCT_COMBINATION) + max(cast(PRODUCT_COMBINATION IS NULL as int))
-PREV_HIGH_YIELD_COUNT = count_if(NAME_YIELD_GROUP = 'high')
-PREV_LOW_YIELD_COUNT = count_if(NAME_YIELD_GROUP = 'low_normal')
+PREV_HIGH_YIELD_COUNT = coalesce(count_if(NAME_YIELD_GROUP = 'high'), 0)
+PREV_LOW_YIELD_COUNT = coalesce(count_if(NAME_YIELD_GROUP = 'low_normal'), 0)
 PREV_CHANNEL_VARIETY = count(DISTINCT CHANNEL_TYPE) + max(cast(CHANNEL_TYPE IS NULL as int))
-PREV_WEEKEND_APP_COUNT = count_if(WEEKDAY_APPR_PROCESS_START = 'SATURDAY')
-PREV_SUNDAY_APP_COUNT = count_if(WEEKDAY_APPR_PROCESS_START = 'SUNDAY')
-PREV_INSURED_COUNT = count_if(NFLAG_INSURED_ON_APPROVAL = 1)
+PREV_WEEKEND_APP_COUNT = coalesce(count_if(WEEKDAY_APPR_PROCESS_START = 'SATURDAY'), 0)
+PREV_SUNDAY_APP_COUNT = coalesce(count_if(WEEKDAY_APPR_PROCESS_START = 'SUNDAY'), 0)
+PREV_INSURED_COUNT = coalesce(count_if(NFLAG_INSURED_ON_APPROVAL = 1), 0)
 PREV_PAYMENT_TERM_MEAN = avg(CNT_PAYMENT)
 PREV_PAYMENT_TERM_MAX = max(CNT_PAYMENT)
 """
@@ -191,8 +191,8 @@ PREV_LAST_REFUSED_DAYS = max(DAYS_DECISION)
 
 PREVIOUS_1Y = """
 PREV_RECENT_1Y_COUNT = count(*)
-PREV_RECENT_1Y_APPROVED = count_if(NAME_CONTRACT_STATUS = 'Approved')
-PREV_RECENT_1Y_REFUSED = count_if(NAME_CONTRACT_STATUS = 'Refused')
+PREV_RECENT_1Y_APPROVED = coalesce(count_if(NAME_CONTRACT_STATUS = 'Approved'), 0)
+PREV_RECENT_1Y_REFUSED = coalesce(count_if(NAME_CONTRACT_STATUS = 'Refused'), 0)
 """
 
 PREVIOUS_RATIOS = """
@@ -215,15 +215,15 @@ INS_NUM_PREV_LOANS = count(DISTINCT SK_ID_PREV) + max(cast(SK_ID_PREV IS NULL as
 INS_DAYS_DIFF_MEAN = avg(INS_DAYS_DIFF)
 INS_DAYS_DIFF_MAX = max(INS_DAYS_DIFF)
 INS_DAYS_DIFF_STD = stddev_samp(INS_DAYS_DIFF)
-INS_LATE_COUNT = count_if(INS_DAYS_DIFF > 0)
-INS_LATE_7DAYS_COUNT = count_if(INS_DAYS_DIFF > 7)
-INS_LATE_30DAYS_COUNT = count_if(INS_DAYS_DIFF > 30)
-INS_EARLY_COUNT = count_if(INS_DAYS_DIFF < 0)
-INS_VERY_EARLY_COUNT = count_if(INS_DAYS_DIFF < -15)
+INS_LATE_COUNT = coalesce(count_if(INS_DAYS_DIFF > 0), 0)
+INS_LATE_7DAYS_COUNT = coalesce(count_if(INS_DAYS_DIFF > 7), 0)
+INS_LATE_30DAYS_COUNT = coalesce(count_if(INS_DAYS_DIFF > 30), 0)
+INS_EARLY_COUNT = coalesce(count_if(INS_DAYS_DIFF < 0), 0)
+INS_VERY_EARLY_COUNT = coalesce(count_if(INS_DAYS_DIFF < -15), 0)
 INS_PAYMENT_RATIO_MEAN = avg(INS_PAYMENT_RATIO)
 INS_PAYMENT_RATIO_MIN = min(INS_PAYMENT_RATIO)
 INS_PAYMENT_RATIO_STD = stddev_samp(INS_PAYMENT_RATIO)
-INS_UNDERPAYMENT_COUNT = count_if(INS_UNDERPAYMENT > 0)
+INS_UNDERPAYMENT_COUNT = coalesce(count_if(INS_UNDERPAYMENT > 0), 0)
 INS_UNDERPAYMENT_MEAN = avg(INS_UNDERPAYMENT) FILTER (WHERE INS_UNDERPAYMENT > 0)
 INS_UNDERPAYMENT_MAX = max(INS_UNDERPAYMENT) FILTER (WHERE INS_UNDERPAYMENT > 0)
 INS_TOTAL_EXPECTED = coalesce(sum(AMT_INSTALMENT), 0)
@@ -235,8 +235,8 @@ INS_VERSION_VARIETY = count(DISTINCT NUM_INSTALMENT_VERSION) + max(cast(NUM_INST
 INSTALMENTS_LAST = """
 INS_RECENT_12_DAYS_DIFF_MEAN = avg(INS_DAYS_DIFF) FILTER (WHERE rn <= 12)
 INS_RECENT_12_DAYS_DIFF_STD = stddev_samp(INS_DAYS_DIFF) FILTER (WHERE rn <= 12)
-INS_RECENT_12_LATE_COUNT = count_if(INS_DAYS_DIFF > 0) FILTER (WHERE rn <= 12)
-INS_RECENT_12_LATE_30_COUNT = count_if(INS_DAYS_DIFF > 30) FILTER (WHERE rn <= 12)
+INS_RECENT_12_LATE_COUNT = coalesce(count_if(INS_DAYS_DIFF > 0) FILTER (WHERE rn <= 12), 0)
+INS_RECENT_12_LATE_30_COUNT = coalesce(count_if(INS_DAYS_DIFF > 30) FILTER (WHERE rn <= 12), 0)
 INS_RECENT_12_PAYMENT_RATIO = avg(INS_PAYMENT_RATIO) FILTER (WHERE rn <= 12)
 INS_RECENT_12_PAYMENT_RATIO_MIN = min(INS_PAYMENT_RATIO) FILTER (WHERE rn <= 12)
 INS_LAST_DAYS_DIFF = max(INS_DAYS_DIFF) FILTER (WHERE rn = 1)
@@ -256,13 +256,13 @@ POS_NUM_LOANS = count(DISTINCT SK_ID_PREV) + max(cast(SK_ID_PREV IS NULL as int)
 POS_DPD_MEAN = avg(SK_DPD)
 POS_DPD_MAX = max(SK_DPD)
 POS_DPD_SUM = coalesce(sum(SK_DPD), 0)
-POS_DPD_MONTHS_COUNT = count_if(SK_DPD > 0)
+POS_DPD_MONTHS_COUNT = coalesce(count_if(SK_DPD > 0), 0)
 POS_DPD_DEF_MEAN = avg(SK_DPD_DEF)
 POS_DPD_DEF_MAX = max(SK_DPD_DEF)
-POS_DPD_DEF_COUNT = count_if(SK_DPD_DEF > 0)
-POS_ACTIVE_MONTHS = count_if(NAME_CONTRACT_STATUS = 'Active')
-POS_COMPLETED_MONTHS = count_if(NAME_CONTRACT_STATUS = 'Completed')
-POS_SIGNED_MONTHS = count_if(NAME_CONTRACT_STATUS = 'Signed')
+POS_DPD_DEF_COUNT = coalesce(count_if(SK_DPD_DEF > 0), 0)
+POS_ACTIVE_MONTHS = coalesce(count_if(NAME_CONTRACT_STATUS = 'Active'), 0)
+POS_COMPLETED_MONTHS = coalesce(count_if(NAME_CONTRACT_STATUS = 'Completed'), 0)
+POS_SIGNED_MONTHS = coalesce(count_if(NAME_CONTRACT_STATUS = 'Signed'), 0)
 POS_MAX_INSTALMENTS = max(CNT_INSTALMENT)
 POS_REMAINING_INSTALMENTS_MEAN = avg(CNT_INSTALMENT_FUTURE)
 POS_REMAINING_INSTALMENTS_MAX = max(CNT_INSTALMENT_FUTURE)
@@ -272,14 +272,14 @@ POS_MONTHS_BALANCE_MIN = min(MONTHS_BALANCE)
 POS_6M = """
 POS_RECENT_6M_DPD_MAX = max(SK_DPD)
 POS_RECENT_6M_DPD_MEAN = avg(SK_DPD)
-POS_RECENT_6M_DPD_COUNT = count_if(SK_DPD > 0)
-POS_RECENT_6M_ACTIVE = count_if(NAME_CONTRACT_STATUS = 'Active')
+POS_RECENT_6M_DPD_COUNT = coalesce(count_if(SK_DPD > 0), 0)
+POS_RECENT_6M_ACTIVE = coalesce(count_if(NAME_CONTRACT_STATUS = 'Active'), 0)
 """
 
 POS_12M = """
 POS_RECENT_12M_DPD_MAX = max(SK_DPD)
-POS_RECENT_12M_DPD_COUNT = count_if(SK_DPD > 0)
-POS_RECENT_12M_DPD_DEF_COUNT = count_if(SK_DPD_DEF > 0)
+POS_RECENT_12M_DPD_COUNT = coalesce(count_if(SK_DPD > 0), 0)
+POS_RECENT_12M_DPD_DEF_COUNT = coalesce(count_if(SK_DPD_DEF > 0), 0)
 """
 
 POS_RATIOS = """
@@ -301,12 +301,12 @@ CC_NUM_CARDS = count(DISTINCT SK_ID_PREV) + max(cast(SK_ID_PREV IS NULL as int))
 CC_UTILIZATION_MEAN = avg(CC_UTILIZATION)
 CC_UTILIZATION_MAX = max(CC_UTILIZATION)
 CC_UTILIZATION_STD = stddev_samp(CC_UTILIZATION)
-CC_HIGH_UTIL_MONTHS = count_if(CC_UTILIZATION > 0.9)
+CC_HIGH_UTIL_MONTHS = coalesce(count_if(CC_UTILIZATION > 0.9), 0)
 CC_BALANCE_MEAN = avg(AMT_BALANCE)
 CC_BALANCE_MAX = max(AMT_BALANCE)
 CC_PAYMENT_TO_MIN_MEAN = avg(CC_PAYMENT_TO_MIN_RATIO)
 CC_PAYMENT_TO_MIN_MIN = min(CC_PAYMENT_TO_MIN_RATIO)
-CC_MIN_PAYMENT_MONTHS = count_if(CC_PAYMENT_TO_MIN_RATIO BETWEEN 0.95 AND 1.05)
+CC_MIN_PAYMENT_MONTHS = coalesce(count_if(CC_PAYMENT_TO_MIN_RATIO BETWEEN 0.95 AND 1.05), 0)
 CC_DRAWINGS_MEAN = avg(AMT_DRAWINGS_CURRENT)
 CC_DRAWINGS_MAX = max(AMT_DRAWINGS_CURRENT)
 CC_DRAWINGS_TOTAL = coalesce(sum(AMT_DRAWINGS_CURRENT), 0)
@@ -317,14 +317,14 @@ CC_ATM_DRAWINGS_COUNT = coalesce(sum(CNT_DRAWINGS_ATM_CURRENT), 0)
 CC_POS_DRAWINGS_TOTAL = coalesce(sum(AMT_DRAWINGS_POS_CURRENT), 0)
 CC_DPD_MEAN = avg(SK_DPD)
 CC_DPD_MAX = max(SK_DPD)
-CC_DPD_MONTHS = count_if(SK_DPD > 0)
+CC_DPD_MONTHS = coalesce(count_if(SK_DPD > 0), 0)
 CC_DPD_DEF_MAX = max(SK_DPD_DEF)
 CC_CREDIT_LIMIT_MAX = max(AMT_CREDIT_LIMIT_ACTUAL)
 CC_CREDIT_LIMIT_MEAN = avg(AMT_CREDIT_LIMIT_ACTUAL)
 CC_RECEIVABLE_MEAN = avg(AMT_RECEIVABLE_PRINCIPAL)
 CC_TOTAL_RECEIVABLE_MEAN = avg(AMT_TOTAL_RECEIVABLE)
 CC_MONTHS_BALANCE_MIN = min(MONTHS_BALANCE)
-CC_ACTIVE_MONTHS = count_if(NAME_CONTRACT_STATUS = 'Active')
+CC_ACTIVE_MONTHS = coalesce(count_if(NAME_CONTRACT_STATUS = 'Active'), 0)
 """
 
 CARD_3M = """
@@ -336,8 +336,8 @@ CC_RECENT_3M_PAY_MIN_RATIO = avg(CC_PAYMENT_TO_MIN_RATIO)
 
 CARD_12M = """
 CC_RECENT_12M_UTIL_MEAN = avg(CC_UTILIZATION)
-CC_RECENT_12M_HIGH_UTIL_MONTHS = count_if(CC_UTILIZATION > 0.9)
-CC_RECENT_12M_DPD_COUNT = count_if(SK_DPD > 0)
+CC_RECENT_12M_HIGH_UTIL_MONTHS = coalesce(count_if(CC_UTILIZATION > 0.9), 0)
+CC_RECENT_12M_DPD_COUNT = coalesce(count_if(SK_DPD > 0), 0)
 CC_RECENT_12M_ATM_TOTAL = coalesce(sum(AMT_DRAWINGS_ATM_CURRENT), 0)
 """
 
@@ -353,7 +353,7 @@ CC_UTIL_TREND_12M = coalesce(CC_RECENT_12M_UTIL_MEAN, 0) - coalesce(CC_UTILIZATI
 H4_BUREAU = """
 H4_BUR_PROLONG_TOTAL = coalesce(sum(CNT_CREDIT_PROLONG), 0)
 H4_BUR_PROLONG_MAX = max(CNT_CREDIT_PROLONG)
-H4_BUR_PROLONG_COUNT = count_if(CNT_CREDIT_PROLONG > 0)
+H4_BUR_PROLONG_COUNT = coalesce(count_if(CNT_CREDIT_PROLONG > 0), 0)
 H4_BUR_CURRENT_OVERDUE_MAX = max(CREDIT_DAY_OVERDUE)
 H4_BUR_CURRENT_OVERDUE_SUM = coalesce(sum(CREDIT_DAY_OVERDUE), 0)
 """
@@ -363,8 +363,8 @@ H4_PREV_INTEREST_RATE_MEAN = avg(RATE_INTEREST_PRIMARY)
 H4_PREV_INTEREST_RATE_MAX = max(RATE_INTEREST_PRIMARY)
 H4_PREV_REPEATER_RATE = avg(cast(NAME_CLIENT_TYPE = 'Repeater' as double))
 H4_PREV_NEW_CLIENT_RATE = avg(cast(NAME_CLIENT_TYPE = 'New' as double))
-H4_PREV_REJECT_HC_COUNT = count_if(CODE_REJECT_REASON = 'HC')
-H4_PREV_REJECT_SCOFR_COUNT = count_if(CODE_REJECT_REASON = 'SCOFR')
+H4_PREV_REJECT_HC_COUNT = coalesce(count_if(CODE_REJECT_REASON = 'HC'), 0)
+H4_PREV_REJECT_SCOFR_COUNT = coalesce(count_if(CODE_REJECT_REASON = 'SCOFR'), 0)
 H4_PREV_LOAN_PURPOSE_DIVERSITY = count(DISTINCT NAME_CASH_LOAN_PURPOSE) + max(cast(NAME_CASH_LOAN_PURPOSE IS NULL as int))
 """
 

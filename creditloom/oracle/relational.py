@@ -32,7 +32,7 @@ def _families() -> str:
             names += [n for n in re.findall(r" AS (H[1-6]_\w+)", part) if n not in names]
     cells = " UNION ALL ".join(
         f"SELECT '{n[:2]}' AS hypothesis, '{n}' AS \"column\","
-        f" count_if({n} IS NULL) * 100.0 / count(*) AS null_pct FROM _x"
+        f" count(*) FILTER (WHERE {n} IS NULL) * 100.0 / count(*) AS null_pct FROM _x"
         for n in names
     )
     return with_views(feat.SUPPLEMENTARY, f"_x AS ({feat.experimental(*feat.FAMILIES)}) {cells}")
@@ -49,7 +49,7 @@ def _matrix() -> str:
 
 def oracles() -> dict[str, str]:
     year = "DAYS_CREDIT > -365"
-    status = ", ".join(f"count_if(STATUS = '{c}') AS STATUS_{c}" for c in "012345CX")
+    status = ", ".join(f"count(*) FILTER (WHERE STATUS = '{c}') AS STATUS_{c}" for c in "012345CX")
     raw = [c for c in view_columns("application_train") if c not in (KEY, "TARGET")]
     ranked = feat.ranked(POS, "MONTHS_BALANCE, SK_ID_PREV, SK_DPD")
     pos_keys = (KEY, "SK_ID_PREV", "MONTHS_BALANCE", "SK_DPD")
@@ -211,8 +211,8 @@ def oracles() -> dict[str, str]:
         ),
         "count_condition": _one(
             INS,
-            f"SELECT {KEY}, count_if(INS_DAYS_DIFF > 0) AS late,"
-            f" count_if(INS_DAYS_DIFF < -15) AS very_early FROM ({feat.INSTALMENTS}) i GROUP BY {KEY}",
+            f"SELECT {KEY}, count(*) FILTER (WHERE INS_DAYS_DIFF > 0) AS late,"
+            f" count(*) FILTER (WHERE INS_DAYS_DIFF < -15) AS very_early FROM ({feat.INSTALMENTS}) i GROUP BY {KEY}",
             KEY,
         ),
         "rate_condition": _one(
@@ -234,7 +234,7 @@ def oracles() -> dict[str, str]:
         "subset_agg": _one(
             POS,
             f"SELECT {KEY}, max(SK_DPD) AS dpd_MAX, avg(SK_DPD) AS dpd_MEAN,"
-            f" count_if(SK_DPD > 0) AS late FROM {POS} WHERE MONTHS_BALANCE >= -12 GROUP BY {KEY}",
+            f" count(*) FILTER (WHERE SK_DPD > 0) AS late FROM {POS} WHERE MONTHS_BALANCE >= -12 GROUP BY {KEY}",
             KEY,
         ),
         "two_level_agg": settled(

@@ -41,7 +41,7 @@ def profile(name: str) -> str:
         )
         rows.append(
             f"SELECT '{name}' AS \"table\", '{c}' AS \"column\", count(*) AS n_rows,"
-            f" count_if({c} IS NULL) * 100.0 / count(*) AS null_pct,"
+            f" count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*) AS null_pct,"
             f" cast({_unique(c)} as bigint) AS n_unique, {numbers} FROM {name}"
         )
     return " UNION ALL ".join(rows)
@@ -83,7 +83,7 @@ def _overview() -> str:
 def _null_report() -> str:
     names = _winning_columns()
     shares = " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", count_if({c} IS NULL) * 100.0 / count(*) AS null_pct FROM _x"
+        f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*) AS null_pct FROM _x"
         for c in names
     )
     body = f"_x AS ({feat.experimental('H2', 'H3', 'H4', 'H5')}) {shares}"
@@ -106,9 +106,9 @@ def _winning_columns() -> list[str]:
 def _prefixes() -> str:
     features = [n for n, _ in lines(f.APP)]
     raw = view_columns("application_train")
-    cells = [f"SELECT 'APP_' AS prefix, count_if({c} IS NULL) * 100.0 / count(*) AS p FROM _x"
+    cells = [f"SELECT 'APP_' AS prefix, count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*) AS p FROM _x"
              for c in features]
-    cells += [f"SELECT 'raw' AS prefix, count_if({c} IS NULL) * 100.0 / count(*) AS p FROM _x"
+    cells += [f"SELECT 'raw' AS prefix, count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*) AS p FROM _x"
               for c in raw]
     app = (
         f"SELECT * EXCLUDE (DAYS_EMPLOYED), {columns(f.APP)},"

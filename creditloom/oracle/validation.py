@@ -35,7 +35,7 @@ def _area(source: str, score: str, by: str = "") -> str:
         f" cast(sum(p) as bigint) AS n_pos, cast(sum(n) as bigint) AS n_neg FROM ("
         f"SELECT *, coalesce(sum(n) OVER ({part}ORDER BY {score}"
         " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM ("
-        f"SELECT {keys}{score}, count_if(TARGET = 1) AS p, count_if(TARGET = 0) AS n"
+        f"SELECT {keys}{score}, count(*) FILTER (WHERE TARGET = 1) AS p, count(*) FILTER (WHERE TARGET = 0) AS n"
         f" FROM ({source}) a GROUP BY {keys}{score}) b) c{group}"
     )
 
@@ -89,9 +89,9 @@ def _thresholds() -> str:
         " cast(tp as bigint) AS true_positives, cast(fp as bigint) AS false_positives FROM ("
         "SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS pr,"
         " CASE WHEN p > 0 THEN tp / p ELSE 0 END AS re FROM ("
-        "SELECT t, count_if(score_a >= t AND TARGET = 1) AS tp,"
-        " count_if(score_a >= t AND TARGET = 0) AS fp, count_if(TARGET = 1) AS p,"
-        " count_if(score_a >= t) AS d, count(*) AS n"
+        "SELECT t, count(*) FILTER (WHERE score_a >= t AND TARGET = 1) AS tp,"
+        " count(*) FILTER (WHERE score_a >= t AND TARGET = 0) AS fp, count(*) FILTER (WHERE TARGET = 1) AS p,"
+        " count(*) FILTER (WHERE score_a >= t) AS d, count(*) AS n"
         f" FROM ({SCORED}) s CROSS JOIN (VALUES {steps}) v(i, t) GROUP BY t) a) b"
     )
 
@@ -191,7 +191,7 @@ def _by_group() -> str:
     return (
         f"WITH _x AS (SELECT *, CASE WHEN feature LIKE 'APP\\_%' ESCAPE '\\' THEN 'APP_' ELSE 'raw' END"
         f" AS prefix FROM ({importance()}) i),"
-        " _t AS (SELECT prefix, sum(importance) AS total, count_if(importance > 0) AS used"
+        " _t AS (SELECT prefix, sum(importance) AS total, count(*) FILTER (WHERE importance > 0) AS used"
         " FROM _x GROUP BY prefix),"
         " _b AS (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY importance DESC, feature)"
         " AS place FROM _x)"
@@ -255,7 +255,7 @@ def oracles() -> dict[str, str]:
             TRAIN,
             "SELECT score_a AS threshold, sum(n) OVER w / sum(n) OVER () AS fpr,"
             " sum(p) OVER w / sum(p) OVER () AS tpr FROM (SELECT score_a,"
-            f" count_if(TARGET = 1) AS p, count_if(TARGET = 0) AS n FROM ({SCORED}) s"
+            f" count(*) FILTER (WHERE TARGET = 1) AS p, count(*) FILTER (WHERE TARGET = 0) AS n FROM ({SCORED}) s"
             " GROUP BY score_a) c WINDOW w AS (ORDER BY score_a DESC)",
         )
         + ") r",

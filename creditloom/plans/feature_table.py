@@ -83,7 +83,7 @@ def feature_table(app: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     Parts that look for large keys first start a counting job, hence the threads.
     """
     scratch_dir(app.sparkSession)
-    parts = in_threads(list(supplements(tables).values()), 4)
+    parts = in_threads(app.sparkSession, list(supplements(tables).values()), 4)
     return cross_features(join_features(application_features(app), parts, APPLICANT))
 
 

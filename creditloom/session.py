@@ -55,7 +55,8 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def in_threads(tasks: list[Callable], width: int) -> list:
+def in_threads(spark: SparkSession, tasks: list[Callable], width: int) -> list:
     """Run driver-side calls, each starting its own Spark jobs, ``width`` at a time."""
+    inherited = inheritable_thread_target(spark)
     with ThreadPoolExecutor(max_workers=max(1, width)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(t)) for t in tasks]]
+        return [f.result() for f in [pool.submit(inherited(t)) for t in tasks]]
