@@ -22,8 +22,8 @@ def correlation_importance(
     y = F.col(label).cast("double")
     cells = F.array(
         *(
-            F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("_x"))
-            for c in columns
+            F.struct(F.lit(i).alias("_which"), F.col(c).cast("double").alias("_x"))
+            for i, c in enumerate(columns)
         )
     )
     long = df.select(*by, y.alias("_y"), F.inline(cells))
@@ -32,7 +32,9 @@ def correlation_importance(
     # corr() raises on a constant column in ANSI mode
     r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
     size = F.coalesce(F.nanvl(F.abs(r), F.lit(0.0)), F.lit(0.0))
-    return long.groupBy(*by, "feature").agg(size.alias("importance"))
+    feature = F.get(F.array(*map(F.lit, columns)), F.col("_which"))
+    sizes = long.groupBy(*by, "_which").agg(size.alias("importance"))
+    return sizes.select(*by, feature.alias("feature"), "importance")
 
 
 def mean_importance(per_model: DataFrame) -> DataFrame:

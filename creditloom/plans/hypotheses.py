@@ -17,6 +17,7 @@ from creditloom.plans.bureau import is_active, is_overdue
 from creditloom.plans.history import (
     INSTALMENT_TIES, card_rows, instalment_rows, is_high_use, is_late, is_late_tolerant,
 )
+from creditloom.session import in_threads, scratch_dir
 from creditloom.sources.schemas import APPLICANT, CREDIT, LOAN
 
 #: Column prefix of each family.
@@ -219,9 +220,18 @@ def h2_cards(card: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 def h2_trajectory(
     instalments: DataFrame, balance: DataFrame, bureau: DataFrame, pos: DataFrame, card: DataFrame
 ) -> DataFrame:
-    parts = [
-        h2_instalments(instalments), h2_balances(balance, bureau), h2_pos(pos), h2_cards(card),
-    ]
+    spark = bureau.sparkSession
+    scratch_dir(spark)
+    parts = in_threads(  # each looks for large keys first, which is a Spark job
+        spark,
+        [
+            lambda: h2_instalments(instalments),
+            lambda: h2_balances(balance, bureau),
+            lambda: h2_pos(pos),
+            lambda: h2_cards(card),
+        ],
+        4,
+    )
     return outer_join_features(parts, APPLICANT)
 
 
