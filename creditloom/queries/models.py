@@ -108,6 +108,6 @@ QUERIES = {
     "ablation": _ablation,
     "oof_scores": _oof,
     "contribution_importance": _contributions,
-    "save_load_score_test": _score_test,
+    "score_test": _score_test,
     "submission_check": _submission_check,
 }

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from creditloom.operators.ordered import hot_keys
 from creditloom.plans import bureau, history
 from creditloom.plans import hypotheses as hyp
 from creditloom.plans.application import application_columns, application_features
@@ -124,3 +125,31 @@ def test_cross_features_depend_on_their_inputs(spark):
     row = out.first()
     assert (row["CROSS_NO_BUREAU_HISTORY"], row["CROSS_FIRST_TIME_APPLICANT"]) == (1, 0)
     assert row["CROSS_THIN_FILE_SCORE"] == 1
+
+
+@pytest.mark.parametrize("name", ["h2_pos", "h2_cards", "h2_instalments", "h6_gaps"])
+def test_large_applicants_get_the_same_features(inputs, name):
+    """The path for very large keys, forced by a low limit, changes no value."""
+    table = {
+        "h2_pos": "POS_CASH_balance", "h2_cards": "credit_card_balance",
+        "h2_instalments": "installments_payments", "h6_gaps": "previous_application",
+    }[name]
+    build = getattr(hyp, name)
+
+    def rounded(df):
+        return sorted(
+            tuple(round(v, 9) if isinstance(v, float) else v for v in row) for row in df.collect()
+        )
+
+    plain, spread = rounded(build(inputs[table])), rounded(build(inputs[table], hot_rows=12))
+    assert hot_keys(inputs[table], APPLICANT, 12) is not None
+    assert len(plain) > 20 and str(plain) == str(spread)
+
+
+def test_large_applicants_balances(inputs):
+    plain = hyp.h2_balances(inputs["bureau_balance"], inputs["bureau"])
+    spread = hyp.h2_balances(inputs["bureau_balance"], inputs["bureau"], hot_rows=15)
+    gap = "H2_BUR_BB_CLOSED_TRAJECTORY"
+    both = plain.join(spread.select(APPLICANT, F.col(gap).alias("other")), APPLICANT)
+    assert both.count() == plain.count() == spread.count()
+    assert both.where(F.abs(F.col(gap) - F.col("other")) > 1e-9).count() == 0
