@@ -33,6 +33,8 @@ def stratified_folds(
 ) -> DataFrame:
     """Add ``fold``: rows of each class, in shuffled order, dealt round robin.
 
+    Rows without a label belong to no class and are left out.
+
     A window per class would put each class into one task.  Rows are numbered
     within the leading digits of their hash instead, from where the preceding
     buckets end; the hash spreads them evenly, and the bucket sizes are at most
