@@ -48,7 +48,65 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from creditloom.llm.labels import remainder
+    from creditloom.llm.language import fit, predict
+
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", "text", "lang", (remainder("doc_id", 3) == 1).alias("held_out"))
+    prototypes = fit(docs.where(~F.col("held_out")))
+    return predict(docs.select("doc_id", "held_out", "text"), prototypes).drop("text")
+
+
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from creditloom.llm.fingerprints import beside_next
+
+    return beside_next(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited_text", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
+
+
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from creditloom.llm.labels import remainder
+    from creditloom.llm.quality import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2)
+    scored = score(docs, fit(docs, labels)).drop("text")
+    return scored.select(
+        "doc_id",
+        (remainder("doc_id", 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from creditloom.llm.labels import remainder
+    from creditloom.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)
+    scored = score(docs, fit(docs, labels)).drop("text")
+    return scored.select(
+        "doc_id",
+        (remainder("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Query] = {
+    "op1_language": language,
+    "op2_fingerprints": fingerprints,
     "op4_pieces": pieces,
+    "op5_quality": quality,
+    "op8_toxicity": toxicity,
     "op9_decontamination": decontamination,
 }
