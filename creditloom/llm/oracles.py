@@ -35,4 +35,15 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLES: dict[str, str] = {"op9_decontamination": DECONTAMINATION}
+WARC = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(encode(coalesce(html, ''))) AS digest,
+    max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages
+)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM p
+"""
+
+ORACLES: dict[str, str] = {"op9_decontamination": DECONTAMINATION, "op10_warc": WARC}

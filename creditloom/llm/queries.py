@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.llm.text import table
+from creditloom.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,11 +103,35 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from creditloom.llm.html import extract
+
+    found = extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from creditloom.llm.warc import read_archive, write_archive
+
+    pages = table(spark, sf_dir, "pages")
+    path = scratch_dir(spark)
+    write_archive(pages.select("page_id", "url", F.encode("html", "UTF-8").alias("payload")), path)
+    return read_archive(spark, path).select(
+        F.col("record_id").alias("page_id"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha1("payload").alias("payload_digest"),
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_language": language,
     "op2_fingerprints": fingerprints,
     "op4_pieces": pieces,
     "op5_quality": quality,
+    "op6_main_text": main_text,
     "op8_toxicity": toxicity,
     "op9_decontamination": decontamination,
+    "op10_warc": warc,
 }
