@@ -125,12 +125,19 @@ def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from creditloom.llm.near_duplicates import near_duplicates as join
+
+    return join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language": language,
     "op2_fingerprints": fingerprints,
     "op4_pieces": pieces,
     "op5_quality": quality,
     "op6_main_text": main_text,
+    "op7_near_duplicates": near_duplicates,
     "op8_toxicity": toxicity,
     "op9_decontamination": decontamination,
     "op10_warc": warc,
