@@ -21,6 +21,18 @@ def vocabulary():
     return Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from creditloom.llm.pii import KINDS, base_only, find, listed, of_kind
+
+    found = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *(of_kind(F.col("spans"), kind).alias(f"n_{kind}") for kind in KINDS),
+        F.sha2(listed(base_only(F.col("spans"))), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from creditloom.llm.pieces import decode, encode
 
@@ -134,6 +146,7 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_language": language,
     "op2_fingerprints": fingerprints,
+    "op3_pii": pii,
     "op4_pieces": pieces,
     "op5_quality": quality,
     "op6_main_text": main_text,
