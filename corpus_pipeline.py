@@ -5,10 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm import decontamination, pieces
+from creditloom.llm import decontamination, near_duplicates, pieces, pii, toxicity
+from creditloom.llm.labels import remainder
 from creditloom.llm.queries import vocabulary
+from creditloom.llm.tables import if_small, written
 from creditloom.llm.text import table
-from creditloom.session import scratch_dir
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of one half or more are left out.
+
+    The model learns from the labels outside the held-out fold.  A null or
+    empty text has no toxic word and stays unless the labels make toxic texts
+    the rule.
+    """
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)
+    model = toxicity.fit(docs, labels)
+    scored = toxicity.score(docs, model, name="_toxicity")
+    return scored.where("_toxicity < 0.5").select(*docs.columns)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the smallest id.
+
+    Documents without an id or without words are in no group and stay.  Rows of
+    one id are one document.
+    """
+    joined = near_duplicates.near_duplicates(docs)
+    dropped = joined.where("class_id <> doc_id").select(F.col("doc_id").alias("_dropped"))
+    dropped = if_small(written(dropped))
+    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,18 +43,30 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return judged.where(~F.col("contaminated")).select(*docs.columns)
 
 
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that reveal it are replaced; ``n_chars`` follows the text."""
+    clean = pii.sanitise(docs.withColumn("_before", F.col("text")))
+    changed = ~F.col("text").eqNullSafe(F.col("_before"))
+    length = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", length).select(*docs.columns)
+
+
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and the text they decode to."""
+    """Token ids, their number, and the text they decode to."""
     known = vocabulary()
-    return pieces.decode(pieces.encode(docs, known), known)
+    found = pieces.decode(pieces.encode(docs, known), known)
+    return found.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [
+    ("toxicity", without_toxic),
+    ("near_duplicates", without_copies),
     ("decontamination", without_benchmark),
+    ("personal_data", without_personal_data),
     ("pieces", encoded),
 ]
 
-#: The first stages fit models and follow links, which SQL cannot express.
+#: The first stages fit a model and follow links, which SQL cannot express.
 ORACLE_SQL = None
 
 
@@ -36,7 +74,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        path = scratch_dir(spark)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = written(stage(spark, docs, sf_dir))
     return docs
