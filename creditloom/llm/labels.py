@@ -11,8 +11,10 @@ def remainder(doc_id: str, of: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(of))
 
 
-def fit_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, key: str = "doc_id"):
-    """Documents with their label as column ``y``, at most ``most`` of them.
+def fit_rows(
+    docs: DataFrame, labels: DataFrame, label: str, most: int, key: str, text: str
+) -> DataFrame:
+    """``key``, ``text`` and label ``y`` of the labelled documents, at most ``most`` of them.
 
     Beyond ``most`` labelled rows a part is drawn by a hash of the id, so the
     draw does not depend on order or partitioning.  The chosen label rows are
@@ -25,4 +27,5 @@ def fit_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, key: str
         share = int(0.95 * most / count * 1_000_000)
         drawn = F.pmod(F.xxhash64(F.col("_key"), F.lit("fit")), F.lit(1_000_000)) < share
         known = known.where(drawn).limit(most)
-    return docs.drop("y").join(F.broadcast(known), F.col(key) == F.col("_key")).drop("_key")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return rows.join(F.broadcast(known), F.col("key") == F.col("_key")).select("key", "text", "y")

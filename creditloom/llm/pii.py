@@ -321,12 +321,12 @@ def sanitise(
     """
     found = find(docs, key, text, **options).where("size(spans) > 0")
     found = written(found.select("k0", "k1", "spans").dropDuplicates(["k0", "k1"]))
-    found = found.select(F.col("k0").alias("_k0"), F.col("k1").alias("_k1"), F.col("spans").alias("_spans"))
+    found = found.select(F.col("k0").alias("__pii_k0"), F.col("k1").alias("__pii_k1"), F.col("spans").alias("__pii_spans"))
     k0, k1 = _row_key(key, text)
-    joined = docs.withColumns({"_own0": k0, "_own1": k1}).join(
+    joined = docs.withColumns({"__pii_own0": k0, "__pii_own1": k1}).join(
         if_small(found, 50_000),
-        (F.col("_own0") == F.col("_k0")) & (F.col("_own1") == F.col("_k1")),
+        (F.col("__pii_own0") == F.col("__pii_k0")) & (F.col("__pii_own1") == F.col("__pii_k1")),
         "left",
     )
-    new = F.when(F.col("_spans").isNotNull(), rewritten(F.col(text), F.col("_spans")))
+    new = F.when(F.col("__pii_spans").isNotNull(), rewritten(F.col(text), F.col("__pii_spans")))
     return joined.withColumn(text, F.coalesce(new, F.col(text))).select(*docs.columns)

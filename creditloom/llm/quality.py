@@ -116,15 +116,15 @@ def fit(
     width = BUCKETS + 3 * BANDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, text):
-            counts = [terms_of(t).tobytes() for t in texts_of(batch, text)]
+        for batch in steps(batches):
+            counts = [terms_of(t).tobytes() for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("order"), batch.column("y"), pa.array(counts, pa.binary())],
                 names=["order", "y", "counts"],
             )
 
-    order = F.xxhash64(F.lit("order"), F.col(key).cast("string"), F.col(text)).alias("order")
-    rows = fit_rows(docs, labels, label, most, key).select(order, "y", text)
+    order = F.xxhash64(F.lit("order"), F.col("key").cast("string"), F.col("text")).alias("order")
+    rows = fit_rows(docs, labels, label, most, key, text).select(order, "y", "text")
     found = rows.mapInArrow(run, "order long, y double, counts binary").toArrow().sort_by("order")
     counts = np.frombuffer(b"".join(found.column("counts").to_pylist()), dtype=np.float32)
     y = found.column("y").to_numpy().astype(np.float32)

@@ -134,9 +134,10 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         "http_header",
         field_of(header, "WARC-Type").alias("record_type"),
         field_of(header, "WARC-Target-URI").alias("target"),
-        F.regexp_extract(field_of(header, "WARC-Refers-To"), "^<urn:record:(.*)>$", 1).alias(
-            "refers_to"
-        ),
+        F.nullif(
+            F.regexp_extract(field_of(header, "WARC-Refers-To"), "^<urn:record:(.*)>$", 1),
+            F.lit(""),
+        ).alias("refers_to"),
         F.regexp_replace(field_of(header, "WARC-Payload-Digest"), "^sha1:", "").alias(
             "payload_digest"
         ),
