@@ -36,6 +36,8 @@ FOREST = {
     "maxDepth": 8, "numTrees": 300, "subsamplingRate": 0.8, "featureSubsetStrategy": "sqrt",
     "minInstancesPerNode": 20, "seed": 42,
 }
+#: Rounds without a smaller held-out loss after which boosting is over.
+PATIENCE = 50
 LINEAR = {"maxIter": 100, "regParam": 0.01, "elasticNetParam": 0.0}
 
 
@@ -43,9 +45,9 @@ LINEAR = {"maxIter": 100, "regParam": 0.01, "elasticNetParam": 0.0}
 class Learner:
     """A Spark ML classifier with its defaults and what it needs of its input.
 
-    ``validated`` learners stop early on the held-out rows, ``median`` fills
-    nulls with medians, ``positive`` weighs the positive class (None: not at
-    all, 0: balanced).
+    ``validated`` learners keep as many rounds as are best on the held-out rows,
+    ``median`` fills nulls with medians, ``positive`` weighs the positive class
+    (None: not at all, 0: balanced).
     """
 
     make: Callable[..., Estimator]
@@ -96,6 +98,34 @@ def with_score(model: Model, rows: DataFrame, name: str = "score") -> DataFrame:
     return out.drop("rawPrediction", "probability", "prediction")
 
 
+def best_round(losses: list[float], patience: int = PATIENCE) -> int:
+    """Round with the least loss before ``patience`` rounds brought nothing better."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def fit_rounds(estimator: Estimator, rows: DataFrame, held: DataFrame, patience: int) -> Model:
+    """Boosted trees cut at the best round on ``held``.
+
+    All rounds are fitted, since Spark's own validation stops at the first round
+    that gains too little.  Their losses come from one pass; the shorter model is
+    fitted anew, with the same seed and thus the same trees.
+    """
+    model = estimator.fit(rows)
+    if held.limit(1).count() == 0:
+        return model
+    losses = model.evaluateEachIteration(held)
+    best = best_round(losses, patience)
+    if best == len(losses):
+        return model
+    return estimator.copy({estimator.maxIter: best}).fit(rows)
+
+
 def model_rows(
     folded: DataFrame, encodings: DataFrame | None, fold: int, numeric: list[str],
     encoded: list[str], fills: dict[str, float],
@@ -130,18 +160,21 @@ def train_cv(
     numeric = [c for c in numeric_feature_columns(df) if c in set(chosen)]
     encoded = present_encoded(df) if target_encoding else []
     used = df.select(APPLICANT, LABEL, *numeric, *encoded)
-    weighted = _weighted(stratified_folds(used, n_folds), spec.positive)
+    settings = spec.defaults | (params or {})
+    positive = settings.pop("positive", spec.positive)  # ours, not the classifier's
+    weighted = _weighted(stratified_folds(used, n_folds), positive)
     folded = materialised(weighted)
     encodings = materialised(fold_encodings(folded, encoded)) if encoded else None
     fills = column_fills(folded, numeric, spec.median)
-    settings = spec.defaults | (params or {})
 
     def fit(k: int) -> tuple[Model, DataFrame]:
         rows = model_rows(folded, encodings, k, numeric, encoded, fills)
         rows = rows.withColumn(HELD, F.col("fold") == k).persist()  # boosting rereads them
         estimator = spec.make(featuresCol=VECTOR, labelCol=LABEL, weightCol="weight", **settings)
         if spec.validated:
-            model = estimator.setValidationIndicatorCol(HELD).fit(rows)
+            model = fit_rounds(
+                estimator, rows.where(~F.col(HELD)), rows.where(F.col(HELD)), PATIENCE
+            )
         else:
             model = estimator.fit(rows.where(~F.col(HELD)))
         held = with_score(model, rows.where(F.col(HELD)))
@@ -203,6 +236,7 @@ def draw_params(n_trials: int, seed: int = 42) -> list[dict]:
             "subsamplingRate": rng.uniform(0.6, 0.95),
             "featureSubsetStrategy": f"{rng.uniform(0.5, 0.9):.4f}",
             "minInstancesPerNode": rng.randint(5, 100),
+            "positive": rng.uniform(1.0, 5.0),
         }
         for _ in range(n_trials)
     ]
@@ -223,12 +257,12 @@ def random_search(
     ]
     rows = [
         (i, p["maxDepth"], p["stepSize"], p["subsamplingRate"], float(p["featureSubsetStrategy"]),
-         p["minInstancesPerNode"], auc)
+         p["minInstancesPerNode"], p["positive"], auc)
         for i, (p, auc) in enumerate(zip(trials, aucs, strict=True))
     ]
     schema = (
         "trial int, max_depth int, step_size double, row_share double, column_share double,"
-        " min_rows int, auc double"
+        " min_rows int, positive_weight double, auc double"
     )
     best = trials[max(range(n_trials), key=lambda i: aucs[i])]
     return {**best, "maxIter": rounds}, df.sparkSession.createDataFrame(rows, schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from operator import sub
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,23 +21,31 @@ def steps(start: float, stop: float, step: float) -> list[float]:
     return [start + i * step for i in range(max(0, math.ceil((stop - start) / step)))]
 
 
+def weight_grid(
+    lows: list[float], high: float, step: float, floor: float = 0.0
+) -> list[tuple[float, ...]]:
+    """Weights that sum to one: all but the last on a grid from their lower bound.
+
+    Together they stay below ``high``; what is left is the last weight, which is
+    at least ``floor``.
+    """
+    out: list[tuple[float, ...]] = [()]
+    for low in lows:
+        out = [w + (x,) for w in out for x in steps(low, reduce(sub, w, high), step)]
+    whole = [(*w, reduce(sub, w, 1.0)) for w in out]
+    return [w for w in whole if w[-1] >= floor]
+
+
 def weights_2() -> list[tuple[float, ...]]:
-    return [(w, 1 - w) for w in steps(0.3, 0.71, 0.01)]
+    return weight_grid([0.3], 0.71, 0.01)
 
 
 def weights_3(step: float = 0.02) -> list[tuple[float, ...]]:
-    pairs = ((a, b) for a in steps(0.2, 0.71, step) for b in steps(0.1, 0.71 - a, step))
-    return [(a, b, 1.0 - a - b) for a, b in pairs if 1.0 - a - b >= 0.05]
+    return weight_grid([0.2, 0.1], 0.71, step, 0.05)
 
 
 def weights_4(step: float = 0.04) -> list[tuple[float, ...]]:
-    out = []
-    for a in steps(0.1, 0.61, step):
-        for b in steps(0.05, 0.61 - a, step):
-            for c in steps(0.05, 0.61 - a - b, step):
-                if 1.0 - a - b - c >= 0.05:
-                    out.append((a, b, c, 1.0 - a - b - c))
-    return out
+    return weight_grid([0.1, 0.05, 0.05], 0.61, step, 0.05)
 
 
 def blended(scores: list[str], weights: list[Column] | tuple[float, ...]) -> Column:
@@ -49,10 +58,13 @@ def blended(scores: list[str], weights: list[Column] | tuple[float, ...]) -> Col
 
 
 def blend_scores(tables: list[DataFrame], weights: tuple[float, ...], key: str, score: str) -> DataFrame:
-    """Blend separate score tables, matched by key."""
+    """Blend separate score tables, matched by key; a key without one of the scores is an error."""
     named = [t.select(key, F.col(score).alias(f"_s{i}")) for i, t in enumerate(tables)]
-    wide = reduce(lambda a, b: a.join(b, key), named)
-    return wide.select(key, blended([f"_s{i}" for i in range(len(tables))], weights).alias(score))
+    wide = reduce(lambda a, b: a.join(b, key, "full"), named)
+    names = [f"_s{i}" for i in range(len(tables))]
+    whole = reduce(lambda a, b: a & b, (F.col(n).isNotNull() for n in names))
+    lost = F.raise_error(F.concat(F.lit("a model has no score for "), F.col(key).cast("string")))
+    return wide.select(key, F.when(whole, blended(names, weights)).otherwise(lost).alias(score))
 
 
 def grid_auc(

@@ -64,7 +64,7 @@ def distinct_counts(df: DataFrame, key: str, named: dict[str, str]) -> DataFrame
 def count_values(df: DataFrame, column: str) -> DataFrame:
     """Frequency and share of each value, null included."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    whole = df.agg(F.count(F.lit(1))).scalar()  # scalar subquery, one number
+    whole = counts.agg(F.sum("n")).scalar()  # one number, from the same grouping
     return counts.select(F.col(column).alias("value"), "n", (F.col("n") / whole).alias("share"))
 
 
@@ -77,13 +77,14 @@ def rows_per_key(df: DataFrame, key: str) -> DataFrame:
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
     often = sizes.groupBy("size").agg(F.count(F.lit(1)).alias("times"))
     n, s = F.sum("times"), F.sum(F.col("size") * F.col("times"))
-    squares = F.sum((F.col("size") * F.col("size") * F.col("times")).cast("double"))
-    variance = F.try_divide(squares - s.cast("double") * s / n, n - 1)
+    mean = often.agg(s / n).scalar()  # one number
+    apart = F.sum(F.pow(F.col("size") - mean, 2) * F.col("times"))
+    variance = F.try_divide(apart, n - 1)
     quart = {q: F.percentile("size", p, F.col("times")) for q, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))}
     return often.agg(
         n.alias("keys"),
         (s / n).alias("mean"),
-        F.sqrt(F.greatest(variance, F.lit(0.0))).alias("std"),
+        F.sqrt(variance).alias("std"),
         F.min("size").alias("min"),
         *(expr.alias(name) for name, expr in quart.items()),
         F.max("size").alias("max"),

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a lookup table is sent to every executor.
 BROADCAST_ROWS = 500_000
-#: Copies of a lookup table that is too large to broadcast.
-SALTS = 32
+#: Rows of one key that a task gets at most when the lookup is too large to broadcast.
+KEY_ROWS = 1_000_000
 
 
 def is_small(lookup: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> bool:
@@ -25,14 +25,18 @@ def lookup_join(
 
     Lookup keys such as categories are skewed: one of them may own a third of
     the rows.  A lookup of counted, small size is broadcast, so rows do not move.
-    A larger one is joined on key and salt: rows of one key spread over
-    ``SALTS`` tasks and the lookup is repeated once per salt.  ``small`` passes on
-    a size check made before.
+    A larger one is joined on key and salt, with as many salts as the most
+    frequent key needs for tasks of ``KEY_ROWS`` rows; the lookup is repeated once
+    per salt.  ``small`` passes on a size check made before.
     """
     if is_small(lookup) if small is None else small:
         return rows.join(F.broadcast(lookup), on, "left")
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
-    repeated = lookup.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    most = rows.groupBy(*on).count().agg(F.max("count")).first()[0] or 0
+    salts = max(1, -(-most // KEY_ROWS))
+    if salts == 1:
+        return rows.join(lookup, on, "left")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*on, "_salt"], "left").drop("_salt")
 
 
@@ -46,5 +50,12 @@ def join_features(base: DataFrame, features: list[DataFrame], key: str) -> DataF
 
 
 def outer_join_features(features: list[DataFrame], key: str) -> DataFrame:
-    """Full outer join of feature tables; a key in any of them gets a row."""
-    return reduce(lambda left, right: left.join(right, key, "full"), features)
+    """Full outer join of feature tables with one row per key, all other columns distinct.
+
+    The tables are put below each other with nulls for the columns they lack and
+    grouped once: a chain of full joins would move the growing left side at every
+    step.  Rows without a key become one row.
+    """
+    rows = reduce(lambda above, below: above.unionByName(below, allowMissingColumns=True), features)
+    names = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(*(F.max(c).alias(c) for c in names))

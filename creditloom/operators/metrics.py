@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditloom.operators.ordered import MOST_PARTS, prefix_totals
+from creditloom.session import materialised
 from creditloom.sources.schemas import LABEL
 
 #: Distinct scores up to which one task may do the running sums.
@@ -33,6 +34,7 @@ def _running(
     scores are range-partitioned and each partition starts from its offset.
     """
     names = {f"{POSITIVES}_upto": POSITIVES, f"{NEGATIVES}_upto": NEGATIVES}
+    counts = materialised(counts)  # counted, then read: grouped once
     n = counts.count()
     if n > window_scores:
         parts = min(MOST_PARTS, int(n // window_scores) + 1)

@@ -80,10 +80,15 @@ def _ranked_by_window(df: DataFrame, key: str, time: str, ties: list[str]) -> Da
 
 
 def _ranked_by_range(df: DataFrame, key: str, time: str, ties: list[str], parts: int) -> DataFrame:
-    """The same two columns for large keys, none of which fits one task."""
+    """The same two columns for large keys, none of which fits one task.
+
+    Equal rows are told apart by a number, so that even a key of equal rows is
+    cut into ranges; the rows are written with it before they are dealt out.
+    """
     columns = [c for c in df.columns if c != COPIES]
-    merged = df.groupBy(*columns).agg(F.sum(COPIES).alias(COPIES))  # copies become one row
-    spread = prefix_totals(merged, [key], _order(time, ties), {RANK: COPIES}, parts)
+    numbered = materialised(df.withColumn("_tie", F.monotonically_increasing_id()))
+    order = [*_order(time, ties), F.col("_tie").asc()]
+    spread = prefix_totals(numbered, [key], order, {RANK: COPIES}, parts)
     sizes = df.groupBy(key).agg(F.sum(COPIES).alias(SIZE))
     out = spread.join(F.broadcast(sizes), key)  # one row per large key
     before = F.col(RANK) - F.col(COPIES)
@@ -207,14 +212,47 @@ def gap_statistics(
     return cold.unionByName(merged)
 
 
-def with_gaps(df: DataFrame, key: str, time: str) -> DataFrame:
-    """``gap``: step from the previous time of the same key, null for the first."""
+def with_gaps(df: DataFrame, key: str, time: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``gap``: step from the previous time of the same key, null for the first.
+
+    A key of at least ``hot_rows`` rows is cut into ranges of time; the first
+    row of a range takes the last time of the range before it.
+    """
+    hot = hot_keys(df, key, hot_rows)
+    if hot is None:
+        return _with_gaps_by_window(df, key, time)
+    names = F.broadcast(hot.select(key))  # at most rows / hot_rows keys
+    cold = _with_gaps_by_window(df.join(names, key, "left_anti"), key, time)
+    hot_total = hot.agg(F.sum("_rows")).first()[0]
+    parts = min(MOST_PARTS, max(2, int(hot_total // hot_rows) + 1))
+    large = _with_gaps_by_range(df.join(names, key, "left_semi"), key, time, parts)
+    return cold.unionByName(large)
+
+
+def _with_gaps_by_window(df: DataFrame, key: str, time: str) -> DataFrame:
     previous = F.lag(time, 1).over(Window.partitionBy(key).orderBy(F.col(time).asc_nulls_first()))
     return df.withColumn("gap", F.col(time) - previous)
 
 
+def _with_gaps_by_range(df: DataFrame, key: str, time: str, parts: int) -> DataFrame:
+    numbered = materialised(df.withColumn("_tie", F.monotonically_increasing_id()))
+    order = [F.col(time).asc_nulls_first(), F.col("_tie").asc()]
+    placed = materialised(
+        numbered.repartitionByRange(parts, key, *order).withColumn("_part", F.spark_partition_id())
+    )
+    inside = Window.partitionBy(key, "_part").orderBy(*order)
+    ends = placed.groupBy(key, "_part").agg(F.max(time).alias("_last"))
+    before = ends.select(
+        key, "_part", F.lag("_last").over(Window.partitionBy(key).orderBy("_part")).alias("_before")
+    )
+    joined = placed.join(F.broadcast(before), [key, "_part"])  # parts and keys at most
+    first = F.row_number().over(inside) == 1
+    previous = F.when(first, F.col("_before")).otherwise(F.lag(time).over(inside))
+    return joined.withColumn("gap", F.col(time) - previous).select(*df.columns, "gap")
+
+
 def _gaps_by_lag(rows: DataFrame, key: str, time: str, names: dict[str, str]) -> DataFrame:
-    steps = with_gaps(rows, key, time).where(F.col("gap").isNotNull())
+    steps = _with_gaps_by_window(rows, key, time).where(F.col("gap").isNotNull())
     return steps.groupBy(key).agg(
         F.min("gap").alias(names["min"]),
         F.avg("gap").alias(names["mean"]),
@@ -225,12 +263,14 @@ def _gaps_by_lag(rows: DataFrame, key: str, time: str, names: dict[str, str]) ->
 def _gaps_by_time(rows: DataFrame, key: str, time: str, names: dict[str, str]) -> DataFrame:
     times = rows.groupBy(key, time).agg(F.count(F.lit(1)).alias("_times"))
     # whole-number offsets: one row per distinct day or month of the key
-    steps = with_gaps(times, key, time)
+    steps = _with_gaps_by_window(times, key, time)
     zeros = F.sum(F.col("_times") - 1)
-    n = F.count("gap") + zeros
     gap = F.col("gap").cast("double")
-    s, squares = F.coalesce(F.sum(gap), F.lit(0.0)), F.coalesce(F.sum(gap * gap), F.lit(0.0))
-    variance = F.try_divide(squares - F.try_divide(s * s, n), n - 1)
+    n, s = F.count("gap") + zeros, F.coalesce(F.sum(gap), F.lit(0.0))
+    # deviation of the gaps, and of their mean from the zeros
+    spread = F.coalesce(F.var_pop(gap), F.lit(0.0)) * F.count("gap")
+    apart = F.try_divide(F.count("gap") * zeros, n) * F.pow(F.coalesce(F.avg(gap), F.lit(0.0)), 2)
+    variance = F.try_divide(spread + F.coalesce(apart, F.lit(0.0)), n - 1)
     smallest = F.when(zeros > 0, F.lit(0)).otherwise(F.min("gap"))
     return steps.groupBy(key).agg(
         smallest.cast(rows.schema[time].dataType).alias(names["min"]),

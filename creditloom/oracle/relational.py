@@ -145,8 +145,8 @@ def oracles() -> dict[str, str]:
         ),
         "left_join_parent_key": with_views(
             ["bureau", "bureau_balance"],
-            f"SELECT {KEY}, SK_ID_BUREAU, cast(MONTHS_BALANCE as bigint) AS MONTHS_BALANCE, STATUS,"
-            f" count(*) AS _copies FROM {feat.OWNED} GROUP BY ALL",
+            "SELECT SK_ID_CURR, m.SK_ID_BUREAU, cast(MONTHS_BALANCE as bigint) AS MONTHS_BALANCE,"
+            " STATUS FROM bureau_balance m LEFT JOIN bureau c ON c.SK_ID_BUREAU = m.SK_ID_BUREAU",
         ),
         "inner_join_halves": _one(POS, feat.h2_parts()[2], KEY),
         "full_join_features": settled(

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from creditloom.sources.mapped import oracle_view
 
-#: Fraction added before flooring a number to its grid.  Its digits keep decimal
-#: and dyadic fractions, which are common in the data, away from a grid edge.
-OFFSET = 0.3718281828
+#: Significant digits to which numbers with a fraction are rounded.
+DIGITS = 9
+#: From where the digit after them counts up.
+HALF = "0.5001e0"
+#: Numbers below it are differences of equal sums and count as zero.
+NOISE = "1e-9"
 
 
 def settled(sql: str, *keys: str) -> str:
-    """All columns but ``keys`` as doubles on a grid, about seven digits.
+    """All columns but ``keys`` as doubles, rounded to ``DIGITS`` significant digits.
 
-    Sums of doubles depend on the order of addition; two engines agree on the
-    grid value although their last bits differ.
+    Sums of doubles depend on the order of addition, so the last bits of two
+    engines differ.
     """
     x = f"cast(COLUMNS(* EXCLUDE ({', '.join(keys)})) as double)"
     lead = ", ".join(keys)
@@ -21,10 +24,17 @@ def settled(sql: str, *keys: str) -> str:
 
 
 def grid(x: str) -> str:
+    """``x`` to ``DIGITS`` significant digits; whole numbers stay as they are.
+
+    Halves go up, also if the order of addition leaves them a hair below: means
+    of cents often end in a 5.
+    """
+    up = f"pow(10e0, {DIGITS - 1} - floor(log10(abs({x}))))"
+    down = f"pow(10e0, floor(log10(abs({x}))) - {DIGITS - 1})"
     return (
-        f"CASE WHEN abs({x}) < 100 THEN floor({x} * 1e6 + {OFFSET}e0) / 1e6"
-        f" WHEN abs({x}) < 1e5 THEN floor({x} * 1e3 + {OFFSET}e0) / 1e3"
-        f" ELSE floor({x} + {OFFSET}e0) END"
+        f"CASE WHEN {x} = floor({x}) THEN {x} WHEN abs({x}) < {NOISE} THEN 0e0"
+        f" WHEN abs({x}) < 1e{DIGITS} THEN sign({x}) * (floor(abs({x}) * {up} + {HALF}) / {up})"
+        f" ELSE sign({x}) * (floor(abs({x}) / {down} + {HALF}) * {down}) END"
     )
 
 

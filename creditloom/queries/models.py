@@ -46,7 +46,7 @@ def _fold_table(learner: str):
 
 def _saved(spark: SparkSession, sf_dir: str):
     path = f"{scratch_dir(spark)}/model"
-    scoring.save_model(_run(spark, sf_dir, "boosted", 3), path)
+    scoring.save_model(_run(spark, sf_dir, "boosted"), path)
     return scoring.load_model(spark, path)
 
 
@@ -66,13 +66,13 @@ def _oof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _model_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, "forest", 2).importance
+    return _run(spark, sf_dir, "forest").importance
 
 
 def _search(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = _train(spark, sf_dir)
     names = [c for c in numeric_feature_columns(train) if c.startswith("APP_")]
-    return training.random_search(train, 2, 2, names, rounds=3)[1]
+    return training.random_search(train, 2, 5, names, rounds=3, parallel=5)[1]
 
 
 def _ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,14 +85,14 @@ def _ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = {h: c for h, c in hyp.hypothesis_columns(wide).items() if c}
     base = [c for c in wide.columns if c.startswith("APP_EXT")]
     return training.ablation(
-        wide, base, groups, learner="linear", params={"maxIter": 5}, n_folds=2,
+        wide, base, groups, learner="linear", params=_SMALL["linear"],
         target_encoding=False,
     )
 
 
 def _contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = training.train_cv(
-        _train(spark, sf_dir), "boosted", _SMALL["boosted"], 2, target_encoding=False
+        _train(spark, sf_dir), "boosted", _SMALL["boosted"], target_encoding=False
     )
     rows = training.assembled(_train(spark, sf_dir).select(APPLICANT, LABEL, *result.numeric),
                               result.numeric, result.fills)

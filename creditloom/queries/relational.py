@@ -181,10 +181,13 @@ def left_join_child(t: Inputs) -> DataFrame:
     return joined.select(CREDIT, APPLICANT, "BB_MONTHS_COUNT", "BB_DPD_RATE")
 
 
-@across(APPLICANT, CREDIT, "MONTHS_BALANCE", "STATUS", o.COPIES)
+@across(APPLICANT, CREDIT, "MONTHS_BALANCE", "STATUS")
 def left_join_parent_key(t: Inputs) -> DataFrame:
-    cells = hyp.balance_cells(t["bureau_balance"], t["bureau"])
-    return cells.select(APPLICANT, CREDIT, "MONTHS_BALANCE", "STATUS", o.COPIES)
+    """Every monthly balance with its credit's applicant, null where there is no such credit."""
+    owners = t["bureau"].select(CREDIT, APPLICANT)
+    return t["bureau_balance"].join(owners, CREDIT, "left").select(
+        APPLICANT, CREDIT, "MONTHS_BALANCE", "STATUS"
+    )
 
 
 @over("POS_CASH_balance", APPLICANT)

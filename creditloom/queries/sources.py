@@ -84,7 +84,7 @@ def _fold_scores(spark: SparkSession, sf_dir: str, score: str) -> list[float]:
 def _run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/runs"
     for score in ("score_a", "score_b"):
-        params = {"score": score, "n_jobs": 8}
+        params = {"score": score}
         append_run(spark, path, score, _fold_scores(spark, sf_dir, score), 1, params)
     runs = read_runs(spark, path)
     kept = runs.select("name", "mean_auc", "std_auc", "n_features", "params")

@@ -17,11 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The building measurements of the applicant table, in fixture order.
-BUILDING_PARTS = (
-    "APARTMENTS BASEMENTAREA YEARS_BEGINEXPLUATATION YEARS_BUILD COMMONAREA ELEVATORS ENTRANCES"
-    " FLOORSMAX FLOORSMIN LANDAREA LIVINGAPARTMENTS LIVINGAREA NONLIVINGAPARTMENTS NONLIVINGAREA"
-).split()
+from creditloom.sources.schemas import BUILDING_PARTS
 
 _APPLICATION = """
 c_custkey AS SK_ID_CURR

@@ -58,3 +58,21 @@ def column_type(table: str, column: str) -> T.DataType:
     if column.startswith(_WHOLES):
         return T.IntegerType()
     return T.StringType()
+
+#: The building measurements of the applicant table.
+BUILDING_PARTS = [
+    "APARTMENTS",
+    "BASEMENTAREA",
+    "YEARS_BEGINEXPLUATATION",
+    "YEARS_BUILD",
+    "COMMONAREA",
+    "ELEVATORS",
+    "ENTRANCES",
+    "FLOORSMAX",
+    "FLOORSMIN",
+    "LANDAREA",
+    "LIVINGAPARTMENTS",
+    "LIVINGAREA",
+    "NONLIVINGAPARTMENTS",
+    "NONLIVINGAREA",
+]

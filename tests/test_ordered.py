@@ -69,15 +69,26 @@ def test_large_keys_are_found_and_ranked_the_same(frame):
     plain = o.ranked(frame, "k", "t", ["loan", "v"])
     spread = o.ranked(frame, "k", "t", ["loan", "v"], hot_rows=50)
 
-    def expanded(df):
-        out = []
-        for r in df.collect():
-            first = r[o.RANK]
-            numbers = range(first, first + r[o.COPIES]) if first is not None else [None] * r[o.COPIES]
-            out += [(r["k"], r["t"], r["loan"], r["v"], n, r[o.SIZE]) for n in numbers]
-        return sorted(out, key=str)
-
-    assert expanded(plain) == expanded(spread)
+    def rows(df):
+        return sorted(map(str, df.select("k", "t", "loan", "v", o.RANK, o.SIZE, o.COPIES).collect()))
+
+    assert plain.count() == frame.where("k is not null").count()
+    assert rows(plain) == rows(spread)
+
+
+@pytest.mark.parametrize("hot_rows", [3, 50])
+def test_halves_and_gaps_have_the_same_rows_for_large_keys(frame, hot_rows):
+    def rows(df):
+        return sorted(map(str, df.collect()))
+
+    columns = ["k", "t", "loan", "v", o.OLDER, o.RECENT]
+    plain = o.split_halves(frame, "k", "t", ["loan", "v"]).select(columns)
+    spread = o.split_halves(frame, "k", "t", ["loan", "v"], hot_rows=hot_rows).select(columns)
+    assert rows(plain) == rows(spread)
+    times = frame.select("k", "t")
+    assert rows(o.with_gaps(times, "k", "t")) == rows(
+        o.with_gaps(times, "k", "t", hot_rows).select("k", "t", "gap")
+    )
 
 
 def test_odd_size_and_short_groups(spark):
