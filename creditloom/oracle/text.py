@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
+from creditloom.functions.rounding import grid
 from creditloom.sources.mapped import oracle_view
 
-#: Significant digits to which numbers with a fraction are rounded.
-DIGITS = 9
-#: From where the digit after them counts up.
-HALF = "0.5001e0"
-#: Numbers below it are differences of equal sums and count as zero.
-NOISE = "1e-9"
-
-
 def settled(sql: str, *keys: str) -> str:
     """All columns but ``keys`` as doubles, rounded to ``DIGITS`` significant digits.
 
@@ -23,21 +16,6 @@ def settled(sql: str, *keys: str) -> str:
     return f"SELECT {lead}, {grid(x)} FROM ({sql}) s"
 
 
-def grid(x: str) -> str:
-    """``x`` to ``DIGITS`` significant digits; whole numbers stay as they are.
-
-    Halves go up, also if the order of addition leaves them a hair below: means
-    of cents often end in a 5.
-    """
-    up = f"pow(10e0, {DIGITS - 1} - floor(log10(abs({x}))))"
-    down = f"pow(10e0, floor(log10(abs({x}))) - {DIGITS - 1})"
-    return (
-        f"CASE WHEN {x} = floor({x}) THEN {x} WHEN abs({x}) < {NOISE} THEN 0e0"
-        f" WHEN abs({x}) < 1e{DIGITS} THEN sign({x}) * (floor(abs({x}) * {up} + {HALF}) / {up})"
-        f" ELSE sign({x}) * (floor(abs({x}) / {down} + {HALF}) * {down}) END"
-    )
-
-
 def lines(block: str) -> list[tuple[str, str]]:
     return [tuple(line.split(" = ", 1)) for line in block.strip().splitlines()]
 

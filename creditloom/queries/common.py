@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from creditloom.oracle.text import grid
+from creditloom.functions.rounding import grid
 from creditloom.sources.mapped import mapped_table
 from creditloom.sources.schemas import TABLES
 
@@ -24,7 +24,7 @@ class Inputs:
 
 
 def published(df: DataFrame, *keys: str) -> DataFrame:
-    """The form in which a result is compared: ``keys`` exact, all else on the grid.
+    """The form in which a result is compared: ``keys`` exact, all else to nine digits.
 
     Written as SQL text: one expression string per column is parsed in the JVM,
     where a chain of Column calls would cross into it dozens of times.

@@ -34,7 +34,7 @@ CASE WHEN c_custkey % 6 = 0 THEN 365243 ELSE -(c_custkey * 13 % 9000) END AS DAY
 -(c_custkey * 19 % 6000) AS DAYS_ID_PUBLISH
 -(c_custkey * 23 % 3000) AS DAYS_LAST_PHONE_CHANGE
 CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE (c_custkey * 613 % 1000) / 1000.0e0 END AS EXT_SOURCE_1
-CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE (c_acctbal + 1000.0e0) / 11000.0e0 END AS EXT_SOURCE_2
+CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE 0.3e0 * (c_acctbal + 1000.0e0) / 11000.0e0 + 0.7e0 * (c_custkey * 7177 % 1000) / 1000.0e0 END AS EXT_SOURCE_2
 CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE (c_custkey * 373 % 1000) / 1000.0e0 END AS EXT_SOURCE_3
 1 AS FLAG_CONT_MOBILE
 cast(c_custkey % 9 = 0 as int) AS FLAG_EMAIL

@@ -13,21 +13,40 @@ from creditloom.operators.profiling import column_profile
 from creditloom.sources.schemas import TABLES, column_type
 
 
-def scan_table(spark: SparkSession, name: str, data_dir: str, infer: bool = False) -> DataFrame:
+def scan_table(
+    spark: SparkSession, name: str, data_dir: str, infer: bool = False, lenient: bool = False
+) -> DataFrame:
     """Lazy scan of ``name`` in ``data_dir``: parquet when present, else CSV with a header.
 
     CSV columns are read as text and cast by declared type, so ``-3648.0`` in an
-    integer column is kept and a malformed number becomes null.  ``infer`` lets
-    Spark infer the types instead, at the price of one more pass.
+    integer column is kept.  A value that is no number of its column's type
+    (``oops``, or ``3.7`` in an integer column) stops the scan, unless
+    ``lenient``: then it is null, and :func:`rejected_values` counts such values.
+    ``infer`` lets Spark infer the types instead, at the price of one more pass.
     """
     parquet = _read(lambda: spark.read.parquet(f"{data_dir}/{name}.parquet"))
     if parquet is not None:
         return parquet
+    text = _csv_text(spark, name, data_dir, infer)
+    return text if infer else text.select([_typed(name, c, lenient) for c in text.columns])
+
+
+def _csv_text(spark: SparkSession, name: str, data_dir: str, infer: bool = False) -> DataFrame:
     reader = spark.read.option("header", True).option("escape", '"')
     text = _read(lambda: reader.option("inferSchema", infer).csv(f"{data_dir}/{name}.csv"))
     if text is None:
         raise FileNotFoundError(f"no table {name} in {data_dir}")
-    return text if infer else text.select([_typed(name, c) for c in text.columns])
+    return text
+
+
+def rejected_values(spark: SparkSession, name: str, data_dir: str) -> DataFrame:
+    """``column`` and number ``n`` of CSV values that are not of their column's type."""
+    text = _csv_text(spark, name, data_dir)
+    counts = [
+        F.struct(F.lit(c).alias("column"), F.count_if(_is_rejected(name, c)).alias("n"))
+        for c in text.columns
+    ]
+    return text.agg(F.array(*counts).alias("_c")).select(F.inline("_c")).where("n > 0")
 
 
 def load_table(spark: SparkSession, name: str, data_dir: str) -> DataFrame:
@@ -155,11 +174,26 @@ def _read(attempt: Callable[[], DataFrame]) -> DataFrame | None:
         raise
 
 
-def _typed(table: str, column: str) -> Column:
+def _converted(table: str, column: str) -> Column:
+    """The column in its declared type, null where that cannot be."""
     kind = column_type(table, column)
     value = F.col(f"`{column}`")
     if isinstance(kind, T.StringType):
-        return value.alias(column)
-    if isinstance(kind, (T.IntegerType,)):
-        value = value.try_cast("double")
-    return value.try_cast(kind).alias(column)
+        return value
+    if isinstance(kind, (T.IntegerType, T.LongType)):
+        exact = value.try_cast("decimal(38,6)")
+        value = F.when(exact == F.floor(exact), exact)
+    return value.try_cast(kind)
+
+
+def _is_rejected(table: str, column: str) -> Column:
+    value = F.col(f"`{column}`")
+    return F.coalesce(value != "", F.lit(False)) & _converted(table, column).isNull()
+
+
+def _typed(table: str, column: str, lenient: bool) -> Column:
+    typed = _converted(table, column)
+    if not lenient and not isinstance(column_type(table, column), T.StringType):
+        told = F.concat(F.lit(f"{table}.{column} is not a number: "), F.col(f"`{column}`"))
+        typed = F.when(_is_rejected(table, column), F.raise_error(told)).otherwise(typed)
+    return typed.alias(column)

@@ -24,16 +24,27 @@ def test_csv_is_typed_without_inference(spark, tmp_path):
     write(tmp_path, "bureau",
           "SK_ID_CURR,SK_ID_BUREAU,DAYS_CREDIT_ENDDATE,AMT_CREDIT_SUM,AMT_ANNUITY,CREDIT_TYPE\n"
           '1,10,-153.0,5.5,XNA,"a, b"\n2,11,,oops,7,c\n')
-    df = io.scan_table(spark, "bureau", str(tmp_path))
+    df = io.scan_table(spark, "bureau", str(tmp_path), lenient=True)
     kinds = {f.name: f.dataType for f in df.schema}
     assert kinds["SK_ID_CURR"] == T.LongType() and kinds["DAYS_CREDIT_ENDDATE"] == T.IntegerType()
     assert kinds["AMT_ANNUITY"] == T.StringType()
     rows = [tuple(r) for r in df.orderBy("SK_ID_CURR").collect()]
     assert rows == [(1, 10, -153, 5.5, "XNA", "a, b"), (2, 11, None, None, "7", "c")]
+    rejected = io.rejected_values(spark, "bureau", str(tmp_path)).collect()
+    assert [tuple(r) for r in rejected] == [("AMT_CREDIT_SUM", 1)]
+    with pytest.raises(Exception, match="AMT_CREDIT_SUM is not a number: oops"):
+        io.scan_table(spark, "bureau", str(tmp_path)).collect()
     inferred = io.scan_table(spark, "bureau", str(tmp_path), infer=True)
     assert dict(inferred.dtypes)["AMT_ANNUITY"] == "string"
 
 
+def test_fractions_in_integer_columns(spark, tmp_path):
+    write(tmp_path, "bureau", "SK_ID_CURR,DAYS_CREDIT_ENDDATE\n1,3.7\n2,-8.0\n3,\n")
+    df = io.scan_table(spark, "bureau", str(tmp_path), lenient=True)
+    assert [r[1] for r in df.orderBy("SK_ID_CURR").collect()] == [None, -8, None]
+    assert io.rejected_values(spark, "bureau", str(tmp_path)).first()["n"] == 1
+
+
 def test_type_rules():
     assert column_type("application_train", "AMT_REQ_CREDIT_BUREAU_MON") == T.IntegerType()
     assert column_type("application_train", "FLAG_OWN_CAR") == T.StringType()
@@ -78,7 +89,7 @@ def test_cache_is_reused_and_rebuilt(spark, tmp_path):
 
 def test_logs_append_and_merge(spark, tmp_path):
     path = f"{tmp_path}/runs"
-    logs.append_run(spark, path, "one, two", [0.7, 0.8], 12, {"depth": 6, "n_jobs": 4})
+    logs.append_run(spark, path, "one, two", [0.7, 0.8], 12, {"depth": 6})
     logs.append_run(spark, path, "b", [0.6], 3, {})
     rows = {r["name"]: r for r in logs.read_runs(spark, path).collect()}
     assert rows["one, two"]["mean_auc"] == 0.75 and rows["one, two"]["std_auc"] == 0.05
