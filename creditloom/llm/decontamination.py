@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creditloom.llm.text import steps, texts_of, with_arrays, with_fields, words_of
+from creditloom.llm.text import mapped, steps, texts_of, with_arrays, with_fields, words_of
 from creditloom.session import scratch_dir
 
 WINDOW = 13
@@ -133,7 +133,7 @@ def find_benchmark(
             path = scratch_dir(spark)
             out.write.parquet(path)
             out = spark.read.parquet(path)
-        out = out.mapInArrow(_search_batches(shared, text, window, part > 0), schema)
+        out = mapped(out, _search_batches(shared, text, window, part > 0), schema)
     return out
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from creditloom.llm.text import steps, with_arrays, with_fields
+from creditloom.llm.text import mapped, steps, with_arrays, with_fields
 
 #: Element names by their part in the page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -194,4 +194,4 @@ def extract(pages: DataFrame, html: str = "html", name: str = "text") -> DataFra
             found = [main_text(x or "") for x in batch.column(html).to_pylist()]
             yield with_arrays(batch, {name: pa.array(found, pa.string())})
 
-    return pages.mapInArrow(run, with_fields(pages.schema, [T.StructField(name, T.StringType())]))
+    return mapped(pages, run, with_fields(pages.schema, [T.StructField(name, T.StringType())]))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creditloom.llm.text import steps, with_arrays, with_fields
+from creditloom.llm.text import mapped, steps, with_arrays, with_fields
 
 SIZE, RUN = 1024, 3
 
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", size: int = SIZ
     rows = docs.where(F.col(lang).isNotNull()).select(
         F.col(lang).cast("string").alias(lang), text
     )
-    parts = rows.mapInArrow(run, "lang string, place int, value double")
+    parts = mapped(rows, run, "lang string, place int, value double")
     sums = parts.groupBy("lang", "place").agg(F.sum("value").alias("value")).toArrow()
     names = sorted(set(sums.column("lang").to_pylist()))
     vectors = np.zeros((len(names), size))
@@ -187,5 +187,5 @@ def predict(docs: DataFrame, prototypes: Prototypes, text: str = "text") -> Data
                 },
             )
 
-    return docs.mapInArrow(run, with_fields(docs.schema, FIELDS))
+    return mapped(docs, run, with_fields(docs.schema, FIELDS))
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.llm.tables import components, if_small, written
-from creditloom.llm.text import steps, texts_of, word_codes, words_of
+from creditloom.llm.text import mapped, steps, texts_of, word_codes, words_of
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9995
 TREES, LABEL = 16, 8
@@ -123,9 +123,8 @@ def signed(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
             )
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(
-        run, "doc_id long, same binary, prefixes array<long>, s0 long, s1 long"
-    )
+    schema = "doc_id long, same binary, prefixes array<long>, s0 long, s1 long"
+    return mapped(rows, run, schema)
 
 
 def _alike(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
@@ -169,7 +168,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(run, "a long, b long, similarity double")
+    return mapped(rows, run, "a long, b long, similarity double")
 
 
 def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:

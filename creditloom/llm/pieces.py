@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from creditloom.llm.text import steps, texts_of, with_arrays, with_fields
+from creditloom.llm.text import mapped, steps, texts_of, with_arrays, with_fields
 
 BLANK = "▁"
 LATIN = "A-Za-zÀ-ɏ"
 
 #: Distinct chunks (twice as many at most: those seen lately and those before) and
 #: pairs of tokens that a task remembers.
-CHUNKS, PAIRS = 200_000, 400_000
+CHUNKS, PAIRS = 150_000, 300_000
 
 codecs.register_error(
     "per_byte", lambda e: ("�" * (e.end - e.start), e.end)
@@ -248,16 +248,44 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
-        for batch in steps(batches, text):
-            rows = [encoder.encode(x.decode()) for x in texts_of(batch, text)]
-            ends = np.cumsum([0] + [len(r) // 4 for r in rows]).astype(np.int32)
-            values = pa.Array.from_buffers(
-                pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(rows))]
-            )
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        for batch in steps(batches, text, 1 << 20):
+            lists = _packed([encoder.encode(x.decode()) for x in texts_of(batch, text)])
             yield with_arrays(batch, {ids: lists})
 
-    return docs.mapInArrow(run, with_fields(docs.schema, [field]))
+    return mapped(docs, run, with_fields(docs.schema, [field]))
+
+
+def round_trip(
+    docs: DataFrame,
+    vocabulary: Vocabulary,
+    text: str = "text",
+    ids: str = "ids",
+    decoded: str = "decoded",
+) -> DataFrame:
+    """:func:`encode` and :func:`decode` of its ids in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    fields = [
+        T.StructField(ids, T.ArrayType(T.IntegerType(), False)),
+        T.StructField(decoded, T.StringType()),
+    ]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
+        for batch in steps(batches, text, 1 << 20):
+            lists = _packed([encoder.encode(x.decode()) for x in texts_of(batch, text)])
+            texts = [decoder.decode(r) for r in _lists(lists)]
+            yield with_arrays(batch, {ids: lists, decoded: pa.array(texts, pa.string())})
+
+    return mapped(docs, run, with_fields(docs.schema, fields))
+
+
+def _packed(rows: list[bytes]) -> pa.ListArray:
+    """Rows of packed 32-bit integers as an array column."""
+    ends = np.cumsum([0] + [len(r) // 4 for r in rows]).astype(np.int32)
+    values = pa.Array.from_buffers(
+        pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(rows))]
+    )
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
 def _lists(column: pa.ListArray) -> Iterator[list[int]]:
@@ -285,4 +313,4 @@ def decode(
                 texts = [decoder.decode(r) for r in _lists(batch.column(ids))]
                 yield with_arrays(batch, {text: pa.array(texts, pa.string())})
 
-    return docs.mapInArrow(run, with_fields(docs.schema, [T.StructField(text, T.StringType())]))
+    return mapped(docs, run, with_fields(docs.schema, [T.StructField(text, T.StringType())]))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creditloom.llm.labels import fit_rows
-from creditloom.llm.text import steps, texts_of, with_arrays, with_fields, words_of
+from creditloom.llm.text import mapped, steps, texts_of, with_arrays, with_fields, words_of
 
 #: Most labelled documents that are fitted on and vote; bounds the broadcast.
 FIT_ROWS = 4_000
@@ -125,7 +125,7 @@ def fit(
 
     order = F.xxhash64(F.lit("order"), F.col("key").cast("string"), F.col("text")).alias("order")
     rows = fit_rows(docs, labels, label, most, key, text).select(order, "y", "text")
-    found = rows.mapInArrow(run, "order long, y double, counts binary").toArrow().sort_by("order")
+    found = mapped(rows, run, "order long, y double, counts binary").toArrow().sort_by("order")
     counts = np.frombuffer(b"".join(found.column("counts").to_pylist()), dtype=np.float32)
     y = found.column("y").to_numpy().astype(np.float32)
     return learned(counts.reshape(-1, width), y)
@@ -149,4 +149,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
             values = np.clip(np.concatenate(scores), 0.0, 1.0).astype(np.float64)
             yield with_arrays(batch, {name: pa.array(values, pa.float64())})
 
-    return docs.mapInArrow(run, with_fields(docs.schema, [T.StructField(name, T.DoubleType())]))
+    return mapped(docs, run, with_fields(docs.schema, [T.StructField(name, T.DoubleType())]))

@@ -34,12 +34,10 @@ def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from creditloom.llm.pieces import decode, encode
+    from creditloom.llm.pieces import round_trip
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    known = vocabulary()
-    ids = encode(docs, known).select("doc_id", "ids")
-    return decode(ids, known).select(
+    return round_trip(docs, vocabulary()).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),

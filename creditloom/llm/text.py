@@ -54,6 +54,17 @@ def steps(
             start = end
 
 
+#: Bytes of a batch that Spark hands to Python at once.  The batch exists in both
+#: processes of a task and is kept by neither.
+BATCH_BYTES = 4 << 20
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` over batches of bounded size."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 def with_fields(schema: T.StructType, fields: list[T.StructField]) -> T.StructType:
     """``schema`` with ``fields`` at its end; an input column of the same name gives way."""
     new = {f.name.lower() for f in fields}

@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creditloom.llm.labels import fit_rows
-from creditloom.llm.text import steps, texts_of, with_arrays, with_fields, word_codes
+from creditloom.llm.text import mapped, steps, texts_of, with_arrays, with_fields, word_codes
 
 BITS = 20
 
 #: Most labelled documents used for fitting; every word of each counts.
-FIT_ROWS = 16_000
+FIT_ROWS = 12_000
 
 _MIX = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93],
@@ -74,6 +74,8 @@ class FTRL:
         return w
 
     def learn(self, at: np.ndarray, y: float) -> None:
+        """One example; the last place, the intercept, is in all of them."""
+        at = np.append(at, np.int32(1 << BITS))
         w = self.weights(at)
         g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - y
         n = self.n[at]
@@ -112,20 +114,19 @@ def fit(
 
     order = F.xxhash64(F.lit("order"), F.col("key").cast("string"), F.col("text")).alias("order")
     rows = fit_rows(docs, labels, label, most, key, text).select(order, "y", "text")
-    found = rows.mapInArrow(run, "order long, y double, at array<int>").toArrow()
-    found = found.sort_by("order").combine_chunks()
-    learner = FTRL()
+    found = mapped(rows, run, "order long, y double, at array<int>").toArrow()
     if not found.num_rows:
         return Model(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.float32), -35.0)
-    at, bias = found.column("at").combine_chunks(), np.array([1 << BITS], dtype=np.int32)
-    ends, values = at.offsets.to_numpy(), at.values.to_numpy()
-    examples = [
-        (np.concatenate([values[a:b], bias]), y)
-        for a, b, y in zip(ends, ends[1:], found.column("y").to_pylist())
-    ]
-    shuffled = np.random.default_rng(7)
+    examples = []  # views of what was fetched, in an order that depends on ids and texts alone
+    for batch in found.to_batches():
+        at = batch.column("at")
+        ends, values = at.offsets.to_numpy().tolist(), at.values.to_numpy()
+        labelled = zip(ends, ends[1:], batch.column("y").to_pylist())
+        examples += [(values[a:b], y) for a, b, y in labelled]
+    order = np.argsort(found.column("order").to_numpy(), kind="stable")
+    learner, shuffled = FTRL(), np.random.default_rng(7)
     for _ in range(rounds):
-        for i in shuffled.permutation(len(examples)):
+        for i in order[shuffled.permutation(len(order))]:
             learner.learn(*examples[i])
     return learner.model()
 
@@ -146,4 +147,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
             scores = 1.0 / (1.0 + np.exp(-np.clip(np.array(logits), -35, 35)))
             yield with_arrays(batch, {name: pa.array(scores, pa.float64())})
 
-    return docs.mapInArrow(run, with_fields(docs.schema, [T.StructField(name, T.DoubleType())]))
+    return mapped(docs, run, with_fields(docs.schema, [T.StructField(name, T.DoubleType())]))

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from creditloom.llm.text import mapped
+
 #: Payloads below this size are always kept as responses.
 LEAST_BYTES = 1000
 
@@ -180,4 +182,4 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
                     )
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, "warc_header binary, block binary")
+    return mapped(files, run, "warc_header binary, block binary")
