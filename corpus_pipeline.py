@@ -53,8 +53,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, their number, and the text they decode to."""
-    known = vocabulary()
-    found = pieces.decode(pieces.encode(docs, known), known)
+    found = pieces.round_trip(docs, vocabulary())
     return found.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
