@@ -3,13 +3,14 @@
 Copies (equal words) are merged first.  The others get MinHash signatures, cut
 into the labels of several prefix tries (an LSH forest).  Matched prefixes are
 shortened from full labels until a pair at the threshold shares one with the
-target probability; documents that share such a prefix in some trie are
+target probability; documents that share a prefix of this length in some trie are
 candidates.  A sketch of one bit per hash drops hopeless pairs, the words
 themselves decide.
 
-A trie node with few documents gives all its pairs.  One with many gives the
-pairs with its first document; what these leave apart is compared in blocks
-inside tasks, which only return links between classes not yet joined.
+A trie node with few documents gives all its pairs.  One with many is split by
+its longer prefixes: every node below it gives its pairs if it is small enough,
+and the pairs with its first document if not.  What these leave apart is compared
+in blocks inside tasks, which only return links between classes not yet joined.
 """
 
 from __future__ import annotations
@@ -51,6 +52,11 @@ def depth(threshold: float, recall: float, trees: int = TREES, label: int = LABE
     return 1
 
 
+def levels(length: int, label: int = LABEL, step: int = 2) -> list[int]:
+    """Prefix lengths of the trie nodes that are kept, from full labels to ``length``."""
+    return [*range(label, length, -step), length]
+
+
 def shingles(words: list[bytes], size: int = WORDS) -> set[tuple[bytes, ...]]:
     """Runs of ``size`` words; all words as one run if there are fewer, nothing without words."""
     if not words:
@@ -79,11 +85,13 @@ def similarity(a: set, b: set) -> float:
 
 
 def signed(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
-    """``doc_id``, ``same`` (digest of the words), ``prefixes`` (one per trie) and the sketch.
+    """``doc_id``, ``same`` (digest of the words), ``prefixes`` and the sketch.
 
-    All but ``doc_id`` are null for a text without words.
+    ``prefixes`` names the document's node in every trie, for every one of
+    ``levels(length)``: first all of the longest, last all of ``length``.  All but
+    ``doc_id`` are null for a text without words.
     """
-    lead = np.arange(TREES, dtype=np.uint64)
+    lead, kept = np.arange(TREES, dtype=np.uint64), set(levels(length))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
@@ -102,11 +110,14 @@ def signed(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
                     least[:, h] = np.minimum.reduceat(hashed, starts)
                 trie = np.zeros((len(full), TREES), dtype=np.uint64) + lead
                 labels = least.reshape(len(full), TREES, LABEL)
-                for i in range(length):
+                nodes = []
+                for i in range(LABEL):
                     trie = (trie ^ labels[:, :, i]) * _MIX
-                    trie ^= trie >> np.uint64(31)
+                    trie = trie ^ (trie >> np.uint64(31))
+                    if i + 1 in kept:
+                        nodes.insert(0, trie)
                 bits = np.packbits((least & np.uint64(1)).astype(bool), axis=1).view(np.int64)
-                trie = trie.view(np.int64)
+                trie = np.concatenate(nodes, axis=1).view(np.int64)
                 for row, i in enumerate(full):
                     same[i] = blake2b(b" ".join(words[i]), digest_size=16).digest()
                     prefixes[i] = trie[row].tolist()
@@ -150,6 +161,27 @@ def _candidates(members: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def _below(members: DataFrame, sketches: DataFrame, deeper: int) -> DataFrame:
+    """Members of the longer prefixes' nodes under the large nodes, as in ``members``."""
+    large = members.where(F.col("size") > FEW).select("tree", F.col("node").alias("_node"))
+    level = F.explode(F.sequence(F.lit(0), F.lit(deeper - 1))).alias("level")
+    rows = large.join(sketches, F.col("node") == F.col("_node")).select(
+        "node", "s0", "s1", "tree", "prefixes", level
+    )
+    place = F.col("level") * TREES + F.col("tree")
+    rows = written(rows.select("node", "s0", "s1", "tree", F.get("prefixes", place).alias("bucket")))
+    return _sized(rows, rows)
+
+
+def _sized(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """``placed`` with the size and the first document of each trie node of at least two."""
+    sizes = rows.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "s0", "s1")).alias("pivot")
+    ).where("size > 1").withColumnRenamed("bucket", "_bucket")
+    shared = if_small(written(sizes), 100_000)
+    return written(placed.join(shared, F.col("bucket") == F.col("_bucket")).drop("_bucket"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose words are similar enough, with their ``similarity``."""
 
@@ -199,7 +231,9 @@ def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
     )
 
 
-def _block_links(apart: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: float):
+def _block_links(
+    apart: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: float, shortest: Column
+) -> DataFrame:
     """Links between classes inside large trie nodes, found block against block.
 
     Blocks of the largest class meet the other blocks but not each other.  A
@@ -217,7 +251,7 @@ def _block_links(apart: DataFrame, sketches: DataFrame, texts: DataFrame, thresh
         F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
     )
     facts = sketches.join(texts, "node").select(
-        F.col("node").alias("_node"), "prefixes", "s0", "s1", "text"
+        F.col("node").alias("_node"), shortest.alias("prefixes"), "s0", "s1", "text"
     )
     rows = rows.join(written(facts), F.col("node") == F.col("_node")).drop("_node")
     few = DIFFERENT
@@ -288,7 +322,8 @@ def near_duplicates(
     numbers; other columns are ignored.
     """
     rows = docs.where(F.col(key).isNotNull())
-    marks = written(signed(rows, key, text, depth(threshold, recall)))
+    length = depth(threshold, recall)
+    marks = written(signed(rows, key, text, length))
     groups = marks.where("same is not null").groupBy("same").agg(
         F.min("doc_id").alias("node"),
         F.count_distinct("doc_id").alias("copies"),
@@ -298,18 +333,13 @@ def near_duplicates(
     )
     groups = written(groups)
     sketches = groups.select("node", "prefixes", "s0", "s1")
-    placed = sketches.select(
-        "node", "s0", "s1", F.posexplode("prefixes").alias("tree", "bucket")
-    )
+    deeper = len(levels(length)) - 1
+    shortest = F.slice("prefixes", deeper * TREES + 1, TREES)
+    placed = sketches.select("node", "s0", "s1", F.posexplode(shortest).alias("tree", "bucket"))
     # hashes of different tries are different numbers, so the number is the trie node
-    sizes = placed.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "s0", "s1")).alias("pivot")
-    ).where("size > 1").withColumnRenamed("bucket", "_bucket")
-    shared = if_small(written(sizes), 100_000)
-    members = written(
-        placed.join(shared, F.col("bucket") == F.col("_bucket")).drop("_bucket")
-    )
-    pairs = written(_candidates(members))
+    members = _sized(placed, placed)
+    below = _below(members, sketches, deeper) if deeper else members.limit(0)
+    pairs = written(_candidates(members).union(_candidates(below)).distinct())
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
     wanted = wanted.union(members.where(F.col("size") > FEW).select("node")).distinct()
     texts = rows.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text"))
@@ -318,7 +348,7 @@ def near_duplicates(
     roots = written(components(links))
     apart = written(_apart(members, roots))
     if apart.limit(1).count():
-        more = written(_block_links(apart, sketches, texts, threshold))
+        more = written(_block_links(apart, sketches, texts, threshold, shortest))
         if more.limit(1).count():
             links = written(links.union(more).groupBy("a", "b").agg(F.max("similarity")))
             roots = written(components(links))
