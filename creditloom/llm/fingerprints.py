@@ -1,7 +1,7 @@
 """Document fingerprints from closed syncmers.
 
-A run of ``K`` code points is an anchor if the smallest hash among its inner
-runs of ``S`` code points is the first or the last of them.  The choice depends
+A run of 20 code points is an anchor if the smallest hash among its inner runs of
+8 code points is the first or the last of them; short texts have shorter runs.  The choice depends
 on the run alone, not on what surrounds it, so an unchanged passage has the same
 anchors in every text.  A fingerprint keeps the ``KEPT`` anchors with the
 smallest hashes (all of them in a short text) with their positions, and two
@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creditloom.llm.text import steps, with_arrays, with_fields
+from creditloom.llm.text import mapped, steps, with_arrays, with_fields
 
-K, S = 20, 8
+#: Code points of an anchor and of its inner runs, from a text length on.
+SIZES = ((100, 20, 8), (8, 6, 2), (0, 1, 1))
 
 #: Anchors of a fingerprint: the sample of the union that is compared.
 KEPT = 96
@@ -77,26 +77,29 @@ class Fingerprint:
 
 
 def fingerprint(text: str) -> Fingerprint:
-    """Anchors of a text; one of fewer than ``K`` code points is an anchor as a whole."""
+    """Anchors of a text; an empty one has none."""
+    if not text:
+        return Fingerprint(np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64))
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
-    if len(codes) < K:
-        digest = blake2b(text.encode("utf-8", "replace"), digest_size=4).digest()
-        hashes = [int.from_bytes(digest, "big")] if text else []
-        return Fingerprint(np.array(hashes, dtype=np.uint32), np.zeros(len(hashes), dtype=np.int64))
-    inner = _run_hashes(codes, S)
-    width = K - S + 1
+    size, inner_size = next((k, s) for least, k, s in SIZES if len(codes) >= least)
+    inner = _run_hashes(codes, inner_size)
+    width = size - inner_size + 1
     least = _smallest(inner, width)
-    chosen = (inner[: len(least)] == least) | (inner[width - 1 :] == least)
-    places = np.flatnonzero(chosen)
+    places = np.flatnonzero((inner[: len(least)] == least) | (inner[width - 1 :] == least))
     if not len(places):
         places = np.array([0])
     # the anchor's own hash: its first, middle and last inner runs cover it
     mixed = _mixed(inner[places] * _A + inner[places + (width - 1)])
-    mixed = _mixed(mixed * _A + inner[places + (K - S) // 2])
+    mixed = _mixed(mixed * _A + inner[places + (size - inner_size) // 2])
+    order = np.argsort(mixed, kind="stable")
+    ordered = mixed[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    before = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    mixed[order] = _mixed(ordered + before.astype(np.uint64) * _B)
     hashes = (mixed >> np.uint64(32)).astype(np.uint32)
     order = np.argsort(hashes, kind="stable")
     first = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])
-    order = order[first]  # a repeated anchor counts where it first occurs
+    order = order[first]
     kept = order[:KEPT]
     return Fingerprint(hashes[kept], places[kept].astype(np.int64), len(order) <= KEPT)
 
@@ -139,7 +142,7 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint")
             found = [str(fingerprint(x or "")) for x in batch.column(text).to_pylist()]
             yield with_arrays(batch, {name: pa.array(found, pa.string())})
 
-    return docs.mapInArrow(run, with_fields(docs.schema, [T.StructField(name, T.StringType())]))
+    return mapped(docs, run, with_fields(docs.schema, [T.StructField(name, T.StringType())]))
 
 
 def parse(value: str) -> Fingerprint:
@@ -218,7 +221,7 @@ def beside_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         "key long, n_chars long, edited_text string, fingerprint string,"
         " edited_fingerprint string, near_edited double, near_next double"
     )
-    return grouped.mapInArrow(_pairs, schema).withColumnRenamed("key", key)
+    return mapped(grouped, _pairs, schema).withColumnRenamed("key", key)
 
 
 @dataclass
