@@ -197,6 +197,7 @@ def disclosing(
     )
     mentions = mentions.select("k0", "k1", "m.entity", "m.terms")
     beside = mentions.select("k0", "k1", "entity", F.explode("terms.term").alias("term")).distinct()
+    beside = written(beside)
     joint = beside.groupBy("entity", "term", "k1").agg(F.count(F.lit(1)).alias("n"))
     joint = joint.groupBy("entity", "term").agg(
         F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("n_texts")
@@ -204,22 +205,30 @@ def disclosing(
     joint = written(joint.where(F.col("n_texts") >= support))
     entities = mentions.select("k0", "k1", "entity").distinct()
     entities = entities.join(
-        if_small(joint.select("entity").distinct()), "entity", "left_semi"
+        if_small(written(joint.select("entity").distinct())), "entity", "left_semi"
     ).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    near = beside.select("k0", "k1", "term").distinct()
+    near = near.groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    total = docs.count()
+
+    def information(n_term: str) -> Column:
+        joined = F.col("n_both") * F.lit(float(total))
+        return F.ln(joined / (F.col("n_entity") * F.col(n_term)))
+
+    content = F.ln(F.lit(float(total)) / F.col("n_entity"))
+    enough = F.lit(threshold) * F.col("content")
+    # a term occurs in the documents where it stands beside some entity, at least: pairs
+    # that this already rules out need no count over the corpus
+    open_ = joint.join(entities, "entity").join(near, "term").withColumn("content", content)
+    open_ = written(open_.where((F.col("content") > 0) & (information("n_near") >= enough)))
     # words of all documents, those that are terms counted once per document
-    wanted = joint.select("term").distinct()
+    wanted = written(open_.select("term").distinct())
     words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)))
     terms = docs.select(F.explode(words).alias("term"))
     terms = terms.join(if_small(wanted), "term", "left_semi")
     terms = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = docs.count()
-    pmi = F.ln(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
-    content = F.ln(F.lit(float(total)) / F.col("n_entity"))
-    counted = joint.join(entities, "entity").join(terms, "term")
-    counted = counted.select("entity", "term", pmi.alias("pmi"), content.alias("content"))
-    return counted.where(
-        (F.col("content") > 0) & (F.col("pmi") >= F.lit(threshold) * F.col("content"))
-    )
+    counted = open_.join(terms, "term").withColumn("pmi", information("n_term"))
+    return counted.where(F.col("pmi") >= enough).select("entity", "term", "pmi", "content")
 
 
 def find(
