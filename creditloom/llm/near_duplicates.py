@@ -11,6 +11,10 @@ A trie node with few documents gives all its pairs.  One with many is split by
 its longer prefixes: every node below it gives its pairs if it is small enough,
 and the pairs with its first document if not.  What these leave apart is compared
 in blocks inside tasks, which only return links between classes not yet joined.
+
+Then links are counted.  A class without members in large nodes has all its pairs
+already.  In the others every member is compared with every other one, block
+against block, and tasks return sums per document instead of pairs.
 """
 
 from __future__ import annotations
@@ -33,6 +37,12 @@ TREES, LABEL = 16, 8
 #: Documents up to which a trie node gives all its pairs, and of a block in larger ones.
 FEW, BLOCK = 24, 256
 
+#: Distinct shingles that are counted at a time when two blocks are compared.
+STRIP = 4096
+
+#: Similarities this close to the threshold by hashes are decided by the words.
+MARGIN = 0.01
+
 #: Most differing bits among TREES * LABEL = 128: 12.8 are expected at the
 #: threshold, with a deviation of 3.4.
 DIFFERENT = 29
@@ -301,6 +311,116 @@ def _block_links(
     )
 
 
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Number of codes every one of ``left`` has in common with every one of ``right``."""
+    out = np.zeros((len(left), len(right)), dtype=np.float64)
+    own, other = (np.unique(np.concatenate(side)) for side in (left, right))
+    common = np.intersect1d(own, other, assume_unique=True)
+
+    def places(side: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(side)), [len(c) for c in side])
+        every = np.concatenate(side)
+        at = np.searchsorted(common, every)
+        known = common[np.minimum(at, len(common) - 1)] == every
+        order = np.argsort(at[known], kind="stable")
+        return row[known][order], at[known][order]
+
+    if not len(common):
+        return out
+    (row_l, at_l), (row_r, at_r) = places(left), places(right)
+    for start in range(0, len(common), STRIP):
+        strips = []
+        for side, row, at in ((left, row_l, at_l), (right, row_r, at_r)):
+            low, high = np.searchsorted(at, [start, start + STRIP])
+            strip = np.zeros((len(side), STRIP), dtype=np.float32)
+            strip[row[low:high], at[low:high] - start] = 1
+            strips.append(strip)
+        out += strips[0] @ strips[1].T
+    return out
+
+
+def _alike_pairs(left: list[list[bytes]], right: list[list[bytes]], threshold: float) -> np.ndarray:
+    """Whether each text of ``left`` is similar enough to each of ``right``, from their words."""
+    codes_l, codes_r = ([np.unique(shingle_codes(w)) for w in side] for side in (left, right))
+    both = _shared(codes_l, codes_r)
+    sizes = np.add.outer([len(c) for c in codes_l], [len(c) for c in codes_r])
+    value = both / (sizes - both)
+    out = value >= threshold
+    for x, y in np.argwhere(np.abs(value - threshold) <= MARGIN).tolist():
+        out[x, y] = similarity(shingles(left[x]), shingles(right[y])) >= threshold
+    return out
+
+
+def _block_counts(
+    roots: DataFrame, members: DataFrame, copies: DataFrame, texts: DataFrame, threshold: float
+) -> DataFrame:
+    """``node`` and ``links`` for all members of classes that reach into large trie nodes.
+
+    Each member meets each other one once; ``links`` sums the copies of those
+    that are similar enough.
+    """
+    large = members.where(F.col("size") > FEW).select(F.col("node").alias("_node")).distinct()
+    reached = roots.join(large, F.col("node") == F.col("_node"), "left_semi")
+    reached = written(reached.select(F.col("root").alias("_root")).distinct())
+    inside = roots.join(if_small(reached, 100_000), F.col("root") == F.col("_root"), "left_semi")
+    sizes = written(inside.groupBy(F.col("root").alias("_root")).agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")
+    ))
+    rows = inside.join(if_small(sizes, 100_000), F.col("root") == F.col("_root"))
+    rows = rows.join(copies, "node").join(texts, "node")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("root", "node", "copies", "text", "mine", other)
+    rows = rows.select(
+        "root", "node", "copies", "text", "mine",
+        F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+    )
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["node", "text"], kind="stable")
+        i, j = (int(group[c].iloc[0]) for c in ("i", "j"))
+        sides = [group[group["mine"] == k] for k in (i, j)]
+        if not all(map(len, sides)):
+            return pd.DataFrame({"node": [], "links": []}).astype("int64")
+        words = [[words_of((t or "").encode()) for t in side["text"]] for side in sides]
+        alike = _alike_pairs(*words, threshold)
+        # texts of one id are one document
+        (left, firsts_l), (right, firsts_r) = (
+            np.unique(side["node"].to_numpy(), return_index=True) for side in sides
+        )
+        alike = np.logical_or.reduceat(alike, firsts_l, axis=0)
+        alike = np.logical_or.reduceat(alike, firsts_r, axis=1)
+        weight_l, weight_r = (
+            side["copies"].to_numpy()[f] for side, f in zip(sides, (firsts_l, firsts_r))
+        )
+        if i == j:
+            np.fill_diagonal(alike, False)
+            return pd.DataFrame({"node": left, "links": alike @ weight_r})
+        return pd.DataFrame({
+            "node": np.concatenate([left, right]),
+            "links": np.concatenate([alike @ weight_r, weight_l @ alike]),
+        })
+
+    parts = rows.groupBy("root", "i", "j").applyInPandas(run, "node long, links long")
+    return parts.groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def _link_counts(
+    links: DataFrame, roots: DataFrame, members: DataFrame, groups: DataFrame,
+    texts: DataFrame, threshold: float,
+) -> DataFrame:
+    """``node`` and ``links``, the documents of other words that each is similar enough to."""
+    copies = groups.groupBy("node").agg(F.max("copies").alias("copies"))
+    blocks = written(_block_counts(roots, members, copies, texts, threshold))
+    ends = links.select(F.col("a").alias("node"), F.col("b").alias("partner"))
+    ends = ends.union(links.select("b", "a"))
+    known = if_small(blocks).select(F.col("node").alias("_node"))
+    ends = ends.join(known, F.col("node") == F.col("_node"), "left_anti")
+    weights = copies.withColumnRenamed("node", "partner")
+    counts = ends.join(weights, "partner").groupBy("node").agg(F.sum("copies").alias("links"))
+    return counts.union(blocks)
+
+
 def near_duplicates(
     docs: DataFrame,
     key: str = "doc_id",
@@ -313,9 +433,8 @@ def near_duplicates(
     ``class_id`` is the smallest id the document is connected with by links of
     similarity ``threshold`` or more; copies are in one class.  ``n_copies``
     counts documents with the same words (1 for a document by itself).
-    ``n_links`` counts the other documents a document was verified to be linked
-    with: its copies, and every different text that was compared with it; inside
-    large groups not all pairs are compared once they are in one class.
+    ``n_links`` counts the other documents of similarity ``threshold`` or more: its
+    copies, and each copy of every different text.
 
     Texts without words (null, empty, only marks) are in no group.  Rows of one
     id count as one document.  Rows without an id are left out.  Ids are whole
@@ -352,13 +471,12 @@ def near_duplicates(
         if more.limit(1).count():
             links = written(links.union(more).groupBy("a", "b").agg(F.max("similarity")))
             roots = written(components(links))
-    return _classes(marks, groups, links, roots).withColumnRenamed("doc_id", key)
+    counts = _link_counts(links, roots, members, groups, texts, threshold)
+    return _classes(marks, groups, counts, roots).withColumnRenamed("doc_id", key)
 
 
-def _classes(marks: DataFrame, groups: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
+def _classes(marks: DataFrame, groups: DataFrame, counts: DataFrame, roots: DataFrame) -> DataFrame:
     """Every document with its class and counts, put together by the words it has."""
-    ends = links.select(F.col("a").alias("node")).union(links.select("b"))
-    counts = ends.groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     linked = roots.join(counts, "node", "left").select(
         F.col("node").alias("_node"), "root", "links"
     )

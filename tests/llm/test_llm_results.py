@@ -198,6 +198,32 @@ def test_near_duplicates_of_all_pairs(spark, texts, monkeypatch):
         assert found == expected
 
 
+def test_links_of_all_pairs(spark, monkeypatch):
+    """Every partner counts, in large groups too, and each of its copies."""
+    draw = random.Random(14)
+    base = [f"w{draw.randint(0, 400)}" for _ in range(120)]
+    texts = {}
+    for i in range(70):
+        words = list(base)
+        for _ in range(draw.randint(0, 7)):
+            words[draw.randrange(len(words))] = f"x{draw.randint(0, 400)}"
+        texts[i] = " ".join(words)
+    texts |= {100 + i: texts[i % 9].upper() for i in range(20)}  # copies
+    texts |= {200: "a few other words", 201: "a few other words", 202: None}
+    sets = {i: near_duplicates.shingles(words_of((t or "").encode())) for i, t in texts.items()}
+    expected = {
+        i: sum(i != j and near_duplicates.similarity(a, b) >= 0.8 for j, b in sets.items())
+        for i, a in sets.items()
+    }
+    assert max(expected.values()) > near_duplicates.FEW
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    for few, block in ((near_duplicates.FEW, near_duplicates.BLOCK), (3, 8)):
+        monkeypatch.setattr(near_duplicates, "FEW", few)
+        monkeypatch.setattr(near_duplicates, "BLOCK", block)
+        found = {r.doc_id: r.n_links for r in near_duplicates.near_duplicates(df).collect()}
+        assert found == expected
+
+
 def test_search_finds_every_occurrence():
     draw = random.Random(5)
     letters = [c.encode() for c in "abc"]
