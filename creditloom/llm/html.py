@@ -3,9 +3,9 @@
 A page is cut into text blocks, each with its root-to-leaf path of tags.  Blocks
 of one path are judged together: how long they are and how much punctuation they
 hold.  Ratios are smoothed along the page, both are multiplied, and paths below
-a threshold are left out.  Elements that say what they are settle the matter
-beforehand: menus, footers, forms and the like never count, and where a page
-marks its article, only paths below the mark do.
+a threshold are left out.  Menus, footers, forms and the like never count.  A mark
+(``article``, ``main``) ends a path, so that what is below it is judged together,
+and weighs ``MARK_WEIGHT`` times as much; on every page the ratios decide.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ BOILERPLATE = set(
     "aside button dialog footer form head header label menu nav option select".split()
 )
 MARKS = {"article", "main"}
+MARK_WEIGHT = 8.0
 #: An element of the key is closed by a start tag of the values.
 CLOSED_BY = {
     "li": {"li"},
@@ -72,21 +73,29 @@ class Block:
         self.path, self.text, self.dropped, self.marked = path, text, dropped, marked
 
 
-def _is_boilerplate(name: str, attributes: str, marked: bool) -> bool:
+#: How sure it is that an element is no content: a class name may only tell the layout.
+BY_NAME, SURE = 1, 2
+
+
+def _boilerplate(name: str, attributes: str, marked: bool) -> int:
     if name in MARKS or name in ("html", "body"):
-        return False
+        return 0
     if name in BOILERPLATE:
-        return not (name == "header" and marked)
+        return 0 if name == "header" and marked else SURE
+    level = 0
     for key, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
-        if key.lower() == "hidden" or ROLES.search("".join(values)):
-            return True
-    return False
+        if key.lower() == "hidden":
+            return SURE
+        if ROLES.search("".join(values)):
+            level = BY_NAME
+    return level
 
 
 def blocks_of(html: str) -> list[Block]:
     """Text blocks in page order; broken markup is read as browsers do, roughly."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, below boilerplate, below a mark
+    # name, below boilerplate (how sure), below a mark, that mark counts
+    stack: list[tuple[str, int, bool, bool]] = []
     parts: list[str] = []
     path = ""
 
@@ -95,8 +104,8 @@ def blocks_of(html: str) -> list[Block]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                dropped, marked = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                out.append(Block(path, text, dropped, marked))
+                _, level, _, counts = stack[-1] if stack else ("", 0, False, False)
+                out.append(Block(path, text, level > 0, counts))
             parts.clear()
         path = ""
 
@@ -132,14 +141,18 @@ def blocks_of(html: str) -> list[Block]:
         if name in VOID:
             continue
         _close_implied(stack, name)
-        dropped, marked = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        dropped = dropped or _is_boilerplate(name, found.group(3), marked)
-        stack.append((name, dropped, marked or name in MARKS))
+        _, level, marked, counts = stack[-1] if stack else ("", 0, False, False)
+        if name in MARKS:
+            # below a class name the mark does not count, but the text is judged
+            counts = counts or level == 0
+            level = 0 if level == BY_NAME else level
+        level = max(level, _boilerplate(name, found.group(3), marked))
+        stack.append((name, level, marked or name in MARKS, counts))
     close_block()
     return out
 
 
-def _close_implied(stack: list[tuple[str, bool, bool]], name: str) -> None:
+def _close_implied(stack: list[tuple[str, int, bool, bool]], name: str) -> None:
     """Close what a start tag ends: an open paragraph, or an item by the next one."""
     for i in range(len(stack) - 1, -1, -1):
         open_name = stack[i][0]
@@ -157,22 +170,28 @@ def _smoothed(values: np.ndarray) -> np.ndarray:
     return np.convolve(values, kernel, mode="full")[2:-2] / weight
 
 
+def _judged_path(path: str) -> str:
+    """The path up to its innermost mark, all of it without one."""
+    names = path.split("/")
+    last = max((i for i, name in enumerate(names) if name in MARKS), default=len(names) - 1)
+    return "/".join(names[: last + 1])
+
+
 def content_of(blocks: list[Block], strictness: float = 0.5) -> list[Block]:
     """The blocks of the paths that hold the main text."""
     blocks = [b for b in blocks if not b.dropped]
-    if any(b.marked for b in blocks):
-        return [b for b in blocks if b.marked]
     if len(blocks) < 2:
         return blocks
     lengths = np.array([len(b.text) for b in blocks], dtype=float)
     marks = np.array([len(PUNCTUATION.findall(b.text)) for b in blocks], dtype=float)
-    names, path = np.unique([b.path for b in blocks], return_inverse=True)
+    names, path = np.unique([_judged_path(b.path) for b in blocks], return_inverse=True)
     counts = np.bincount(path)
     text_ratio = (np.bincount(path, lengths) / counts)[path]
     mark_ratio = (np.bincount(path, marks) / counts)[path]
     fused = _smoothed(text_ratio) * (_smoothed(mark_ratio) + 0.05)
+    fused *= np.where([b.marked for b in blocks], MARK_WEIGHT, 1.0)
     by_path = np.bincount(path, fused) / counts
-    limit = strictness * fused.std()
+    limit = min(strictness * fused.std(), by_path.max())
     kept = by_path >= limit
     return [b for b, p in zip(blocks, path) if kept[p]]
 

@@ -273,6 +273,18 @@ def test_main_text_without_marks():
     assert html.main_text(marked) == "One two"
 
 
+def test_ratios_decide_on_marked_pages():
+    """Body text beside teaser cards that are articles; a layout class above an article."""
+    long = "A long sentence, with commas, that goes on and on for a while; it does not end soon. "
+    card = "<article><h3>Card</h3><p>See more</p></article>"
+    page = f"<body><div>{card * 6}</div><div><p>{long * 6}</p><p>{long * 5}</p></div></body>"
+    assert html.main_text(page) == " ".join([long.strip()] * 11)
+    page = f'<body><div class="has-sidebar"><article><h1>Title</h1><p>{long}</p></article></div></body>'
+    assert html.main_text(page) == "Title " + long.strip()
+    page = f"<body><nav>{long}</nav><article><h1>Title</h1><p>{long}</p></article><p>Rights</p></body>"
+    assert html.main_text(page) == "Title " + long.strip()
+
+
 def test_archive_files(spark, tmp_path):
     rows = [(i, f"http://h/{i % 3}", (f"page {i % 4} " * 300).encode()) for i in range(12)]
     records = spark.createDataFrame(rows, "page_id long, url string, payload binary")
