@@ -1,8 +1,8 @@
 """Join of documents whose sets of word 5-grams have a Jaccard similarity of 0.8 or more.
 
 Copies (equal words) are merged first.  The others get MinHash signatures, cut
-into the labels of several prefix tries (an LSH forest).  Matched prefixes are
-shortened from full labels until a pair at the threshold shares one with the
+into the labels of several prefix tries (as in an LSH forest).  The prefix length is
+fixed beforehand: the longest with which a pair at the threshold meets with the
 target probability; documents that share a prefix of this length in some trie are
 candidates.  A sketch of one bit per hash drops hopeless pairs, the words
 themselves decide.
