@@ -5,7 +5,8 @@ A run of 20 code points is an anchor if the smallest hash among its inner runs o
 on the run alone, not on what surrounds it, so an unchanged passage has the same
 anchors in every text.  A fingerprint keeps the ``KEPT`` anchors with the
 smallest hashes (all of them in a short text) with their positions, and two
-fingerprints are compared by the anchors they share at one common shift.
+fingerprints are compared by the anchors they share at one common shift.  Two texts
+whose lengths call for different sizes are both taken at the smaller one.
 """
 
 from __future__ import annotations
@@ -76,12 +77,20 @@ class Fingerprint:
         return ("" if self.whole else "+") + ".".join(pairs)
 
 
-def fingerprint(text: str) -> Fingerprint:
-    """Anchors of a text; an empty one has none."""
+def _sizes(length: int) -> tuple[int, int]:
+    """Code points of an anchor and of its inner runs in a text of ``length``."""
+    return next((k, s) for least, k, s in SIZES if length >= least)
+
+
+def fingerprint(text: str, like: int | None = None) -> Fingerprint:
+    """Anchors of a text; an empty one has none.
+
+    They have the size that a text of ``like`` code points has, by default its own.
+    """
     if not text:
         return Fingerprint(np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64))
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
-    size, inner_size = next((k, s) for least, k, s in SIZES if len(codes) >= least)
+    size, inner_size = _sizes(len(codes) if like is None else like)
     inner = _run_hashes(codes, inner_size)
     width = size - inner_size + 1
     least = _smallest(inner, width)
@@ -109,7 +118,8 @@ def likeness(a: Fingerprint, b: Fingerprint) -> float:
 
     That is twice the shared ones over all of either, estimated over the smallest
     hashes of the union, which are a fair sample of it.  Equal texts give 1; two
-    empty texts too; an empty and another text give 0.
+    empty texts too; an empty and another text give 0.  Both need anchors of one
+    size, see :func:`nearness`.
     """
     if not len(a.hashes) or not len(b.hashes):
         return float(len(a.hashes) == len(b.hashes))
@@ -129,6 +139,17 @@ def likeness(a: Fingerprint, b: Fingerprint) -> float:
     return 2 * agreed / every
 
 
+def nearness(a: str, b: str, print_a: Fingerprint, print_b: Fingerprint) -> float:
+    """:func:`likeness` of two texts with these fingerprints, at one common anchor size."""
+    shorter = min(len(a), len(b))
+    if shorter:
+        if _sizes(len(a)) != _sizes(shorter):
+            print_a = fingerprint(a, shorter)
+        if _sizes(len(b)) != _sizes(shorter):
+            print_b = fingerprint(b, shorter)
+    return likeness(print_a, print_b)
+
+
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
     """``docs`` with the fingerprint of ``text`` as a string.
 
@@ -269,8 +290,8 @@ def _pair(row: _Row, after: _Row) -> tuple:
         edited,
         str(row.print_),
         str(other),
-        likeness(row.print_, other),
-        likeness(row.print_, after.print_),
+        nearness(row.text, edited, row.print_, other),
+        nearness(row.text, after.text, row.print_, after.print_),
     )
 
 

@@ -75,6 +75,23 @@ def test_syncmers_do_not_depend_on_context():
     assert fingerprints.parse(str(found[1])).hashes.tolist() == found[1].hashes.tolist()
 
 
+def test_texts_on_either_side_of_a_size_border():
+    """99 and 101 characters, 7 and 9, and an edit that shortens a text below the border."""
+    draw = random.Random(21)
+    letters = "".join(draw.choices("abcdefghijklmnopqrstuvwxyz ", k=101))
+    for a, b in ((letters[:99], letters), (letters[:7], letters[:9])):
+        near = fingerprints.nearness(a, b, fingerprints.fingerprint(a), fingerprints.fingerprint(b))
+        other = fingerprints.nearness(b, a, fingerprints.fingerprint(b), fingerprints.fingerprint(a))
+        assert near == other > 0.8
+    for length in (9, 101):
+        row, after = (
+            fingerprints._Row(i, t, fingerprints.fingerprint(t))
+            for i, t in enumerate((letters[:length], ""))
+        )
+        edited, near_edited, near_next = (fingerprints._pair(row, after)[i] for i in (2, 5, 6))
+        assert len(edited) < (100 if length > 9 else 8) and near_edited > 0.7 and near_next == 0
+
+
 def test_pieces_equal_library(spark, texts):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     rows = {r.doc_id: r for r in QUERIES["op4_pieces"](spark, SMALL).collect()}
