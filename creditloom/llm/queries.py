@@ -141,6 +141,26 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
 
 
+def resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from creditloom.llm.resampling import resample
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = resample(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from creditloom.llm.quantisation import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))[0]
+
+
+def vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from creditloom.llm.vector_duplicates import near_duplicates as join
+
+    return join(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language": language,
     "op2_fingerprints": fingerprints,
@@ -152,4 +172,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": toxicity,
     "op9_decontamination": decontamination,
     "op10_warc": warc,
+    "op11_resampling": resampling,
+    "op12_vector_codes": vector_codes,
+    "op13_vector_duplicates": vector_duplicates,
 }
