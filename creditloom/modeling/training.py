@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
-import random
 import statistics
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property, reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
@@ -17,16 +21,15 @@ from pyspark.sql import functions as F
 from creditloom.modeling.logs import append_run
 from creditloom.modeling.matrix import VECTOR, assembled, column_fills
 from creditloom.modeling.selection import class_weights, mean_importance
+from creditloom.modeling.trees import cut, node_importance, node_table, round_aucs
 from creditloom.operators.folds import (
-    encode_for_model, fold_encodings, present_encoded, stratified_folds,
+    encode_every_fold, fold_encodings, present_encoded, stratified_folds,
 )
 from creditloom.operators.metrics import auc_exact
 from creditloom.plans.feature_table import feature_columns, numeric_feature_columns
-from creditloom.session import in_threads, materialised, scratch_dir
+from creditloom.session import in_threads, materialised, scratch_dir, written
 from creditloom.sources.schemas import APPLICANT, LABEL
 
-HELD = "held_out"
-
 #: Defaults of the boosted trees: depth, rate, rounds, row and column share, leaf size.
 BOOSTED = {
     "maxDepth": 6, "stepSize": 0.05, "maxIter": 1000, "subsamplingRate": 0.8,
@@ -36,7 +39,7 @@ FOREST = {
     "maxDepth": 8, "numTrees": 300, "subsamplingRate": 0.8, "featureSubsetStrategy": "sqrt",
     "minInstancesPerNode": 20, "seed": 42,
 }
-#: Rounds without a smaller held-out loss after which boosting is over.
+#: Rounds without a larger held-out AUC after which boosting is over.
 PATIENCE = 50
 LINEAR = {"maxIter": 100, "regParam": 0.01, "elasticNetParam": 0.0}
 
@@ -75,9 +78,16 @@ class CvResult:
     numeric: list[str]
     encoded: list[str]
     fills: dict[str, float]
-    scores: DataFrame
+    scores: DataFrame | None
     fold_auc: list[float]
-    importance: DataFrame
+    #: Held-out AUC after every fitted round of each fold; empty for other learners.
+    round_auc: list[list[float]]
+    spark: SparkSession
+
+    @cached_property
+    def importance(self) -> DataFrame:
+        """Mean importance of each feature over the fold models."""
+        return model_importance(self.spark, self.models, self.features)
 
     @property
     def features(self) -> list[str]:
@@ -98,45 +108,82 @@ def with_score(model: Model, rows: DataFrame, name: str = "score") -> DataFrame:
     return out.drop("rawPrediction", "probability", "prediction")
 
 
-def best_round(losses: list[float], patience: int = PATIENCE) -> int:
-    """Round with the least loss before ``patience`` rounds brought nothing better."""
+def best_round(aucs: list[float], patience: int = PATIENCE) -> tuple[int, bool]:
+    """Round with the highest AUC before ``patience`` rounds brought nothing better.
+
+    Also whether patience ended the search, so that later rounds cannot matter.
+    """
     best = 0
-    for i, loss in enumerate(losses):
-        if loss < losses[best]:
+    for i, auc in enumerate(aucs):
+        if auc > aucs[best]:
             best = i
         elif i - best >= patience:
-            break
-    return best + 1
+            return best + 1, True
+    return best + 1, False
 
 
-def fit_rounds(estimator: Estimator, rows: DataFrame, held: DataFrame, patience: int) -> Model:
-    """Boosted trees cut at the best round on ``held``.
+def fit_rounds(
+    estimator: Estimator, rows: DataFrame, held: DataFrame, patience: int
+) -> tuple[Model, list[float]]:
+    """Boosted trees cut at the round with the best AUC on ``held``, and the AUC of all rounds.
 
-    All rounds are fitted, since Spark's own validation stops at the first round
-    that gains too little.  Their losses come from one pass; the shorter model is
-    fitted anew, with the same seed and thus the same trees.
+    Spark fits a given number of rounds and cannot go on from a model.  Twice the
+    patience is tried first and doubled until patience ends the search, which
+    costs less than twice the last fit and saves the rounds nobody needs.
     """
-    model = estimator.fit(rows)
-    if held.limit(1).count() == 0:
-        return model
-    losses = model.evaluateEachIteration(held)
-    best = best_round(losses, patience)
-    if best == len(losses):
-        return model
-    return estimator.copy({estimator.maxIter: best}).fit(rows)
+    wanted = estimator.getOrDefault(estimator.maxIter)
+    rounds = min(wanted, max(1, 2 * patience))
+    while True:
+        model = estimator.copy({estimator.maxIter: rounds}).fit(rows)
+        aucs = round_aucs(model, held)
+        best, ended = best_round(aucs, patience)
+        if ended or rounds == wanted:
+            return cut(model, best), aucs
+        rounds = min(wanted, 2 * rounds)
+
+
+@dataclass
+class Prepared:
+    """Folded rows with all features, written once and read by every model.
+
+    Target encodings are arrays over the folds.  Fills are computed once per kind.
+    """
+
+    rows: DataFrame
+    n_folds: int
+    numeric: list[str]
+    encoded: list[str]
+    _fills: dict[bool, dict[str, float]] = field(default_factory=dict)
+
+    def fills(self, median: bool) -> dict[str, float]:
+        if median not in self._fills:
+            self._fills[median] = column_fills(self.rows, self.numeric, median)
+        return self._fills[median]
+
+
+def prepared(
+    df: DataFrame, n_folds: int = 5, numeric: list[str] | None = None, encoded: list[str] | None = None
+) -> Prepared:
+    """Key, label, fold and features of all labelled rows as one Parquet table."""
+    numeric = numeric_feature_columns(df) if numeric is None else numeric
+    encoded = present_encoded(df) if encoded is None else encoded
+    folded = stratified_folds(df.select(APPLICANT, LABEL, *numeric, *encoded), n_folds)
+    if encoded:
+        slim = materialised(folded.select(LABEL, "fold", *encoded))
+        encodings = materialised(fold_encodings(slim, encoded))
+        folded = encode_every_fold(folded, encodings, encoded).drop(*encoded)
+    return Prepared(written(folded), n_folds, numeric, encoded)
 
 
 def model_rows(
-    folded: DataFrame, encodings: DataFrame | None, fold: int, numeric: list[str],
-    encoded: list[str], fills: dict[str, float],
+    rows: DataFrame, fold: int, numeric: list[str], encoded: list[str], fills: dict[str, float]
 ) -> DataFrame:
-    """All rows as model ``fold`` sees them: encoded, filled and assembled."""
-    rows = folded
-    if encoded:
-        rows = encode_for_model(folded, encodings, fold, encoded)
+    """:class:`Prepared` rows as model ``fold`` sees them: filled and assembled."""
     names = [*numeric, *(f"TE_{c}" for c in encoded)]
-    kept = rows.select(APPLICANT, LABEL, "fold", "weight", *names)
-    return assembled(kept, names, {**{n: 0.0 for n in names}, **fills})
+    seen = (F.get(f"TE_{c}", F.lit(fold)).alias(f"TE_{c}") for c in encoded)
+    kept = [c for c in (APPLICANT, LABEL, "fold", "weight") if c in rows.columns]
+    ready = rows.select(*kept, *numeric, *seen)
+    return assembled(ready, names, {**{n: 0.0 for n in names}, **fills})
 
 
 def train_cv(
@@ -149,57 +196,71 @@ def train_cv(
     log_path: str | None = None,
     target_encoding: bool = True,
     parallel: int = 2,
+    patience: int = PATIENCE,
 ) -> CvResult:
-    """Train one model per stratified fold and score the rows held out from it.
+    """Train one model per stratified fold and score the rows held out from it."""
+    chosen = set(features or feature_columns(df))
+    numeric = [c for c in numeric_feature_columns(df) if c in chosen]
+    ready = prepared(df, n_folds, numeric, None if target_encoding else [])
+    result = cross_validated(ready, learner, params, parallel=parallel, patience=patience)
+    if log_path:
+        count = len(result.features)
+        append_run(df.sparkSession, log_path, name, result.fold_auc, count, result.params)
+    return result
 
-    The folded rows are materialised once; all folds read them.  Training and
-    scoring run on the executors, the driver only starts the fold jobs.
+
+def cross_validated(
+    ready: Prepared,
+    learner: str = "boosted",
+    params: dict | None = None,
+    features: list[str] | None = None,
+    parallel: int = 2,
+    patience: int = PATIENCE,
+    scored: bool = True,
+) -> CvResult:
+    """:func:`train_cv` over prepared rows, or over some ``features`` of them.
+
+    Training and scoring run on the executors, the driver only starts the fold
+    jobs.  Without ``scored`` no held-out scores are kept; boosted trees have the
+    AUC of their folds from the rounds.
     """
     spec = learners()[learner]
-    chosen = features or feature_columns(df)
-    numeric = [c for c in numeric_feature_columns(df) if c in set(chosen)]
-    encoded = present_encoded(df) if target_encoding else []
-    used = df.select(APPLICANT, LABEL, *numeric, *encoded)
     settings = spec.defaults | (params or {})
     positive = settings.pop("positive", spec.positive)  # ours, not the classifier's
-    weighted = _weighted(stratified_folds(used, n_folds), positive)
-    folded = materialised(weighted)
-    encodings = materialised(fold_encodings(folded, encoded)) if encoded else None
-    fills = column_fills(folded, numeric, spec.median)
-
-    def fit(k: int) -> tuple[Model, DataFrame]:
-        rows = model_rows(folded, encodings, k, numeric, encoded, fills)
-        rows = rows.withColumn(HELD, F.col("fold") == k).persist()  # boosting rereads them
+    numeric = [c for c in ready.numeric if features is None or c in set(features)]
+    encoded = ready.encoded
+    fills = {c: v for c, v in ready.fills(spec.median).items() if c in set(numeric)}
+    weighted = _weighted(ready.rows, positive)
+    spark = ready.rows.sparkSession
+    scored = scored or not spec.validated
+
+    def fit(k: int) -> tuple[Model, DataFrame | None, list[float]]:
+        rows = model_rows(weighted, k, numeric, encoded, fills)
+        train, held = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
         estimator = spec.make(featuresCol=VECTOR, labelCol=LABEL, weightCol="weight", **settings)
         if spec.validated:
-            model = fit_rounds(
-                estimator, rows.where(~F.col(HELD)), rows.where(F.col(HELD)), PATIENCE
-            )
+            model, aucs = fit_rounds(estimator, train, held, patience)
         else:
-            model = estimator.fit(rows.where(~F.col(HELD)))
-        held = with_score(model, rows.where(F.col(HELD)))
+            model, aucs = estimator.fit(train), []
+        if not scored:
+            return model, None, aucs
         # each held-out row is scored once
-        scores = materialised(held.select(APPLICANT, LABEL, "fold", "score"))
-        rows.unpersist()
-        return model, scores
-
-    scratch_dir(df.sparkSession)  # names the checkpoint folder before threads start
-    fitted = in_threads(
-        df.sparkSession, [lambda k=k: fit(k) for k in range(n_folds)], parallel
+        scores = written(with_score(model, held).select(APPLICANT, LABEL, "fold", "score"))
+        return model, scores, aucs
+
+    scratch_dir(spark)  # names the checkpoint folder before threads start
+    fitted = in_threads(spark, [lambda k=k: fit(k) for k in range(ready.n_folds)], parallel)
+    scores = None
+    if scored:
+        scores = reduce(DataFrame.unionByName, (part for _, part, _ in fitted))
+        found = auc_exact(scores, "score", by=["fold"]).orderBy("fold").collect()  # one row per fold
+        aucs = [row["auc"] for row in found]
+    else:
+        aucs = [rounds[best_round(rounds, patience)[0] - 1] for _, _, rounds in fitted]
+    return CvResult(
+        learner, settings, [model for model, _, _ in fitted], numeric, encoded, fills, scores,
+        aucs, [rounds for _, _, rounds in fitted], spark,
     )
-    models = [model for model, _ in fitted]
-    scores = fitted[0][1]
-    for _, part in fitted[1:]:
-        scores = scores.unionByName(part)
-    aucs = auc_exact(scores, "score", by=["fold"]).orderBy("fold").collect()  # one row per fold
-    names = [*numeric, *(f"TE_{c}" for c in encoded)]
-    result = CvResult(
-        learner, settings, models, numeric, encoded, fills, scores,
-        [row["auc"] for row in aucs], _importances(df.sparkSession, models, names),
-    )
-    if log_path:
-        append_run(df.sparkSession, log_path, name, result.fold_auc, len(names), settings)
-    return result
 
 
 def _weighted(df: DataFrame, positive: float | None) -> DataFrame:
@@ -208,78 +269,140 @@ def _weighted(df: DataFrame, positive: float | None) -> DataFrame:
     return class_weights(df, positive or None)
 
 
-def _importances(spark: SparkSession, models: list[Model], names: list[str]) -> DataFrame:
-    """Mean importance per feature; for linear models the size of the coefficients."""
-    rows = []
-    for k, model in enumerate(models):
-        if hasattr(model, "featureImportances"):
-            values = model.featureImportances.toArray()
-        else:
-            values = abs(model.coefficients.toArray())
-        rows += [(k, n, float(v)) for n, v in zip(names, values, strict=True)]
-    return mean_importance(spark.createDataFrame(rows, "fold int, feature string, importance double"))
+def model_importance(spark: SparkSession, models: list[Model], names: list[str]) -> DataFrame:
+    """Mean importance per feature over the fold models.
+
+    Tree models: gains, from their node tables.  Linear models: size of the coefficients.
+    """
+    if not hasattr(models[0], "coefficients"):
+        tables = [node_table(m, spark).withColumn("model", F.lit(k)) for k, m in enumerate(models)]
+        per_tree = not hasattr(models[0], "evaluateEachIteration")  # forests
+        return node_importance(reduce(DataFrame.unionByName, tables), names, per_tree)
+    rows = [
+        (k, n, float(v))
+        for k, model in enumerate(models)
+        for n, v in zip(names, abs(model.coefficients.toArray()), strict=True)
+    ]
+    schema = "fold int, feature string, importance double"
+    return mean_importance(spark.createDataFrame(rows, schema))
 
 
 # --- search and ablation ----------------------------------------------------
 
 
-def draw_params(n_trials: int, seed: int = 42) -> list[dict]:
-    """Random settings of the boosted trees; rate is drawn on a logarithmic scale.
+def uniform(trial: int, name: str, seed: int) -> float:
+    """A number from 0 to 1 by the first 12 hex digits of a hash, so that any engine can draw it."""
+    digits = hashlib.md5(f"{seed}:{trial}:{name}".encode()).hexdigest()[:12]
+    return int(digits, 16) / 16**12
+
+
+#: Drawn settings with their bounds; whole numbers where both bounds are, ``step_size``
+#: on a logarithmic scale.  Penalties on leaf weights have no counterpart in Spark's trees.
+SEARCHED = {
+    "max_depth": (3, 8),
+    "step_size": (0.01, 0.15),
+    "row_share": (0.6, 0.95),
+    "column_share": (0.5, 0.9),
+    "min_rows": (5, 100),
+    "positive_weight": (1.0, 5.0),
+}
+
+
+def draw_trial(trial: int, seed: int = 42) -> dict:
+    """The settings of one trial, by the names of ``SEARCHED``."""
+    out = {}
+    for name, (low, high) in SEARCHED.items():
+        u = uniform(trial, name, seed)
+        if isinstance(low, int):
+            out[name] = low + math.floor(u * (high - low + 1))
+        elif name == "step_size":
+            out[name] = math.exp(math.log(low) + u * (math.log(high) - math.log(low)))
+        else:
+            out[name] = low + u * (high - low)
+    return out
 
-    Penalties on leaf weights have no counterpart in Spark's trees.
-    """
-    rng = random.Random(seed)
-    return [
-        {
-            "maxDepth": rng.randint(3, 8),
-            "stepSize": math.exp(rng.uniform(math.log(0.01), math.log(0.15))),
-            "subsamplingRate": rng.uniform(0.6, 0.95),
-            "featureSubsetStrategy": f"{rng.uniform(0.5, 0.9):.4f}",
-            "minInstancesPerNode": rng.randint(5, 100),
-            "positive": rng.uniform(1.0, 5.0),
-        }
-        for _ in range(n_trials)
-    ]
+
+def learner_params(drawn: dict) -> dict:
+    """Drawn settings by the learner's names."""
+    return {
+        "maxDepth": drawn["max_depth"],
+        "stepSize": drawn["step_size"],
+        "subsamplingRate": drawn["row_share"],
+        "featureSubsetStrategy": f"{drawn['column_share']:.4f}",
+        "minInstancesPerNode": drawn["min_rows"],
+        "positive": drawn["positive_weight"],
+    }
+
+
+TRIALS = (
+    "job string, trial int, max_depth int, step_size double, row_share double, column_share double,"
+    " min_rows int, positive_weight double, auc double"
+)
+
+
+def finished_trials(spark: SparkSession, ledger: str, job: str) -> DataFrame:
+    """The trials of a job whose rows were written to the end, one row each."""
+    files = spark.read.schema(TRIALS).option("recursiveFileLookup", True)
+    try:
+        rows = files.parquet(ledger)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], TRIALS)
+    return rows.where(F.col("job") == job).dropDuplicates(["trial"])
 
 
 def random_search(
     df: DataFrame, n_trials: int = 30, n_folds: int = 5, features: list[str] | None = None,
-    rounds: int = 1500, seed: int = 42, parallel: int = 2,
+    rounds: int = 1500, seed: int = 42, parallel: int = 2, ledger: str | None = None,
+    patience: int = PATIENCE,
 ) -> tuple[dict, DataFrame]:
-    """Best settings by mean fold AUC, and the table of all trials.  No target encoding."""
-    trials = draw_params(n_trials, seed)
-    aucs = [
-        train_cv(
-            df, "boosted", {**p, "maxIter": rounds}, n_folds, features,
-            target_encoding=False, parallel=parallel,
+    """Best settings by mean fold AUC, and the table of all trials.  No target encoding.
+
+    Every finished trial is one file of ``ledger`` (a fresh folder by default).  A
+    driver that is started again with the same job, i.e. the same columns, folds,
+    rounds and seed, takes the finished trials from there and goes on with the rest.
+    """
+    spark = df.sparkSession
+    ledger = ledger or scratch_dir(spark)
+    columns = features or numeric_feature_columns(df)
+    ready = prepared(df, n_folds, columns, [])
+    about = json.dumps([columns, n_folds, rounds, patience, seed])
+    job = hashlib.sha256(about.encode()).hexdigest()
+    done = {r["trial"] for r in finished_trials(spark, ledger, job).collect()}  # a row per trial
+    for trial in (t for t in range(n_trials) if t not in done):
+        drawn = draw_trial(trial, seed)
+        params = {**learner_params(drawn), "maxIter": rounds}
+        auc = cross_validated(
+            ready, "boosted", params, parallel=parallel, patience=patience, scored=False
         ).mean_auc
-        for p in trials
-    ]
-    rows = [
-        (i, p["maxDepth"], p["stepSize"], p["subsamplingRate"], float(p["featureSubsetStrategy"]),
-         p["minInstancesPerNode"], p["positive"], auc)
-        for i, (p, auc) in enumerate(zip(trials, aucs, strict=True))
-    ]
-    schema = (
-        "trial int, max_depth int, step_size double, row_share double, column_share double,"
-        " min_rows int, positive_weight double, auc double"
-    )
-    best = trials[max(range(n_trials), key=lambda i: aucs[i])]
-    return {**best, "maxIter": rounds}, df.sparkSession.createDataFrame(rows, schema)
+        row = spark.createDataFrame([(job, trial, *drawn.values(), auc)], TRIALS)
+        # a folder per attempt: two drivers at the same job share no temporary files
+        row.coalesce(1).write.parquet(f"{ledger}/{trial}-{uuid.uuid4().hex}")
+    trials = finished_trials(spark, ledger, job).where(F.col("trial") < n_trials)
+    best = trials.orderBy(F.col("auc").desc(), "trial").first()
+    params = learner_params({name: best[name] for name in SEARCHED})
+    return {**params, "maxIter": rounds}, trials.drop("job")
 
 
 def ablation(
-    df: DataFrame, base: list[str], groups: dict[str, list[str]], **training
+    df: DataFrame, base: list[str], groups: dict[str, list[str]], n_folds: int = 5,
+    target_encoding: bool = True, **training,
 ) -> DataFrame:
     """AUC with each group of columns added to ``base``, and with all of them.
 
-    ``delta_bps`` is the gain over the base in hundredths of a percent.
+    ``delta_bps`` is the gain over the base in hundredths of a percent.  All runs
+    read one table of prepared rows.
     """
     runs = {"baseline": base}
     runs |= {name: [*base, *columns] for name, columns in groups.items()}
     runs["all"] = [*base, *(c for columns in groups.values() for c in columns)]
-    aucs = {name: train_cv(df, features=cols, name=name, **training).mean_auc
-            for name, cols in runs.items()}
+    every = [c for c in numeric_feature_columns(df) if c in set(runs["all"])]
+    ready = prepared(df, n_folds, every, None if target_encoding else [])
+    aucs = {
+        name: cross_validated(ready, features=columns, scored=False, **training).mean_auc
+        for name, columns in runs.items()
+    }
     rows = []
     for name, columns in runs.items():
         delta = (aucs[name] - aucs["baseline"]) * 10_000

@@ -130,6 +130,25 @@ def encode_for_model(
     return _encode(df, encodings.where(F.col("fold") == fold).drop("fold"), columns, False)
 
 
+def encode_every_fold(df: DataFrame, encodings: DataFrame, columns: list[str]) -> DataFrame:
+    """``TE_<column>`` as an array over folds: its entry ``k`` is what model ``k`` sees.
+
+    One lookup per column serves all models.  ``encodings`` should be materialised.
+    """
+    values = F.transform(F.array_sort(F.collect_list(F.struct("fold", "value"))), lambda x: x["value"])
+    by_category = encodings.groupBy("column", "category").agg(values.alias("_values"))
+    overall = encodings.groupBy("fold").agg(F.max("overall").alias("value"))
+    unseen = overall.agg(values).scalar()  # one entry per fold
+    small = is_small(encodings)
+    out = df
+    for name in columns:
+        stats = by_category.where((F.col("column") == name) & F.col("category").isNotNull())
+        stats = stats.select(F.col("category").alias(name), F.col("_values").alias(f"TE_{name}"))
+        out = lookup_join(out, stats, [name], small)
+        out = out.withColumn(f"TE_{name}", F.coalesce(f"TE_{name}", unseen))
+    return out
+
+
 def encode_full(
     train: DataFrame, rows: DataFrame, columns: list[str] | None = None, label: str = LABEL
 ) -> DataFrame:

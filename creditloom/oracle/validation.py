@@ -162,7 +162,7 @@ APP = (
 )
 
 
-def _numeric_columns() -> list[str]:
+def numeric_columns() -> list[str]:
     raw = [line.rsplit(" AS ", 1)[1] for line in VIEWS["application"].lines]
     return [c for c in raw if c not in ("SK_ID_CURR", "TARGET", *ENCODED)] + [
         n for n, _ in lines(f.APP)
@@ -176,9 +176,9 @@ def _corr(c: str) -> str:
 
 def importance(extra: str = "") -> str:
     """Absolute correlation per column, on the comparison grid."""
-    one = "SELECT " + ", ".join(f"{_corr(c)} AS {c}" for c in _numeric_columns())
+    one = "SELECT " + ", ".join(f"{_corr(c)} AS {c}" for c in numeric_columns())
     cells = " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, {grid(c)} AS importance FROM _i" for c in _numeric_columns()
+        f"SELECT '{c}' AS feature, {grid(c)} AS importance FROM _i" for c in numeric_columns()
     )
     return with_views(TRAIN, f"_i AS ({one} FROM ({APP}) a) {cells}")
 

@@ -19,9 +19,9 @@ def all_queries() -> dict[str, Query]:
 
 
 def all_oracles() -> dict[str, str]:
-    from creditloom.oracle import features, relational, sources, validation
+    from creditloom.oracle import features, models, relational, sources, validation
 
     out: dict[str, str] = {}
-    for module in (sources, relational, features, validation):
+    for module in (sources, relational, features, validation, models):
         out |= module.oracles()
     return out

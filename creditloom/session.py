@@ -55,6 +55,13 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: computed once, read by column."""
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def in_threads(spark: SparkSession, tasks: list[Callable], width: int) -> list:
     """Run driver-side calls, each starting its own Spark jobs, ``width`` at a time."""
     inherited = inheritable_thread_target(spark)

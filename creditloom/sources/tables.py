@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +32,7 @@ def scan_table(
 
 
 def _csv_text(spark: SparkSession, name: str, data_dir: str, infer: bool = False) -> DataFrame:
-    reader = spark.read.option("header", True).option("escape", '"')
+    reader = _csv_reader(spark)
     text = _read(lambda: reader.option("inferSchema", infer).csv(f"{data_dir}/{name}.csv"))
     if text is None:
         raise FileNotFoundError(f"no table {name} in {data_dir}")
@@ -155,13 +155,22 @@ def write_parquet(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
-    """CSV with a header; an empty text reads back as null."""
+    """CSV with a header: null is an empty field, an empty text a quoted one."""
     mode = "append" if append else "overwrite"
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    writer = df.write.mode(mode).option("header", True).option("escape", '"')
+    writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    writer.csv(path)
+
+
+def _csv_reader(spark: SparkSession) -> DataFrameReader:
+    """A reader that tells an empty field (null) from a quoted empty text."""
+    reader = spark.read.option("header", True).option("escape", '"')
+    # by default "" reads as null; no text that a CSV file can hold is this character
+    return reader.option("nullValue", "\u0000")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.option("header", True).option("escape", '"').schema(schema).csv(path)
+    return _csv_reader(spark).schema(schema).csv(path)
 
 
 def _read(attempt: Callable[[], DataFrame]) -> DataFrame | None:

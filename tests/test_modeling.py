@@ -131,6 +131,119 @@ def test_pruning(spark):
 
 
 def test_search_space_is_reproducible():
-    draws = training.draw_params(30)
-    assert draws == training.draw_params(30) and len({str(d) for d in draws}) == 30
-    assert all(3 <= d["maxDepth"] <= 8 and 0.01 <= d["stepSize"] <= 0.15 for d in draws)
+    draws = [training.draw_trial(i) for i in range(30)]
+    assert draws == [training.draw_trial(i) for i in range(30)] and len({str(d) for d in draws}) == 30
+    assert all(low <= d[n] <= high for d in draws for n, (low, high) in training.SEARCHED.items())
+
+
+def test_rounds_are_chosen_by_auc(spark, train, result):
+    """AUC per round against Spark's evaluator, the cut ensemble against the whole one."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    from creditloom.modeling import trees
+
+    names = ["EXT_SOURCE_1", "EXT_SOURCE_3", "AMT_CREDIT"]
+    rows = matrix.assembled(train.select(APPLICANT, LABEL, *names), names, matrix.column_fills(train, names))
+    model = training.GBTClassifier(labelCol=LABEL, maxIter=6, maxDepth=3, seed=1).fit(rows)
+    aucs = trees.round_aucs(model, rows)
+    area = BinaryClassificationEvaluator(labelCol=LABEL)
+    for rounds in (1, 4, 6):
+        short = trees.cut(model, rounds)
+        assert short.getNumTrees == rounds and short.numFeatures == 3
+        assert area.evaluate(short.transform(rows)) == pytest.approx(aucs[rounds - 1], abs=1e-9)
+    found = {r["feature"]: r["importance"] for r in trees.node_importance(trees.node_table(model, spark), names).collect()}
+    assert [found[n] for n in names] == pytest.approx(model.featureImportances.toArray())
+
+    for aucs, kept in zip(result.round_auc, result.models):
+        assert len(aucs) == 3 and kept.getNumTrees == training.best_round(aucs)[0]
+    for fold, auc in enumerate(result.fold_auc):
+        assert auc == pytest.approx(max(result.round_auc[fold]), abs=1e-12)
+
+
+def test_patience():
+    assert training.best_round([0.5, 0.6, 0.6, 0.55], 2) == (2, True)
+    assert training.best_round([0.5, 0.6, 0.6, 0.55], 3) == (2, False)
+    assert training.best_round([0.5, 0.6, 0.5, 0.5, 0.9], 2) == (2, True)
+    assert training.best_round([0.5], 2) == (1, False)
+
+
+def test_forest_importance_from_nodes(spark, train):
+    from creditloom.modeling import trees
+
+    names = ["EXT_SOURCE_1", "EXT_SOURCE_3", "AMT_CREDIT"]
+    rows = matrix.assembled(train.select(APPLICANT, LABEL, *names), names, matrix.column_fills(train, names))
+    model = training.RandomForestClassifier(labelCol=LABEL, numTrees=4, maxDepth=4, seed=1).fit(rows)
+    nodes = trees.node_table(model, spark)
+    found = {r["feature"]: r["importance"] for r in trees.node_importance(nodes, names, per_tree=True).collect()}
+    assert [found[n] for n in names] == pytest.approx(model.featureImportances.toArray())
+
+
+def test_importance_equals_sql_over_the_same_nodes(spark, result, train, tmp_path):
+    """The gains of two fold models, summed by another engine."""
+    import duckdb
+
+    from creditloom.modeling import trees
+
+    parts = [trees.node_table(m, spark).withColumn("model", F.lit(k)) for k, m in enumerate(result.models)]
+    parts[0].unionByName(parts[1]).coalesce(1).write.parquet(f"{tmp_path}/nodes")
+    want = duckdb.sql(
+        "WITH s AS (SELECT model, feature, sum(gain * cover) AS g FROM"
+        f" '{tmp_path}/nodes/*.parquet' WHERE feature IS NOT NULL GROUP BY ALL)"
+        " SELECT feature, sum(share) / 2 FROM"
+        " (SELECT feature, g / sum(g) OVER (PARTITION BY model) AS share FROM s) GROUP BY feature"
+    ).fetchall()
+    got = {r["feature"]: r["importance"] for r in result.importance.collect()}
+    assert {n: v for n, v in got.items() if v} == {result.features[i]: pytest.approx(v) for i, v in want}
+
+
+def test_interrupted_save_is_not_loaded(spark, result, train, tmp_path):
+    path = str(tmp_path)
+    first = scoring.save_model(result, path)
+    result.models[0].write().save(f"{path}/unfinished/fold_0")  # a driver lost before its commit
+    assert scoring.load_model(spark, path)[0]["fold_auc"] == result.fold_auc
+    with pytest.raises(FileNotFoundError):
+        scoring.load_model(spark, path, "unfinished")
+    second = scoring.save_model(result, path)
+    assert {r["version"] for r in scoring.versions(spark, path).collect()} == {first, second}
+    assert len(scoring.load_model(spark, path, first)[1]) == 2
+
+
+def test_search_goes_on_where_it_was_interrupted(spark, train, tmp_path, monkeypatch):
+    names, ledger = ["EXT_SOURCE_1", "EXT_SOURCE_3"], f"{tmp_path}/ledger"
+    real, calls = training.cross_validated, []
+
+    def counted(*args, **kwargs):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("driver lost")
+        return real(*args, **kwargs)
+
+    monkeypatch.setattr(training, "cross_validated", counted)
+    options = dict(n_trials=3, n_folds=2, features=names, rounds=1, ledger=ledger, patience=1)
+    with pytest.raises(RuntimeError):
+        training.random_search(train, **options)
+    best, trials = training.random_search(train, **options)
+    assert len(calls) == 4  # trial 0, the lost one, trials 1 and 2
+    rows = {r["trial"]: r for r in trials.collect()}
+    assert rows.keys() == {0, 1, 2} and best["maxIter"] == 1
+    assert all(rows[i]["max_depth"] == training.draw_trial(i)["max_depth"] for i in rows)
+    training.random_search(train, **options)
+    assert len(calls) == 4
+    training.random_search(train, **{**options, "n_trials": 1, "rounds": 2})  # another job
+    assert len(calls) == 5
+
+
+def test_contributions_over_all_folds(train, result):
+    """Patterns looked up per leaf against the direct sum, and the mean over the fold models."""
+    names = ["EXT_SOURCE_1", "EXT_SOURCE_3", "AMT_CREDIT", "APP_AGE_YEARS", "APP_DOCUMENT_COUNT"]
+    ready = training.prepared(train, 2, names, result.encoded)
+    table = {r["feature"]: r["importance"] for r in attribution.cv_contributions(result, ready).collect()}
+    assert table.keys() == set(result.features)
+    wanted = np.zeros(len(result.features))
+    for k, model in enumerate(result.models):
+        rows = training.model_rows(ready.rows, k, result.numeric, result.encoded, result.fills)
+        x = np.stack([r[0] for r in rows.select(vector_to_array("features")).collect()])
+        every_leaf = attribution.leaves(model, rows)
+        parts = [attribution.contributions(x[i : i + 1], every_leaf) for i in range(len(x))]
+        wanted += np.abs(np.concatenate(parts)).mean(axis=0) / 2
+    assert table == {n: pytest.approx(v) for n, v in zip(result.features, wanted)}

@@ -108,3 +108,32 @@ def test_logs_append_and_merge(spark, tmp_path):
     assert got == {"a": ("0.75", "0.74"), "b": ("0.9", ""), "": ("kept", "")}
     gaps = {r["message"]: r["gap"] for r in logs.score_gap(merged).collect()}
     assert gaps == {"a": pytest.approx(0.05), "b": pytest.approx(0.1)}
+
+
+def test_csv_keeps_empty_texts_apart_from_nulls(spark, tmp_path):
+    rows = [(1, ""), (2, None), (3, 'a "b", c'), (None, " x "), (5, "\\N")]
+    io.write_csv(spark.createDataFrame(rows, "n int, s string"), f"{tmp_path}/t")
+    assert {tuple(r) for r in io.read_csv(spark, f"{tmp_path}/t", "n int, s string").collect()} == set(rows)
+
+
+def test_appending_a_run_again_changes_nothing(spark, tmp_path):
+    path = f"{tmp_path}/runs"
+    for score in (0.7, 0.9):
+        assert logs.append_run(spark, path, "a", [score], 1, {}, run_id="first") == "first"
+    logs.append_run(spark, path, "a", [0.8], 1, {})
+    rows = logs.read_runs(spark, path)
+    assert sorted(r["mean_auc"] for r in rows.collect()) == [0.7, 0.8]
+    assert dict(rows.dtypes)["logged_at"] == "timestamp"
+    with pytest.raises(ValueError):
+        logs.append_run(spark, path, "a", [0.7], 1, {}, run_id="../x")
+
+
+def test_drivers_append_side_by_side(spark, tmp_path):
+    from creditloom.session import in_threads
+
+    path = f"{tmp_path}/submissions"
+    tasks = [lambda i=i: logs.append_submission(spark, path, f"m{i % 4}", 0.5, i, run_id=f"r{i % 4}") for i in range(8)]
+    in_threads(spark, tasks, 8)
+    found = logs.read_submissions(spark, path).collect()
+    assert sorted(r["message"] for r in found) == ["m0", "m1", "m2", "m3"]
+    assert {r["public_score"] for r in found} == {""}
