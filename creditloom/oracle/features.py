@@ -339,6 +339,8 @@ def oracles() -> dict[str, str]:
             f"SELECT {KEY}, COLUMNS('^CROSS_') FROM ({wide('application_train', ', TARGET')}) x",
             train,
         ),
-        "feature_table_train": twin(wide("application_train", ", TARGET"), train),
-        "feature_table_test": twin(wide("application_test", ""), test),
+        "feature_table_train": (whole := twin(wide("application_train", ", TARGET"), train)),
+        "feature_table_test": (scored := twin(wide("application_test", ""), test)),
+        "feature_pipeline": whole,
+        "feature_pipeline_test": scored,
     }

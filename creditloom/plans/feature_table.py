@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +19,9 @@ from creditloom.plans import hypotheses as hyp
 from creditloom.plans.application import application_features
 from creditloom.plans.cross import cross_features
 from creditloom.session import in_threads, scratch_dir
+from creditloom.sources.bucketed import bucketed_cache, fingerprint
 from creditloom.sources.schemas import APPLICANT, LABEL, TABLES
-from creditloom.sources.tables import parquet_cache, scan_table
+from creditloom.sources.tables import scan_table, table_path
 
 #: Name prefixes of the engineered columns.
 PREFIXES = ["APP_", "BUR_", "PREV_", "INS_", "POS_", "CC_", "H1_", "H2_", "H3_", "H4_", "H5_",
@@ -77,6 +80,21 @@ def supplements(tables: dict[str, DataFrame]) -> dict[str, Callable[[], DataFram
     }
 
 
+#: The input tables of each supplement.
+SUPPLEMENT_SOURCES = {
+    "bureau": ["bureau", "bureau_balance"],
+    "previous": ["previous_application"],
+    "instalments": ["installments_payments"],
+    "pos": ["POS_CASH_balance"],
+    "card": ["credit_card_balance"],
+    "balance_events": ["bureau", "bureau_balance"],
+    "instalment_halves": ["installments_payments"],
+    "balance_halves": ["bureau", "bureau_balance"],
+    "pos_halves": ["POS_CASH_balance"],
+    "card_halves": ["credit_card_balance"],
+}
+
+
 def feature_table(app: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """Applicants with all 304 engineered columns, as one plan.
 
@@ -88,24 +106,38 @@ def feature_table(app: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def build_feature_tables(
-    spark: SparkSession, data_dir: str, out_dir: str, overwrite: bool = False
+    spark: SparkSession, data_dir: str, out_dir: str, overwrite: bool = False, buckets: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Training and test feature tables, every part written to ``out_dir``.
 
-    The shared per-applicant tables are written once and read by both joins.
-    With ``overwrite`` all of them are rebuilt.
+    All parts have a row per applicant and are bucketed by applicant, so the
+    final joins read them in place: no exchange, and no sort beyond the files'
+    own order.  The shared parts are built once for both tables.  A part is built
+    again when one of the files it is made of changes, or with ``overwrite``.
     """
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tables = {name: scan_table(spark, name, data_dir) for name in TABLES}
+    marks = {name: fingerprint(spark, [table_path(spark, name, data_dir)]) for name in TABLES}
+    run = uuid.uuid4().hex if overwrite else ""
 
-    def kept(name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        return parquet_cache(spark, name, build, out_dir, overwrite)
+    def kept(name: str, build: Callable[[], DataFrame], sources: Iterable[str]) -> DataFrame:
+        mark = hashlib.sha256("".join([run, *(marks[s] for s in sorted(sources))]).encode()).hexdigest()
+        return bucketed_cache(spark, name, build, out_dir, mark, APPLICANT, buckets)
 
-    shared = [kept(f"features_{n}", build) for n, build in supplements(tables).items()]
+    shared_tables = set(TABLES) - {"application_train", "application_test"}
+    shared = {
+        f"features_{n}": kept(f"features_{n}", build, SUPPLEMENT_SOURCES[n])
+        for n, build in supplements(tables).items()
+    }
 
-    def final(name: str) -> DataFrame:
-        app = application_features(tables[f"application_{name}"])
+    def final(part: str) -> DataFrame:
+        name = f"application_{part}"
+        app = kept(name, lambda: application_features(tables[name]), [name])
+        # sorted buckets meet: a broadcast would send whole feature tables around
+        parts = [features.hint("merge") for features in shared.values()]
         return kept(
-            f"{name}_final", lambda: cross_features(join_features(app, shared, APPLICANT))
+            f"{part}_final", lambda: cross_features(join_features(app, parts, APPLICANT)),
+            [name, *shared_tables],
         )
 
     return final("train"), final("test")

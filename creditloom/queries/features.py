@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from creditloom.plans import application, bureau, history
 from creditloom.plans import hypotheses as hyp
-from creditloom.plans.feature_table import PREFIXES, feature_table
+from creditloom.plans.feature_table import PREFIXES, build_feature_tables, feature_table
 from creditloom.queries.common import Inputs, published
+from creditloom.session import scratch_dir
 from creditloom.sources.schemas import APPLICANT, CREDIT, LABEL
+from creditloom.sources.tables import write_parquet
 
 
 def engineered(df: DataFrame) -> list[str]:
@@ -42,6 +44,20 @@ def _five(t: Inputs) -> list[DataFrame]:
                            "POS_CASH_balance", "credit_card_balance")]
 
 
+def _pipeline(part: str):
+    """From table files to the two written feature tables, of which one is returned."""
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = scratch_dir(spark)
+        for name, table in Inputs(spark, sf_dir).all().items():
+            write_parquet(table, f"{folder}/data/{name}.parquet")
+        train, test = build_feature_tables(spark, f"{folder}/data", f"{folder}/features")
+        out = train if part == "train" else test
+        label = [LABEL] if part == "train" else []
+        return published(out.select(APPLICANT, *label, *engineered(out), "DAYS_EMPLOYED"), APPLICANT)
+
+    return query
+
+
 QUERIES = {
     "app_features": _by_applicant(_app),
     "bureau_balance_features": _balance,
@@ -79,4 +95,6 @@ QUERIES = {
     ),
     "feature_table_train": _by_applicant(lambda t: _wide(t, "train")),
     "feature_table_test": _by_applicant(lambda t: _wide(t, "test")),
+    "feature_pipeline": _pipeline("train"),
+    "feature_pipeline_test": _pipeline("test"),
 }

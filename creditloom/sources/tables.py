@@ -31,6 +31,12 @@ def scan_table(
     return text if infer else text.select([_typed(name, c, lenient) for c in text.columns])
 
 
+def table_path(spark: SparkSession, name: str, data_dir: str) -> str:
+    """The path :func:`scan_table` reads."""
+    parquet = f"{data_dir}/{name}.parquet"
+    return f"{data_dir}/{name}.csv" if _read(lambda: spark.read.parquet(parquet)) is None else parquet
+
+
 def _csv_text(spark: SparkSession, name: str, data_dir: str, infer: bool = False) -> DataFrame:
     reader = _csv_reader(spark)
     text = _read(lambda: reader.option("inferSchema", infer).csv(f"{data_dir}/{name}.csv"))

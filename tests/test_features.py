@@ -153,3 +153,71 @@ def test_large_applicants_balances(inputs):
     both = plain.join(spread.select(APPLICANT, F.col(gap).alias("other")), APPLICANT)
     assert both.count() == plain.count() == spread.count()
     assert both.where(F.abs(F.col(gap) - F.col("other")) > 1e-9).count() == 0
+
+
+def _exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning") + plan.count("BroadcastExchange")
+
+
+def test_bucketed_tables_join_in_place_and_go_stale(spark, tmp_path):
+    """No exchange above bucketed scans; a changed input leads to a new build, others stay."""
+    from creditloom.operators.lookup import join_features
+    from creditloom.sources import bucketed
+
+    data, out, calls = f"{tmp_path}/data", f"{tmp_path}/out", []
+    rows = spark.range(200).withColumnRenamed("id", APPLICANT)
+    rows.write.parquet(data)
+
+    def kept(name, mark):
+        def build():
+            calls.append(name)
+            return spark.read.parquet(data).withColumn(name, F.col(APPLICANT) * 2)
+
+        return bucketed.bucketed_cache(spark, name, build, out, mark, APPLICANT, 3)
+
+    before = bucketed.fingerprint(spark, [data])
+    assert before == bucketed.fingerprint(spark, [data])
+    tables = [kept(n, before) for n in ("a", "b", "c")]
+    joined = join_features(tables[0], [t.hint("merge") for t in tables[1:]], APPLICANT)
+    assert _exchanges(joined) == 0 and joined.count() == 200
+    assert joined.where("a = b and b = c").count() == 200
+    assert [kept(n, before).count() for n in ("a", "b", "c")] == [200] * 3 and calls == ["a", "b", "c"]
+
+    rows.limit(10).write.mode("append").parquet(data)
+    after = bucketed.fingerprint(spark, [data])
+    assert after != before
+    assert kept("a", after).count() == 210 and calls == ["a", "b", "c", "a"]
+
+
+def test_unfinished_bucketed_table_is_built_again(spark, tmp_path):
+    from creditloom.sources import bucketed
+
+    out = str(tmp_path)
+    half = spark.range(5).withColumnRenamed("id", APPLICANT)
+    bucketed.write_bucketed(half, f"{out}/t/mark-2/lost", APPLICANT, 2)  # no commit
+    whole = bucketed.bucketed_cache(
+        spark, "t", lambda: half.union(half), out, "mark", APPLICANT, 2
+    )
+    assert whole.count() == 10
+
+
+def test_feature_tables_are_rebuilt_for_changed_inputs_only(spark, inputs, tmp_path, monkeypatch):
+    from creditloom.plans import feature_table as ft
+    from creditloom.sources import bucketed
+
+    data, out, built = f"{tmp_path}/data", f"{tmp_path}/out", []
+    for name, table in inputs.all().items():
+        table.write.parquet(f"{data}/{name}.parquet")
+    real = bucketed.write_bucketed
+    monkeypatch.setattr(bucketed, "write_bucketed", lambda df, path, *a: (built.append(path.split("/out/")[1].split("/")[0]), real(df, path, *a)))
+    first, _ = ft.build_feature_tables(spark, data, out, buckets=2)
+    assert len(built) == 14
+    again, _ = ft.build_feature_tables(spark, data, out, buckets=2)
+    assert len(built) == 14 and again.count() == first.count()
+    cards = spark.read.parquet(f"{data}/credit_card_balance.parquet")
+    cards.limit(1).write.mode("append").parquet(f"{data}/credit_card_balance.parquet")
+    ft.build_feature_tables(spark, data, out, buckets=2)
+    assert sorted(built[14:]) == ["features_card", "features_card_halves", "test_final", "train_final"]
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
