@@ -133,7 +133,7 @@ def _runs() -> str:
 def _submissions() -> str:
     rows = " UNION ALL ".join(
         f"SELECT 'blend, {s}' AS message, round(auc, 6) AS cv_score,"
-        f" cast(1 as bigint) AS n_features, cast(NULL as varchar) AS public_score FROM ({auc_of(s)}) x"
+        f" cast(1 as bigint) AS n_features, '' AS public_score FROM ({auc_of(s)}) x"
         for s in ("score_a", "score_b")
     )
     return settled(rows, "message", "n_features", "public_score")

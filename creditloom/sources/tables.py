@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,7 +38,7 @@ def table_path(spark: SparkSession, name: str, data_dir: str) -> str:
 
 
 def _csv_text(spark: SparkSession, name: str, data_dir: str, infer: bool = False) -> DataFrame:
-    reader = _csv_reader(spark)
+    reader = spark.read.option("header", True).option("escape", '"')  # an empty text is null
     text = _read(lambda: reader.option("inferSchema", infer).csv(f"{data_dir}/{name}.csv"))
     if text is None:
         raise FileNotFoundError(f"no table {name} in {data_dir}")
@@ -168,15 +168,11 @@ def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
     writer.csv(path)
 
 
-def _csv_reader(spark: SparkSession) -> DataFrameReader:
-    """A reader that tells an empty field (null) from a quoted empty text."""
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What :func:`write_csv` wrote; an empty field is null, a quoted one an empty text."""
     reader = spark.read.option("header", True).option("escape", '"')
     # by default "" reads as null; no text that a CSV file can hold is this character
-    return reader.option("nullValue", "\u0000")
-
-
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return _csv_reader(spark).schema(schema).csv(path)
+    return reader.option("nullValue", "\u0000").schema(schema).csv(path)
 
 
 def _read(attempt: Callable[[], DataFrame]) -> DataFrame | None:
