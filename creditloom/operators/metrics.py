@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,13 @@ THRESHOLDS = [0.05 + i * 0.05 for i in range(18)]
 POSITIVES, NEGATIVES = "_pos", "_neg"
 
 
+def rated(df: DataFrame, *scores: str) -> DataFrame:
+    """``df``; a row without one of the scores stops the query, since no rank fits it."""
+    lost = F.raise_error(F.lit(f"a row has no score ({', '.join(scores)})"))
+    whole = reduce(and_, (F.col(s).isNotNull() & ~F.isnan(F.col(s).cast("double")) for s in scores))
+    return df.where(F.when(whole, F.lit(True)).otherwise(lost.cast("boolean")))
+
+
 def score_counts(df: DataFrame, score: str, label: str = LABEL, by: list[str] | None = None) -> DataFrame:
     """Positive and negative rows per distinct score; ties are merged here."""
     return df.groupBy(*(by or []), score).agg(
@@ -56,10 +66,17 @@ def auc_exact(
     """Area under the ROC curve per group, tied scores counting half.
 
     Pairs are counted in decimal arithmetic: with 10^9 rows of each class a
-    64-bit product would overflow.  A group with one class only has no AUC.
+    64-bit product would overflow.  A group with one class only has no AUC; a row
+    without a score is an error.
     """
+    return auc_of_counts(score_counts(rated(df, score), score, label, by), score, by, window_scores)
+
+
+def auc_of_counts(
+    counts: DataFrame, score: str, by: list[str] | None = None, window_scores: int = WINDOW_SCORES
+) -> DataFrame:
+    """:func:`auc_exact` from the :func:`score_counts` of the rows."""
     by = by or []
-    counts = score_counts(df.where(F.col(score).isNotNull()), score, label, by)
     upto = _running(counts, by, F.col(score).asc(), window_scores)
     wide = "decimal(38,0)"
     pairs = F.col(POSITIVES).cast("decimal(18,0)") * (
@@ -80,7 +97,7 @@ def roc_points(
     df: DataFrame, score: str, label: str = LABEL, window_scores: int = WINDOW_SCORES
 ) -> DataFrame:
     """False and true positive rate at each distinct score used as threshold."""
-    counts = score_counts(df.where(F.col(score).isNotNull()), score, label)
+    counts = score_counts(rated(df, score), score, label)
     sizes = counts.agg(F.struct(F.sum(POSITIVES).alias("p"), F.sum(NEGATIVES).alias("n"))).scalar()
     upto = _running(counts, [], F.col(score).desc(), window_scores)
     return upto.select(
@@ -99,8 +116,7 @@ def threshold_table(df: DataFrame, score: str, label: str = LABEL) -> DataFrame:
     reached = F.lit(0)
     for t in THRESHOLDS:
         reached = reached + (F.col(score) >= F.lit(t)).cast("int")
-    rated = df.where(F.col(score).isNotNull())
-    levels = rated.groupBy(reached.alias("_level")).agg(
+    levels = rated(df, score).groupBy(reached.alias("_level")).agg(
         F.count_if(F.col(label) == 1).alias(POSITIVES),
         F.count_if(F.col(label) == 0).alias(NEGATIVES),
         F.count(F.lit(1)).alias("_n"),

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,3 +205,59 @@ def test_rows_per_key(spark):
     r = g.rows_per_key(df, "k").first()
     assert (r["keys"], r["min"], r["max"], r["q50"], r["mean"]) == (4, 1, 6, 2.5, 3.0)
     assert r["std"] == pytest.approx(2.1602468994692865)
+
+
+def _brute_auc(rows, weights):
+    """(wins + ties / 2) over all pairs, blended from the left."""
+    def blend(r):
+        total = weights[0] * r[1]
+        for w, v in zip(weights[1:], r[2:]):
+            total = total + w * v
+        return total
+
+    pos, neg = ([blend(r) for r in rows if r[0] == y] for y in (1, 0))
+    return sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+
+
+@pytest.mark.parametrize("kind", ["near", "equal", "narrow", "outside"])
+def test_best_of_nearly_equal_blends(spark, kind):
+    """Models that are almost or wholly the same, scores in a narrow band or beyond 0..1."""
+    rng = random.Random(kind)
+    rows = []
+    for i in range(250):
+        y = rng.randint(0, 1)
+        a = min(1.0, max(0.0, rng.gauss(0.4 + 0.2 * y, 0.2)))
+        if kind == "narrow":
+            a = 0.08 + a / 100
+        if kind == "outside":
+            a = a * 3 - 1
+        near = 0.0 if kind == "equal" else 1e-4 if kind == "near" else 1e-2
+        rows.append((y, a, a + near * rng.gauss(0, 1), a + near * rng.gauss(0, 1)))
+    df = spark.createDataFrame(rows, "TARGET int, a double, b double, c double").repartition(3)
+    grid = bl.weights_3(0.05)
+    aucs = [_brute_auc(rows, w) for w in grid]
+    got = bl.best_blend(df, ["a", "b", "c"], grid).first()
+    best = max(range(len(grid)), key=lambda i: (round(aucs[i], 12), -i))
+    assert tuple(got)[:3] == grid[best] and got["auc"] == pytest.approx(aucs[best], abs=1e-12)
+    every = {r["position"]: r["auc"] for r in bl.grid_auc(df, ["a", "b", "c"], grid).collect()}
+    assert [every[i] for i in range(len(grid))] == pytest.approx(aucs, abs=1e-12)
+
+
+def test_levels_never_fall_with_the_score():
+    rng = np.random.default_rng(1)
+    shape = np.sort(np.append(rng.random(bl.FIRST_LEVELS - 1), [0.0, 1.0]))
+    shape[300:500] = shape[300]
+    scores = np.sort(np.concatenate([rng.random(5000), np.linspace(0, 1, bl.FIRST_LEVELS + 1), [-3.0, 7.0]]))
+    scores = np.sort(np.concatenate([scores, np.nextafter(scores, 9)]))
+    for levels in (7, 1024, 100_000):
+        level = bl._level(scores, shape, levels)
+        assert (np.diff(level) >= 0).all() and level[0] == 0 and level[-1] == levels - 1
+
+
+def test_missing_scores_are_an_error(spark):
+    df = spark.createDataFrame([(1, 0.5), (0, None)], "TARGET int, s double")
+    for call in (m.auc_exact, m.roc_points, m.threshold_table):
+        with pytest.raises(Exception, match="has no score"):
+            call(df, "s").collect()
+    with pytest.raises(Exception, match="has no score"):
+        bl.best_blend(df.withColumn("t", F.lit(0.1)), ["s", "t"], bl.weights_2()).collect()
