@@ -90,7 +90,29 @@ def class_weights(df: DataFrame, positive: float | None = None, label: str = LAB
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """``n`` rows without replacement, the same ones for the same seed.
 
-    Each partition keeps its first ``n`` by hash, and only those are merged.
+    They are the rows with the smallest hashes of their keys.  Counts per leading
+    hash digits tell the bucket in which the ``n``-th row lies; that bucket alone is
+    counted further, by its next digits.  So rows are chosen by a comparison and
+    never brought into one task, however many are wanted.  Rows of one key have one
+    hash: of those at the border as many are taken as are missing.
     """
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    return df.orderBy(order, key).limit(n)
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    border, missing = "", n
+    while missing > 0 and len(border) < 32:
+        inside = df.where(order.startswith(border)).groupBy(
+            F.substring(order, len(border) + 1, _DIGITS).alias("digits")
+        )
+        counts = sorted(inside.count().collect())  # at most 16**_DIGITS rows
+        if sum(c for _, c in counts) <= missing:
+            return df if not border else df.where((order < border) | order.startswith(border))
+        for digits, count in counts:
+            if count > missing:
+                border += digits
+                break
+            missing -= count
+    below = df.where(order < border)
+    return below if missing <= 0 else below.union(df.where(order.startswith(border)).limit(missing))
+
+
+#: Hash digits counted at a time when a sample is drawn.
+_DIGITS = 3

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,10 +64,50 @@ def column_profile(df: DataFrame) -> DataFrame:
     )
 
 
-def profile_table(df: DataFrame, name: str) -> DataFrame:
-    """The column profile of a named table, with nulls as a percentage."""
+#: Two to this power are the registers of a distinct-count sketch.
+SKETCH_BITS = 12
+#: Relative standard error of a sketch of that size; three of them are rarely exceeded.
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def estimated_profile(df: DataFrame) -> DataFrame:
+    """:func:`column_profile` with estimated distinct counts, by one plain aggregate.
+
+    Each column has a mergeable sketch of 4 kB at most, filled in the map tasks; no
+    value is shuffled.  ``n_unique`` is off by ``SKETCH_ERROR`` (1.6 %) as a rule,
+    all else is exact.
+    """
+    def statistics(field: T.StructField) -> list[Column]:
+        c = F.col(f"`{field.name}`")
+        number = c.cast("double") if isinstance(field.dataType, T.NumericType) else F.lit(None).cast("double")
+        seen = F.hll_sketch_estimate(F.hll_sketch_agg(F.when(c.isNotNull(), F.xxhash64(c)), SKETCH_BITS))
+        return [
+            F.count(F.lit(1)).alias("n_rows"),
+            (F.count(F.lit(1)) - F.count(c)).alias("n_null"),
+            (F.coalesce(seen, F.lit(0)) + F.when(F.count(c) < F.count(F.lit(1)), 1).otherwise(0)).alias("n_unique"),
+            F.min(number).alias("min"),
+            F.max(number).alias("max"),
+            F.avg(number).alias("mean"),
+        ]
+
+    parts = [
+        F.struct(
+            F.lit(field.name).alias("column"), F.lit(field.dataType.simpleString()).alias("dtype"),
+            *statistics(field),
+        )
+        for field in df.schema
+    ]
+    return df.agg(F.array(*parts).alias("_columns")).select(F.inline("_columns"))
+
+
+def profile_table(df: DataFrame, name: str, exact: bool = True) -> DataFrame:
+    """The column profile of a named table, with nulls as a percentage.
+
+    Exact distinct counts lay out every cell of the table; without ``exact`` they
+    are estimated in one aggregate.
+    """
     share = (F.col("n_null") / F.col("n_rows") * 100).alias("null_pct")
-    return column_profile(df).select(
+    return (column_profile(df) if exact else estimated_profile(df)).select(
         F.lit(name).alias("table"), "column", "dtype", "n_rows", share, "n_unique",
         "min", "max", "mean",
     )
@@ -79,13 +119,13 @@ _PROFILE = (
 )
 
 
-def profile_all(tables: dict[str, DataFrame | None]) -> DataFrame:
+def profile_all(tables: dict[str, DataFrame | None], exact: bool = True) -> DataFrame:
     """Profiles of all tables; a table that is missing (None) is one marked row."""
     spark = next(df for df in tables.values() if df is not None).sparkSession
 
     def profile(name: str, df: DataFrame | None) -> DataFrame:
         if df is not None:
-            return profile_table(df, name)
+            return profile_table(df, name, exact)
         empty = [None] * 6
         return spark.createDataFrame([(name, None, "file not found", *empty)], _PROFILE)
 

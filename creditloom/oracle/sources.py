@@ -80,6 +80,15 @@ def _overview() -> str:
     )
 
 
+def _partial_rows() -> str:
+    """Of the tables' rows all (-1), seven at most, and none."""
+    wanted = "(VALUES (-1), (7), (0)) AS w(wanted)"
+    return (
+        f"SELECT \"table\", wanted, CASE WHEN wanted < 0 THEN n_rows ELSE least(n_rows, wanted) END"
+        f" AS n_rows, n_columns FROM ({_overview()}) o, {wanted}"
+    )
+
+
 def _null_report() -> str:
     names = _winning_columns()
     shares = " UNION ALL ".join(
@@ -165,6 +174,10 @@ def oracles() -> dict[str, str]:
             "\"column\"", "narrow_type", "n_unique",
         ),
         "partial_read": with_views(["bureau"], "SELECT SK_ID_BUREAU, DAYS_CREDIT FROM bureau"),
+        "partial_read_rows": with_views(list(TABLES), _partial_rows()),
+        "profile_estimated": "SELECT * EXCLUDE (n_unique), true AS near FROM ("
+        + settled(with_views(list(TABLES), " UNION ALL ".join(profile(n) for n in TABLES)), *keyed)
+        + ") p",
         "parquet_cache": balances,
         "write_csv": balances,
         "write_parquet": feat.twin(feat.pos(), ["POS_CASH_balance"]),

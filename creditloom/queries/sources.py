@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from creditloom.operators.folds import stratified_folds
 from creditloom.operators.grouped import count_values, rows_per_key
 from creditloom.operators.metrics import auc_exact
 from creditloom.operators.profiling import (
-    null_report, prefix_report, profile_all, profile_table, table_overview,
+    SKETCH_ERROR, null_report, prefix_report, profile_all, profile_table, table_overview,
 )
 from creditloom.plans.application import application_features
 from creditloom.plans.bureau import balance_features
@@ -53,6 +55,18 @@ def _partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return published(part, CREDIT, "DAYS_CREDIT")
 
 
+def _partial_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and columns of partial reads of every table: all rows, seven of them, none."""
+    parts = []
+    for name, df in Inputs(spark, sf_dir).all().items():
+        for rows in (None, 7, 0):
+            part = io.partial_read(df, rows=rows)
+            wanted = F.lit(-1 if rows is None else rows).alias("wanted")
+            width = F.lit(len(part.columns)).cast("long").alias("n_columns")
+            parts.append(part.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table"), wanted, "n_rows", width))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     balance = Inputs(spark, sf_dir)["bureau_balance"]
     kept = io.parquet_cache(
@@ -111,8 +125,19 @@ def _profile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return published(out, "table", "column", "n_rows", "n_unique")
 
 
+def _estimated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile by sketches, and whether its distinct counts are as near as they should be."""
+    tables = Inputs(spark, sf_dir).all()
+    keys = ["table", "column"]
+    exact = profile_all(tables).select(*keys, F.col("n_unique").alias("_exact"))
+    out = profile_all(tables, exact=False).drop("dtype").join(exact, keys)
+    near = F.abs(F.col("n_unique") - F.col("_exact")) <= 4 * SKETCH_ERROR * F.col("_exact")
+    kept = out.select(*keys, "n_rows", "null_pct", "min", "max", "mean")
+    return published(kept, *keys, "n_rows").join(out.select(*keys, near.alias("near")), keys)
+
+
 def _types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = io.type_report(Inputs(spark, sf_dir)["previous_application"])
+    out = io.type_report(Inputs(spark, sf_dir)["previous_application"], exact=True)
     return published(out, "column", "narrow_type", "n_unique")
 
 
@@ -148,6 +173,7 @@ QUERIES = {
     "named_loaders": _loaders,
     "narrow_types": _types,
     "partial_read": _partial,
+    "partial_read_rows": _partial_rows,
     "parquet_cache": _cached,
     "write_csv": _csv,
     "write_parquet": _parquet,
@@ -155,6 +181,7 @@ QUERIES = {
     "submission_log_append": _submission_log,
     "profile_table": _profile,
     "profile_all": _profile_all,
+    "profile_estimated": _estimated,
     "table_overview": _overview,
     "describe": _describe,
     "value_counts": _value_counts,

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creditloom.operators.profiling import column_profile
+from creditloom.operators.profiling import column_profile, estimated_profile
 from creditloom.sources.schemas import TABLES, column_type
 
 
@@ -109,11 +109,13 @@ def narrow_types(df: DataFrame) -> DataFrame:
     return df.select([narrowed(f).alias(f.name) for f in df.schema])
 
 
-def type_report(df: DataFrame) -> DataFrame:
+def type_report(df: DataFrame, exact: bool = False) -> DataFrame:
     """What narrowing would do: one row per column.
 
     ``narrow_type`` is the chosen type; text whose distinct count is below half
-    of the rows is reported as ``dictionary`` (parquet encodes it that way).
+    of the rows is reported as ``dictionary`` (parquet encodes it that way).  The
+    counts are estimated in one aggregate unless ``exact``; the choice differs then
+    only for columns within a few percent of that half.
     """
     fits = F.col("dtype")
     for kind, least, most in reversed(_INTEGER_RANGES):
@@ -129,7 +131,8 @@ def type_report(df: DataFrame) -> DataFrame:
         )
         .otherwise(F.col("dtype"))
     )
-    return column_profile(df).select("column", choice.alias("narrow_type"), "min", "max", "n_unique")
+    profile = column_profile(df) if exact else estimated_profile(df)
+    return profile.select("column", choice.alias("narrow_type"), "min", "max", "n_unique")
 
 
 # --- cached builds and sinks ------------------------------------------------

@@ -247,3 +247,16 @@ def test_contributions_over_all_folds(train, result):
         parts = [attribution.contributions(x[i : i + 1], every_leaf) for i in range(len(x))]
         wanted += np.abs(np.concatenate(parts)).mean(axis=0) / 2
     assert table == {n: pytest.approx(v) for n, v in zip(result.features, wanted)}
+
+
+def test_sample_is_the_rows_with_the_smallest_hashes(spark):
+    import hashlib
+
+    keys = [*range(300), *[7] * 40, None, None]
+    df = spark.createDataFrame([(k,) for k in keys], "k int").repartition(4)
+    ranked = sorted(keys, key=lambda k: hashlib.md5(f"42:{'' if k is None else k}".encode()).hexdigest())
+    for n in (0, 1, 5, 100, 299, 341, 342, 1000):
+        got = [r["k"] for r in selection.sample_rows(df, n, "k").collect()]
+        assert sorted(map(str, got)) == sorted(map(str, ranked[:n]))
+    plan = selection.sample_rows(df, 100, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "SinglePartition" not in plan.split("Limit")[0]

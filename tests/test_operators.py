@@ -261,3 +261,17 @@ def test_missing_scores_are_an_error(spark):
             call(df, "s").collect()
     with pytest.raises(Exception, match="has no score"):
         bl.best_blend(df.withColumn("t", F.lit(0.1)), ["s", "t"], bl.weights_2()).collect()
+
+
+def test_estimated_profile(spark):
+    rows = [(i, f"v{i % 700}", None if i % 3 else i / 7, None) for i in range(5000)]
+    df = spark.createDataFrame(rows, "i int, s string, d double, n string").repartition(4)
+    exact = {r["column"]: r.asDict() for r in pr.column_profile(df).collect()}
+    for r in pr.estimated_profile(df).collect():
+        want = exact[r["column"]]
+        assert abs(r["n_unique"] - want["n_unique"]) <= 4 * pr.SKETCH_ERROR * want["n_unique"]
+        for name in ("dtype", "n_rows", "n_null", "min", "max"):
+            assert r[name] == want[name]
+        assert r["mean"] == pytest.approx(want["mean"])
+    plan = pr.estimated_profile(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange SinglePartition") == 1 and "Generate" in plan and "hashpartitioning" not in plan
