@@ -142,6 +142,11 @@ def fit_rounds(
         rounds = min(wanted, 2 * rounds)
 
 
+#: Rows that a task of a fit has at least: every level of every tree is a job, and tasks
+#: of few rows cost more to start than to run.
+TASK_ROWS = 5_000
+
+
 @dataclass
 class Prepared:
     """Folded rows with all features, written once and read by every model.
@@ -172,7 +177,10 @@ def prepared(
         slim = materialised(folded.select(LABEL, "fold", *encoded))
         encodings = materialised(fold_encodings(slim, encoded))
         folded = encode_every_fold(folded, encodings, encoded).drop(*encoded)
-    return Prepared(written(folded), n_folds, numeric, encoded)
+    rows = written(folded)
+    tasks = max(1, rows.count() // TASK_ROWS)
+    # only ever fewer partitions than the files have, by merging whole ones
+    return Prepared(rows.coalesce(tasks), n_folds, numeric, encoded)
 
 
 def model_rows(

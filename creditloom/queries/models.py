@@ -30,7 +30,7 @@ from creditloom.sources.schemas import APPLICANT, LABEL
 PATIENCE = 8
 #: Rounds per fold and trial of the registered search and screening (the defaults are
 #: 1,500 and 1,000): 30 trials and 8 runs of five folds each.
-SEARCH_ROUNDS, SCREENING_ROUNDS = 3, 5
+SEARCH_ROUNDS, SCREENING_ROUNDS = 2, 4
 #: Two computations of one AUC, score or importance differ by less.
 SAME = 1e-9
 
