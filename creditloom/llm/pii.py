@@ -1,11 +1,15 @@
 """Personal data: fixed patterns, and the terms around them that give a person away.
 
 Patterns find addresses, card and phone numbers with their places.  The corpus
-then tells which terms reveal such an entity: a term beside mentions of an entity
-is disclosing if its pointwise mutual information with the entity is at least
-``threshold`` of the entity's own information content, counted over the documents
-of the whole corpus.  Terms that reveal an entity completely are removed, the
-others generalised.
+then tells which terms reveal such an entity: a term is disclosing if its pointwise
+mutual information with the entity, from the numbers of documents that have the
+one, the other and both, is at least ``threshold`` of the entity's own information
+content.  Every occurrence of a disclosing term in the documents of its entity is
+a span: terms that reveal the entity completely are removed, others generalised.
+
+Entities found in the same documents reveal themselves through the same terms and
+are counted as one.  An entity in fewer than ``support`` documents has no
+frequencies to estimate from, so pairs are counted for the others alone.
 
 Only DataFrame functions are used.
 """
@@ -33,43 +37,99 @@ PATTERNS = {
 #: Cheap signs that a pattern may match at all.
 SIGNS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 
-#: Characters looked at on either side of an entity, and letters a term has at least.
-WINDOW, LEAST_LETTERS = 48, 3
+#: Letters a term has at least.
+LEAST_LETTERS = 3
 
-#: Distinct texts in which a term must stand beside an entity.
+#: Documents that a term and an entity must share.  One is no estimate: each word that
+#: the corpus has once would reveal each entity that it has once.
 SUPPORT = 2
 
+#: Matches or spans that are walked through at a time: arrays grow by copying.
+CHUNK = 256
+
 THRESHOLD = 0.9
 
 _WORD = r"\p{L}{%d,}" % LEAST_LETTERS
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _walked(items: Column, after, result, kind: str, local=None) -> Column:
+    """``result(at, item, extra)`` of all items in order, ``at`` being where the ones before end.
+
+    ``after(at, item)`` gives the next place.  Items are walked in chunks whose
+    results are put together at the end, so the cost follows their number and not
+    its square.  ``local(begin, end)`` is computed once per chunk and handed on as
+    ``(begin, value)``.
+    """
+    chunk, nothing = F.lit(CHUNK), F.array().cast(kind)
+
+    def walk(items: Column) -> Column:
+        def part(number: Column) -> Column:
+            return F.slice(items, number * chunk + 1, chunk)
+
+        def start(acc: Column, number: Column) -> Column:
+            end = F.aggregate(part(number), acc["at"], after)
+            return F.struct(end.alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all"))
+
+        def inside(begin: Column, mine: Column, extra) -> Column:
+            def step(acc: Column, x: Column) -> Column:
+                out = F.concat(acc["out"], F.array(result(acc["at"], x, extra)))
+                return F.struct(after(acc["at"], x).alias("at"), out.alias("out"))
+
+            first = F.struct(begin.alias("at"), nothing.alias("out"))
+            return F.aggregate(mine, first, step, lambda acc: acc["out"])
+
+        def results(pair: Column) -> Column:
+            begin = pair["start"]
+
+            def go(mine: Column) -> Column:
+                if local is None:
+                    return inside(begin, mine, None)
+                value = local(begin, F.aggregate(mine, begin, after))
+                return _let(value, lambda v: inside(begin, mine, (begin, v)))
+
+            return _let(part(pair["number"]), go)
+
+        last = F.floor((F.size(items) - 1) / chunk).cast("int")
+        numbers = F.when(F.size(items) > 0, F.sequence(F.lit(0), last))
+        numbers = F.coalesce(numbers, F.array().cast("array<int>"))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        starts = F.aggregate(numbers, none, start, lambda acc: acc["all"])
+        pairs = F.arrays_zip(starts.alias("start"), numbers.alias("number"))
+        return F.flatten(F.transform(pairs, results))
+
+    return _let(items, walk)
+
+
 def matches(text: Column, pattern: str, ok=None, rank: int = 0, kind: str = "") -> Column:
     """Spans of all matches of ``pattern``, in code points; ``ok`` drops some of them.
 
     The text between matches and the matches themselves give the places.
     """
     between = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.lit([]).cast(_SPAN).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["between"])
-        end = begin + F.length(x["found"])
-        span = F.struct(
-            begin.alias("start"),
+
+    def after(at: Column, x: Column) -> Column:
+        return at + F.length(x["between"]) + F.length(x["found"])
+
+    def span(at: Column, x: Column, _) -> Column:
+        return F.struct(
+            (at + F.length(x["between"])).alias("start"),
             F.lit(rank).alias("rank"),
             F.lit(kind).alias("kind"),
-            end.alias("end"),
+            after(at, x).alias("end"),
             x["found"].alias("value"),
         )
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    pairs = F.arrays_zip(
-        F.slice(between, 1, F.size(found)).alias("between"), found.alias("found")
-    )
-    spans = F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def pairs(found: Column) -> Column:
+        return F.arrays_zip(F.slice(between, 1, F.size(found)).alias("between"), found.alias("found"))
+
+    found = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), pairs)
+    spans = _walked(found, after, span, _SPAN)
     return F.filter(spans, lambda s: ok(s["value"])) if ok else spans
 
 
@@ -110,7 +170,7 @@ CHECKS = {"ip": _is_ip, "card": _is_card, "phone": _is_phone}
 
 def base_spans(text: Column) -> Column:
     """Spans of all patterns by start, then kind; an empty array for a null text."""
-    none = F.lit([]).cast(_SPAN)
+    none = F.array().cast(_SPAN)
     text = F.coalesce(text, F.lit(""))
     each = [
         F.when(
@@ -129,108 +189,112 @@ def _row_key(key: str, text: str) -> list[Column]:
     ]
 
 
-def _beside(text: Column, span: Column) -> Column:
-    """Terms on either side of a span on its line, with their places."""
-    begin = F.greatest(span["start"] - WINDOW, F.lit(0))
-    left = F.substring(text, begin + 1, span["start"] - begin)
-    right = F.substring(text, span["end"] + 1, F.lit(WINDOW))
-    # a word cut off by the window's edge is no term, nor is one across a line end
-    left = F.when(begin > 0, F.regexp_replace(left, r"^\p{L}+", " ")).otherwise(left)
-    cut = F.length(F.substring(text, begin + 1, span["start"] - begin)) - F.length(left)
-    line = F.length(left) - F.length(F.substring_index(left, "\n", -1))
-    near_left = F.substring_index(left, "\n", -1)
-    near_right = F.substring_index(right, "\n", 1)
-    full = (F.length(right) == WINDOW) & (F.length(near_right) == WINDOW)
-    near_right = F.when(full, F.regexp_replace(near_right, r"\p{L}+$", "")).otherwise(near_right)
-
-    def moved(found: Column, by: Column) -> Column:
-        return F.transform(
-            found,
-            lambda s: F.struct(
-                (s["start"] + by).alias("start"),
-                (s["end"] + by).alias("end"),
-                F.lower(s["value"]).alias("term"),
-            ),
-        )
+def scanned(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Per row: its key columns, ``id`` and base ``spans``.  The texts are not among the columns."""
+    found = docs.select(*_row_key(key, text), F.col(key).alias("id"), F.col(text).alias("text"))
+    return found.select("k0", "k1", "id", base_spans(F.col("text")).alias("spans"))
 
-    return F.concat(
-        moved(matches(near_left, _WORD), begin + cut + line),
-        moved(matches(near_right, _WORD), span["end"]),
+
+def _mentions(scan: DataFrame, support: int) -> DataFrame:
+    """``k0``, ``k1``, ``entity`` and ``n_entity`` of the entities in ``support`` documents or more.
+
+    Entities that occur in just the same documents are one row per document, under
+    the name of the first of them: a page of a thousand addresses and its copies
+    have one such class, not a thousand.
+    """
+    entity = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"]))
+    found = scan.where("size(spans) > 0")
+    found = found.select("k0", "k1", F.explode(F.array_distinct(entity)).alias("entity"))
+    marks = [F.sum(F.xxhash64(F.lit(i), "k0", "k1").cast("decimal(38,0)")) for i in (0, 1)]
+    counts = found.groupBy("entity").agg(
+        F.count(F.lit(1)).alias("n_entity"), marks[0].alias("m0"), marks[1].alias("m1")
     )
+    often = written(counts.where(F.col("n_entity") >= support))
+    names = often.groupBy("n_entity", "m0", "m1").agg(F.min("entity").alias("entity"))
+    names = if_small(written(names.select("entity", "n_entity")), 100_000)
+    return written(found.join(names, "entity").dropDuplicates(["k0", "k1", "entity"]))
 
 
-def scanned(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Per row: its key columns, ``key``, base ``spans`` and the ``terms`` beside each of them.
+def _with_texts(docs: DataFrame, key: str, text: str, rows: DataFrame, *columns: str) -> DataFrame:
+    """The texts of the documents among ``rows`` (one each), with ``columns`` of those."""
+    texts = docs.select(*_row_key(key, text), F.col(text).alias("text"))
+    rows = rows.select(F.col("k0").alias("_k0"), F.col("k1").alias("_k1"), *columns)
+    same = (F.col("k0") == F.col("_k0")) & (F.col("k1") == F.col("_k1"))
+    # equal rows have one key and one text
+    found = texts.join(if_small(written(rows), 100_000, *columns), same)
+    return found.select("k0", "k1", "text", *columns).dropDuplicates(["k0", "k1"])
 
-    One pass over the texts, which are not among the columns.
-    """
-    found = docs.select(*_row_key(key, text), F.col(key).alias("id"), F.col(text).alias("text"))
-    found = found.withColumn("spans", base_spans(F.col("text")))
-
-    def terms(span: Column) -> Column:
-        entity = F.concat_ws(":", span["kind"], span["value"])
-        clear = F.filter(
-            _beside(F.col("text"), span),
-            lambda t: ~F.exists(
-                F.col("spans"), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])
-            ),
-        )
-        return F.struct(entity.alias("entity"), clear.alias("terms"))
 
-    beside = F.when(F.size("spans") > 0, F.transform("spans", terms))
-    return found.select("k0", "k1", "id", "spans", beside.alias("beside"))
+def _words(text: str) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)))
 
 
 def disclosing(
-    scan: DataFrame,
-    docs: DataFrame,
-    text: str,
-    support: int = SUPPORT,
-    threshold: float = THRESHOLD,
+    docs: DataFrame, key: str, text: str, mentions: DataFrame, support: int, threshold: float
 ) -> DataFrame:
     """``entity``, ``term``, ``pmi`` and ``content`` of the terms that reveal an entity.
 
-    Document frequencies are counted over all documents.
+    Frequencies are documents, counted over all of them: with the entity, with the
+    term anywhere in the text, and with both.  Rows count each for itself.
     """
-    mentions = scan.where("size(spans) > 0").select(
-        "k0", "k1", F.explode("beside").alias("m")
-    )
-    mentions = mentions.select("k0", "k1", "m.entity", "m.terms")
-    beside = mentions.select("k0", "k1", "entity", F.explode("terms.term").alias("term")).distinct()
-    beside = written(beside)
-    joint = beside.groupBy("entity", "term", "k1").agg(F.count(F.lit(1)).alias("n"))
-    joint = joint.groupBy("entity", "term").agg(
-        F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("n_texts")
-    )
-    joint = written(joint.where(F.col("n_texts") >= support))
-    entities = mentions.select("k0", "k1", "entity").distinct()
-    entities = entities.join(
-        if_small(written(joint.select("entity").distinct())), "entity", "left_semi"
-    ).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    near = beside.select("k0", "k1", "term").distinct()
-    near = near.groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
     total = docs.count()
+    holders = mentions.groupBy("k0", "k1").agg(
+        F.collect_set(F.struct("entity", "n_entity")).alias("entities"), F.count(F.lit(1)).alias("_n")
+    )  # classes of one document: fewer than its spans
+    copies = docs.select(*_row_key(key, text)).groupBy("k0", "k1").agg(F.count(F.lit(1)).alias("rows"))
+    holders = written(holders.drop("_n").join(copies, ["k0", "k1"]))
+    texts = _with_texts(docs, key, text, holders, "entities")
+    texts = texts.join(holders.select("k0", "k1", "rows"), ["k0", "k1"])
+    words = written(texts.select("rows", "entities", F.explode(_words("text")).alias("term")))
+    near = words.groupBy("term").agg(F.sum("rows").alias("n_near"))
+    both = words.select("rows", "term", F.explode("entities").alias("e"))
+    joint = both.groupBy("e.entity", "e.n_entity", "term").agg(F.sum("rows").alias("n_both"))
+    joint = joint.where(F.col("n_both") >= support)
 
     def information(n_term: str) -> Column:
         joined = F.col("n_both") * F.lit(float(total))
         return F.ln(joined / (F.col("n_entity") * F.col(n_term)))
 
     content = F.ln(F.lit(float(total)) / F.col("n_entity"))
-    enough = F.lit(threshold) * F.col("content")
-    # a term occurs in the documents where it stands beside some entity, at least: pairs
-    # that this already rules out need no count over the corpus
-    open_ = joint.join(entities, "entity").join(near, "term").withColumn("content", content)
+    enough = F.lit(threshold) * F.col("content") - 1e-9
+    # a term is in the documents with any entity at least: pairs that this already
+    # rules out need no count over the corpus
+    open_ = joint.join(near, "term").withColumn("content", content)
     open_ = written(open_.where((F.col("content") > 0) & (information("n_near") >= enough)))
-    # words of all documents, those that are terms counted once per document
     wanted = written(open_.select("term").distinct())
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)))
-    terms = docs.select(F.explode(words).alias("term"))
+    terms = docs.select(F.explode(_words(text)).alias("term"))
     terms = terms.join(if_small(wanted), "term", "left_semi")
     terms = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     counted = open_.join(terms, "term").withColumn("pmi", information("n_term"))
     return counted.where(F.col("pmi") >= enough).select("entity", "term", "pmi", "content")
 
 
+def _term_spans(
+    docs: DataFrame, key: str, text: str, scan: DataFrame, mentions: DataFrame, reveals: DataFrame
+) -> DataFrame:
+    """``k0``, ``k1`` and ``extra``: the occurrences of disclosing terms beside the base spans."""
+    fate = F.when(F.col("pmi") >= F.col("content") - 1e-9, "removed").otherwise("generalised")
+    # a class of a third of all documents meets few terms: they must reveal it
+    hits = mentions.join(if_small(reveals.withColumn("fate", fate), 100_000), "entity")
+    hits = written(hits.groupBy("k0", "k1", "term").agg(F.max("fate").alias("fate")))
+    holders = scan.join(
+        if_small(written(hits.select("k0", "k1").distinct()), 100_000), ["k0", "k1"], "left_semi"
+    )
+    texts = _with_texts(docs, key, text, holders.dropDuplicates(["k0", "k1"]), "spans")
+    hidden = covered(F.col("text"), F.col("spans"), lambda s, at: F.repeat(
+        F.lit(" "), F.greatest(s["end"] - F.greatest(at, s["start"]), F.lit(0))
+    ))
+    places = texts.select("k0", "k1", F.explode(matches(hidden, _WORD)).alias("s"))
+    places = places.select("k0", "k1", F.lower("s.value").alias("term"), "s.start", "s.end")
+    found = places.join(hits, ["k0", "k1", "term"])
+    term = F.struct(
+        "start", F.lit(len(KINDS)).alias("rank"), F.lit(TERM).alias("kind"), "end",
+        F.col("fate").alias("value"),
+    )
+    # terms of one text: shorter than the text
+    return found.groupBy("k0", "k1").agg(F.collect_list(term).alias("extra"))
+
+
 def find(
     docs: DataFrame,
     key: str = "doc_id",
@@ -243,34 +307,21 @@ def find(
     Spans are ordered by start, then kind as in ``KINDS`` with terms last; their
     ``value`` is the matched text, for terms ``removed`` or ``generalised``.
     Places are code points, the end is exclusive.  Null and empty texts have no
-    spans; equal rows have equal spans; other columns are left out.
+    spans.  Rows count as documents each for itself; equal rows have equal spans.
+    Other columns are left out, an empty table gives an empty one.  Long texts: the
+    cost of patterns and spans follows their number.
     """
     scan = written(scanned(docs, key, text))
-    reveals = written(disclosing(scan, docs, text, support, threshold))
-    near = scan.where("size(spans) > 0").select("k0", "k1", F.explode("beside").alias("m"))
-    near = near.select("k0", "k1", "m.entity", F.explode("m.terms").alias("t"))
-    near = near.select("k0", "k1", "entity", "t.term", "t.start", "t.end").distinct()
-    fate = F.when(F.col("pmi") >= F.col("content") - 1e-9, "removed").otherwise("generalised")
-    hit = near.join(if_small(reveals, 100_000), ["entity", "term"])
-    hit = hit.groupBy("k0", "k1", "start", "end").agg(F.max(fate).alias("value"))
-    extra = hit.groupBy("k0", "k1").agg(
-        F.collect_list(
-            F.struct(
-                "start",
-                F.lit(len(KINDS)).alias("rank"),
-                F.lit(TERM).alias("kind"),
-                "end",
-                "value",
-            )
-        ).alias("extra")
-    )  # terms of one text: as long as the text at most
+    mentions = _mentions(scan, support)
+    reveals = written(disclosing(docs, key, text, mentions, support, threshold))
+    extra = written(_term_spans(docs, key, text, scan, mentions, reveals))
     extra = extra.select(F.col("k0").alias("_k0"), F.col("k1").alias("_k1"), "extra")
     joined = scan.join(
-        if_small(written(extra), 50_000),
+        if_small(extra, 100_000, "extra"),
         (F.col("k0") == F.col("_k0")) & (F.col("k1") == F.col("_k1")),
         "left",
     )
-    spans = F.array_sort(F.concat("spans", F.coalesce("extra", F.lit([]).cast(_SPAN))))
+    spans = F.array_sort(F.concat("spans", F.coalesce("extra", F.array().cast(_SPAN))))
     return joined.select("k0", "k1", "id", spans.alias("spans"))
 
 
@@ -295,30 +346,41 @@ def base_only(spans: Column) -> Column:
     return F.filter(spans, lambda s: s["kind"] != TERM)
 
 
+def covered(text: Column, spans: Column, label) -> Column:
+    """The text with its spans (in order of their starts) replaced by ``label(span, at)``.
+
+    ``at`` is where the spans before end; a span that begins before it overlaps.
+    """
+    def after(at: Column, s: Column) -> Column:
+        return F.greatest(at, s["end"])
+
+    def piece(at: Column, s: Column, extra) -> Column:
+        begin, here = extra
+        kept = F.substring(here, at - begin + 1, F.greatest(s["start"] - at, F.lit(0)))
+        return F.concat(kept, label(s, at))
+
+    def here(begin: Column, end: Column) -> Column:
+        return F.substring(text, begin + 1, end - begin)
+
+    pieces = _walked(spans, after, piece, "array<string>", here)
+    last = F.aggregate(spans, F.lit(0), after)
+    return F.concat(F.array_join(pieces, ""), F.substring(text, last + 1, F.length(text)))
+
+
 def rewritten(text: Column, spans: Column) -> Column:
     """The text with every span replaced: entities by their kind, terms by a class or nothing.
 
     Of overlapping spans the first names the place, and all of them go.
     """
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        label = (
+    def label(s: Column, at: Column) -> Column:
+        name = (
             F.when(s["kind"] != TERM, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
             .when(s["value"] == "generalised", F.lit("<WORD>"))
             .otherwise(F.lit(""))
         )
-        fresh = s["start"] >= acc["at"]
-        kept = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], kept, label)).otherwise(acc["out"]).alias("out"),
-        )
-
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+        return F.when(s["start"] >= at, name).otherwise(F.lit(""))
 
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, finish)).otherwise(text)
+    return F.when(F.size(spans) > 0, covered(text, spans, label)).otherwise(text)
 
 
 def sanitise(
@@ -333,7 +395,7 @@ def sanitise(
     found = found.select(F.col("k0").alias("__pii_k0"), F.col("k1").alias("__pii_k1"), F.col("spans").alias("__pii_spans"))
     k0, k1 = _row_key(key, text)
     joined = docs.withColumns({"__pii_own0": k0, "__pii_own1": k1}).join(
-        if_small(found, 50_000),
+        if_small(found, 100_000, "__pii_spans"),
         (F.col("__pii_own0") == F.col("__pii_k0")) & (F.col("__pii_own1") == F.col("__pii_k1")),
         "left",
     )

@@ -18,12 +18,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def if_small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+def if_small(df: DataFrame, most: int = SMALL_ROWS, *lists: str) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most`` (short) rows, else as it is.
 
-    For written tables: counting them reads only footers.
+    The entries of its array columns ``lists`` count as rows.  For written tables:
+    counting them reads only footers, or those columns.
     """
-    return F.broadcast(df) if df.count() <= most else df
+    entries = sum((F.coalesce(F.size(c), F.lit(0)) for c in lists), F.lit(1))
+    count = df.agg(F.sum(entries)).first()[0] if lists else df.count()
+    return F.broadcast(df) if (count or 0) <= most else df
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
