@@ -3,9 +3,12 @@
 A page is cut into text blocks, each with its root-to-leaf path of tags.  Blocks
 of one path are judged together: how long they are and how much punctuation they
 hold.  Ratios are smoothed along the page, both are multiplied, and paths below
-a threshold are left out.  Menus, footers, forms and the like never count.  A mark
-(``article``, ``main``) ends a path, so that what is below it is judged together,
-and weighs ``MARK_WEIGHT`` times as much; on every page the ratios decide.
+a threshold are left out, below a mark (``article``, ``main``) as elsewhere; there
+ratios weigh ``MARK_WEIGHT`` times as much.
+
+Menus, footers, hidden parts and reader comments never count.  Forms and parts
+with telling class names do not either, unless one of them holds most of the
+page's text: then it is the page's frame.
 """
 
 from __future__ import annotations
@@ -29,8 +32,11 @@ BLOCKS = set(
     " figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main"
     " menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-BOILERPLATE = set(
-    "aside button dialog footer form head header label menu nav option select".split()
+BOILERPLATE = set("aside button dialog footer head header label menu nav option select".split())
+#: Elements that only format text: they do not part paths.
+INLINE = set(
+    "a abbr b big cite code del em font i ins kbd mark q s samp small span strike strong sub sup tt"
+    " u var".split()
 )
 MARKS = {"article", "main"}
 MARK_WEIGHT = 8.0
@@ -44,11 +50,22 @@ CLOSED_BY = {
     "th": {"td", "th", "tr"},
     "option": {"option"},
 }
-ROLES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|complementary|consent|contentinfo"
-    r"|cookies?|disclaimer|footer|header|hidden|login|menu|modal|nav\w*|newsletter|notices?|popup"
-    r"|promo\w*|related|replies|search|share|sharing|sidebar|signup|social|sponsor\w*|subscribe"
-    r"|toolbar|widget)(?:$|[\s_-])",
+_ROLE = (
+    r"ads?|advert\w*|banner|breadcrumbs?|complementary|consent|contentinfo|cookies?|disclaimer"
+    r"|footer|header|hidden|login|menu|modal|nav\w*|newsletter|notices?|popup|promo\w*|related"
+    r"|search|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget"
+)
+_PLACE = (
+    r"bar|block|bottom|box|container|content|global|holder|inner|item|left|links?|list|main|outer"
+    r"|page|panel|post|primary|right|secondary|section|site|slot|top|unit|wrap|wrapper|\d+"
+)
+#: A name made of parts that tell of the layout, such as ``top-nav`` or ``sidebar_left``.
+ROLES = re.compile(rf"(?:(?:{_PLACE})[_-])*(?:{_ROLE})(?:[_-](?:{_ROLE}|{_PLACE}))*", re.I)
+_TALK = r"comments?|commentlist|discussion|disqus\w*|repl(?:y|ies)|responses?|respond"
+#: Names of reader comments.
+COMMENTS = re.compile(
+    rf"(?:(?:{_PLACE}|user|reader)[_-])*(?:{_TALK})"
+    rf"(?:[_-](?:{_PLACE}|area|author|body|form|meta|text|thread|{_TALK}))*",
     re.I,
 )
 PUNCTUATION = re.compile(r"[.,;:!?、。，！？；]")
@@ -65,54 +82,71 @@ _ATTRIBUTE = re.compile(
 
 
 class Block:
-    """Text between two block-level tags."""
+    """Text between two block-level tags; ``frames`` are the numbers of those it lies in."""
+
+    __slots__ = ("path", "text", "frames", "marked")
 
-    __slots__ = ("path", "text", "dropped", "marked")
+    def __init__(self, path: str, text: str, frames: tuple[int, ...], marked: bool):
+        self.path, self.text, self.frames, self.marked = path, text, frames, marked
 
-    def __init__(self, path: str, text: str, dropped: bool, marked: bool):
-        self.path, self.text, self.dropped, self.marked = path, text, dropped, marked
 
+#: What an element says of its text: nothing, that it may be a frame around something
+#: else than content (a form, a class name), or that it is no content.
+PLAIN, FRAME, NONE = 0, 1, 2
 
-#: How sure it is that an element is no content: a class name may only tell the layout.
-BY_NAME, SURE = 1, 2
+#: A frame that holds this share of the text or more is no frame around something else.
+MOST = 0.5
 
 
-def _boilerplate(name: str, attributes: str, marked: bool) -> int:
+def _nature(name: str, attributes: str, marked: bool) -> int:
+    heading = len(name) == 2 and name[0] == "h" and name[1].isdigit()
+    nature = PLAIN
+    for key, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
+        key = key.lower()
+        if key == "hidden":
+            return NONE
+        if key == "id" and (heading or name == "p"):  # the target of a link
+            continue
+        for token in "".join(values).split():
+            if COMMENTS.fullmatch(token):
+                return NONE
+            if ROLES.fullmatch(token):
+                nature = FRAME
     if name in MARKS or name in ("html", "body"):
-        return 0
+        return PLAIN
     if name in BOILERPLATE:
-        return 0 if name == "header" and marked else SURE
-    level = 0
-    for key, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
-        if key.lower() == "hidden":
-            return SURE
-        if ROLES.search("".join(values)):
-            level = BY_NAME
-    return level
+        return PLAIN if name == "header" and marked else NONE
+    return FRAME if name == "form" else nature
+
+
+#: An open element: its name, whether it or one around it is no content, the frames
+#: it lies in, and whether it lies below a mark.
+Open = tuple[str, bool, tuple[int, ...], bool]
 
 
 def blocks_of(html: str) -> list[Block]:
-    """Text blocks in page order; broken markup is read as browsers do, roughly."""
+    """Text blocks in page order without sure boilerplate; broken markup is read as browsers do, roughly."""
     out: list[Block] = []
-    # name, below boilerplate (how sure), below a mark, that mark counts
-    stack: list[tuple[str, int, bool, bool]] = []
+    stack: list[Open] = []
     parts: list[str] = []
-    path = ""
+    path: str | None = None
+    frames = 0
 
     def close_block() -> None:
         nonlocal path
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                _, level, _, counts = stack[-1] if stack else ("", 0, False, False)
-                out.append(Block(path, text, level > 0, counts))
+                out.append(Block(path or "", text, *((stack[-1][2], stack[-1][3]) if stack else ((), False))))
             parts.clear()
-        path = ""
+        path = None
 
     def add(text: str) -> None:
         nonlocal path
-        if not path and not text.isspace():
-            path = "/".join(s[0] for s in stack)
+        if stack and stack[-1][1]:  # also inside a sentence, as a button is
+            return
+        if path is None and not text.isspace():
+            path = "/".join(s[0] for s in stack if s[0] not in INLINE)
         parts.append(text)
 
     at = 0
@@ -141,18 +175,33 @@ def blocks_of(html: str) -> list[Block]:
         if name in VOID:
             continue
         _close_implied(stack, name)
-        _, level, marked, counts = stack[-1] if stack else ("", 0, False, False)
-        if name in MARKS:
-            # below a class name the mark does not count, but the text is judged
-            counts = counts or level == 0
-            level = 0 if level == BY_NAME else level
-        level = max(level, _boilerplate(name, found.group(3), marked))
-        stack.append((name, level, marked or name in MARKS, counts))
+        _, none, inside, marked = stack[-1] if stack else ("", False, (), False)
+        nature = _nature(name, found.group(3), marked)
+        if nature == FRAME:
+            inside = (*inside, frames)
+            frames += 1
+        stack.append((name, none or nature == NONE, inside, marked or name in MARKS))
     close_block()
     return out
 
 
-def _close_implied(stack: list[tuple[str, int, bool, bool]], name: str) -> None:
+def unframed(blocks: list[Block]) -> list[Block]:
+    """The blocks outside of all frames but those around the page's content.
+
+    Such a frame holds most of the text, and all that is marked as content.
+    """
+    held: dict[int, list[int]] = {}
+    for block in blocks:
+        for frame in block.frames:
+            mine = held.setdefault(frame, [0, 0])
+            mine[0] += len(block.text)
+            mine[1] += block.marked
+    total, marked = sum(len(b.text) for b in blocks), sum(b.marked for b in blocks)
+    around = {f for f, (size, marks) in held.items() if size >= MOST * total and marks == marked}
+    return [b for b in blocks if around.issuperset(b.frames)]
+
+
+def _close_implied(stack: list[Open], name: str) -> None:
     """Close what a start tag ends: an open paragraph, or an item by the next one."""
     for i in range(len(stack) - 1, -1, -1):
         open_name = stack[i][0]
@@ -170,21 +219,14 @@ def _smoothed(values: np.ndarray) -> np.ndarray:
     return np.convolve(values, kernel, mode="full")[2:-2] / weight
 
 
-def _judged_path(path: str) -> str:
-    """The path up to its innermost mark, all of it without one."""
-    names = path.split("/")
-    last = max((i for i, name in enumerate(names) if name in MARKS), default=len(names) - 1)
-    return "/".join(names[: last + 1])
-
-
 def content_of(blocks: list[Block], strictness: float = 0.5) -> list[Block]:
     """The blocks of the paths that hold the main text."""
-    blocks = [b for b in blocks if not b.dropped]
+    blocks = unframed(blocks)
     if len(blocks) < 2:
         return blocks
     lengths = np.array([len(b.text) for b in blocks], dtype=float)
     marks = np.array([len(PUNCTUATION.findall(b.text)) for b in blocks], dtype=float)
-    names, path = np.unique([_judged_path(b.path) for b in blocks], return_inverse=True)
+    names, path = np.unique([b.path for b in blocks], return_inverse=True)
     counts = np.bincount(path)
     text_ratio = (np.bincount(path, lengths) / counts)[path]
     mark_ratio = (np.bincount(path, marks) / counts)[path]

@@ -340,3 +340,37 @@ def test_pipeline(spark, texts):
         assert r.decoded == r.text and r.n_tokens == len(r.ids) and r.n_chars == len(r.text)
         assert plain_spans(r.text) == "" and (plain_spans(texts[i]) or r.text == texts[i])
     assert all(set(docs.columns) <= set(r.asDict()) for r in out.values())
+
+
+LONG = "A long sentence, with commas, that goes on and on for a while; it does not end soon."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        # reader comments, whatever marks they carry
+        (f'<main><article><h1>T</h1><p>{LONG}</p></article><div id="comments"><article><p>{LONG}</p></article></div></main>', f"T {LONG}"),
+        (f'<article><p>{LONG}</p></article><article class="user-comment"><p>{LONG}</p></article>', LONG),
+        (f'<article><p>{LONG}</p></article><section class="comments-area"><h2>Replies</h2><p>{LONG}</p><p>{LONG}</p></section>', LONG),
+        # a frame around the page
+        (f"<body><form><div><p>{LONG}</p><p>{LONG}</p></div></form></body>", f"{LONG} {LONG}"),
+        (f'<body><form><nav>x</nav><article><p>{LONG}</p></article><div class="ad">{LONG}</div></form></body>', LONG),
+        (f'<body><div class="content-widget"><p>{LONG}</p></div></body>', LONG),
+        # a form, an advert, a notice beside the text
+        (f"<body><p>{LONG} {LONG}</p><form><p>{LONG}</p></form></body>", f"{LONG} {LONG}"),
+        (f'<article><p>Short.</p></article><div class="ad">{LONG}</div>', "Short."),
+        (f'<article><p>{LONG}</p><div class="cookie-notice">{LONG}</div></article>', LONG),
+        # names that tell of the content
+        (f'<article><section id="header-tank"><h2 id="search">Tanks</h2><p>{LONG}</p></section></article>', f"Tanks {LONG}"),
+        # controls inside a sentence
+        (f"<article><p>In<button>x</button> text, <select><option>1</select>{LONG}</p></article>", f"In text, {LONG}"),
+        # paths below a mark are judged, too
+        (
+            f"<article><p>{LONG}</p><p>{LONG}</p><div><ul>{'<li><a>go</a></li>' * 12}</ul></div>"
+            f"<p>{LONG}</p><p>{LONG}</p></article>",
+            " ".join([LONG] * 4),
+        ),
+    ],
+)
+def test_main_text_cases(page, want):
+    assert html.main_text(page) == want
