@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from creditloom.llm.tables import components, if_small, written
 from creditloom.llm.text import mapped, steps, texts_of, word_codes, words_of
+from creditloom.operators.lookup import lookup_join
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9995
 TREES, LABEL = 16, 8
@@ -421,6 +422,11 @@ def _link_counts(
     return counts.union(blocks)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` as a written table with a number per row, which stays what it is."""
+    return written(docs.withColumn(name, F.monotonically_increasing_id()))
+
+
 def near_duplicates(
     docs: DataFrame,
     key: str = "doc_id",
@@ -436,16 +442,35 @@ def near_duplicates(
     ``n_links`` counts the other documents of similarity ``threshold`` or more: its
     copies, and each copy of every different text.
 
-    Texts without words (null, empty, only marks) are in no group.  Rows of one
-    id count as one document.  Rows without an id are left out.  Ids are whole
-    numbers; other columns are ignored.
+    Every row is a document, also those of one id and those without an id, which
+    name a class only if no member has one.  Texts without words (null, empty,
+    only marks) are in no group.  Very long texts are taken whole.  An empty table
+    gives an empty one.  Ids are whole numbers; other columns are ignored.
     """
-    rows = docs.where(F.col(key).isNotNull())
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = numbered(rows, "row")
+    found = by_number(rows, "row", "text", threshold, recall)
+    found = written(rows.select("id", "row").join(found, "row"))
+    # copies and links make a class: only classes of several rows need a name
+    names = found.where("n_links > 0").groupBy("class").agg(F.min("id").alias("name"))
+    named = lookup_join(found, written(names), ["class"])
+    return named.select(
+        F.col("id").alias(key),
+        F.when(F.col("n_links") > 0, F.col("name")).otherwise(F.col("id")).alias("class_id"),
+        "n_copies",
+        "n_links",
+    )
+
+
+def by_number(
+    rows: DataFrame, number: str, text: str, threshold: float = THRESHOLD, recall: float = RECALL
+) -> DataFrame:
+    """``number``, ``class`` (its smallest number), ``n_copies`` and ``n_links`` of numbered rows."""
     length = depth(threshold, recall)
-    marks = written(signed(rows, key, text, length))
+    marks = written(signed(rows, number, text, length))
     groups = marks.where("same is not null").groupBy("same").agg(
         F.min("doc_id").alias("node"),
-        F.count_distinct("doc_id").alias("copies"),
+        F.count(F.lit(1)).alias("copies"),
         F.first("prefixes").alias("prefixes"),
         F.first("s0").alias("s0"),
         F.first("s1").alias("s1"),
@@ -461,7 +486,7 @@ def near_duplicates(
     pairs = written(_candidates(members).union(_candidates(below)).distinct())
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
     wanted = wanted.union(members.where(F.col("size") > FEW).select("node")).distinct()
-    texts = rows.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text"))
+    texts = rows.select(F.col(number).alias("node"), F.col(text).alias("text"))
     texts = written(texts.join(if_small(written(wanted)), "node", "left_semi").distinct())
     links = written(_verified(pairs, texts, threshold))
     roots = written(components(links))
@@ -472,7 +497,8 @@ def near_duplicates(
             links = written(links.union(more).groupBy("a", "b").agg(F.max("similarity")))
             roots = written(components(links))
     counts = _link_counts(links, roots, members, groups, texts, threshold)
-    return _classes(marks, groups, counts, roots).withColumnRenamed("doc_id", key)
+    found = _classes(marks, groups, counts, roots)
+    return found.withColumnsRenamed({"doc_id": number, "class_id": "class"})
 
 
 def _classes(marks: DataFrame, groups: DataFrame, counts: DataFrame, roots: DataFrame) -> DataFrame:
@@ -489,11 +515,16 @@ def _classes(marks: DataFrame, groups: DataFrame, counts: DataFrame, roots: Data
         "copies",
         F.coalesce("links", F.lit(0)).alias("links"),
     )
-    joined = marks.select("doc_id", "same").join(
-        if_small(written(facts), 100_000), F.col("same") == F.col("_same"), "left"
+    # rows without words have no digest and would meet in one task
+    wordy = marks.select("doc_id", F.col("same").alias("_same")).where("_same is not null")
+    joined = lookup_join(wordy, written(facts), ["_same"])
+    rest = marks.where("same is null").select(
+        "doc_id", *(F.lit(None).cast("long").alias(c) for c in ("root", "copies", "links"))
     )
-    return joined.groupBy("doc_id").agg(
-        F.coalesce(F.min("root"), F.col("doc_id")).alias("class_id"),
-        F.coalesce(F.max("copies"), F.lit(1)).cast("long").alias("n_copies"),
-        F.coalesce(F.max(F.col("links") + F.col("copies") - 1), F.lit(0)).cast("long").alias("n_links"),
+    joined = joined.select("doc_id", "root", "copies", "links").union(rest)
+    return joined.select(
+        "doc_id",
+        F.coalesce("root", "doc_id").alias("class_id"),
+        F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
+        F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
     )

@@ -132,13 +132,67 @@ def test_main_text(docs):
     assert html.extract(pages.limit(0)).count() == 0
 
 
-def test_near_duplicates(docs):
-    found = {r.doc_id: r for r in near_duplicates.near_duplicates(docs).collect()}
-    assert found.keys() == {1, 2, 3, 4, 5, 6, 7}
+def test_near_duplicates(docs, spark):
+    out = near_duplicates.near_duplicates(docs).collect()
+    assert len(out) == len(ROWS)
+    found = {r.doc_id: r for r in out}
     assert found[1].class_id == found[6].class_id == 1
-    assert (found[6].n_copies, found[6].n_links) == (2, 1)
+    assert (found[6].n_copies, found[6].n_links) == (3, 2)
     assert all(found[i].class_id == i and found[i].n_links == 0 for i in (2, 3, 4, 5, 7))
+    assert all(r.class_id is None and r.n_links == 0 for r in out if r.doc_id is None)
     assert near_duplicates.near_duplicates(docs.limit(0)).count() == 0
+    text = "five words and a few more"
+    rows = [(None, text), (None, text), (None, text), (None, "x"), (9, "y z"), (5, "y z"), (None, "y z")]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(
+        [(None, None, 3, 2)] * 3 + [(None, None, 1, 0), (9, 5, 3, 2), (5, 5, 3, 2), (None, 5, 3, 2)], key=str
+    )
+
+
+CLASHES = (
+    "toxicity _toxicity _dropped _before row_number gone _row _class _id n_words n_hit hit_items contaminated"
+    " own_0 own_1 text_before k0 k1 spans entity term ids decoded n_tokens class links same"
+).split()
+
+
+def stage_rows(spark):
+    """Documents with nulls in any column, repeated rows, odd texts and clashing columns."""
+    rows = [(i, t, None, None if n % 2 else f"s{n}", None if n % 3 else n) for n, (i, t) in enumerate(ROWS)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.select("*", *(F.concat(F.lit(c), F.coalesce("source", F.lit("-"))).alias(c) for c in CLASHES))
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_pipeline_stages(spark, number):
+    import corpus_pipeline
+
+    docs, sf_dir = stage_rows(spark), "/root/testdata/sf0.001"
+    name, stage = corpus_pipeline.STAGES[number]
+    assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    if name == "toxicity":  # labelled documents to learn from
+        docs = docs.withColumn("doc_id", F.col("doc_id") + 10**6)
+        taught = corpus_pipeline.table(spark, sf_dir, "documents").select("doc_id", "text")
+        docs = docs.unionByName(taught.withColumn("source", F.lit("taught")), allowMissingColumns=True)
+    out = stage(spark, docs, sf_dir)
+    if name == "toxicity":
+        out = out.where("source is null or source <> 'taught'").withColumn("doc_id", F.col("doc_id") - 10**6)
+    new = {"ids", "decoded", "n_tokens"} if name == "pieces" else set()
+    assert set(out.columns) == set(docs.columns) and (new or out.columns == docs.columns)
+    own = [c for c in CLASHES if c not in new]
+    rows = out.collect()
+    assert all(r[c] == f"{c}{r.source or '-'}" for r in rows for c in own)
+    texts = [(r.doc_id, r.text) for r in rows]
+    if name == "near_duplicates":
+        first = [row for row in ROWS if row[0] != 6]
+        assert sorted(texts, key=str) == sorted(first, key=str)
+    elif name == "personal_data":
+        clean = LONG.replace("me.x@mail.example.com", "<EMAIL>").replace("+1 (234) 555-0199", "<PHONE>")
+        assert sorted(texts, key=str) == sorted(((i, clean if i == 4 else t) for i, t in ROWS), key=str)
+        assert {r.doc_id: r.n_chars for r in rows}[4] == len(clean)
+    else:
+        assert sorted(texts, key=str) == sorted(ROWS, key=str)
+    if name == "pieces":
+        assert all((r.decoded, r.n_tokens) == ("", 0) for r in rows if not r.text)
 
 
 def test_decontamination(docs, spark):
