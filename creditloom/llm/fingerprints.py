@@ -1,16 +1,18 @@
 """Document fingerprints from closed syncmers.
 
 A run of 20 code points is an anchor if the smallest hash among its inner runs of
-8 code points is the first or the last of them; short texts have shorter runs.  The choice depends
-on the run alone, not on what surrounds it, so an unchanged passage has the same
-anchors in every text.  A fingerprint keeps the ``KEPT`` anchors with the
-smallest hashes (all of them in a short text) with their positions, and two
-fingerprints are compared by the anchors they share at one common shift.  Two texts
-whose lengths call for different sizes are both taken at the smaller one.
+8 code points is the first or the last of them.  The choice depends on the run
+alone, not on what surrounds it, so an unchanged passage has the same anchors in
+every text, and there is one among any 12 runs.  Texts of every length are taken
+alike: each code point ends a run, the first ones together with fixed marks before
+the text, and the first run is always an anchor, so that short texts have some,
+too.  A fingerprint holds all anchors with their positions; two are compared by
+the anchors they share at one common shift.
 """
 
 from __future__ import annotations
 
+from base64 import b64decode, b64encode
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creditloom.llm.text import mapped, steps, with_arrays, with_fields
+from creditloom.llm.text import STEP_BYTES, mapped, steps, with_arrays, with_fields
 
-#: Code points of an anchor and of its inner runs, from a text length on.
-SIZES = ((100, 20, 8), (8, 6, 2), (0, 1, 1))
+#: Code points of an anchor and of its inner runs.
+SIZE, INNER = 20, 8
 
-#: Anchors of a fingerprint: the sample of the union that is compared.
-KEPT = 96
+#: What stands before a text: numbers that are no code points.
+_BEFORE = np.arange(SIZE - 1, dtype=np.uint64) + np.uint64(0x110000)
 
 #: Positions may differ by this much from the common shift.
 SLACK = 16
@@ -66,96 +68,67 @@ def _smallest(values: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass
 class Fingerprint:
-    """Hashes, ascending, with the positions of the anchors in a text."""
+    """Hashes, ascending and distinct, with the positions of the anchors in a text."""
 
     hashes: np.ndarray
     places: np.ndarray
-    whole: bool = True  #: whether all anchors were kept
 
     def __str__(self) -> str:
-        pairs = (f"{h:08x}{p:x}" for h, p in zip(self.hashes.tolist(), self.places.tolist()))
-        return ("" if self.whole else "+") + ".".join(pairs)
+        """Base 64 of the hashes in order of their places, and of the steps between those."""
+        order = np.argsort(self.places)
+        steps = np.diff(self.places[order], prepend=0)
+        wide = bool(len(steps)) and int(steps.max()) > 255
+        body = self.hashes[order].astype("<u4").tobytes(), steps.astype("<u4" if wide else "u1").tobytes()
+        return ("+" if wide else "") + ".".join(b64encode(x).decode() for x in body) if len(order) else ""
 
 
-def _sizes(length: int) -> tuple[int, int]:
-    """Code points of an anchor and of its inner runs in a text of ``length``."""
-    return next((k, s) for least, k, s in SIZES if length >= least)
-
-
-def fingerprint(text: str, like: int | None = None) -> Fingerprint:
-    """Anchors of a text; an empty one has none.
-
-    They have the size that a text of ``like`` code points has, by default its own.
-    """
+def fingerprint(text: str) -> Fingerprint:
+    """Anchors of a text; an empty one has none."""
     if not text:
         return Fingerprint(np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64))
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
-    size, inner_size = _sizes(len(codes) if like is None else like)
-    inner = _run_hashes(codes, inner_size)
-    width = size - inner_size + 1
+    inner = _run_hashes(np.concatenate([_BEFORE, codes]), INNER)
+    width = SIZE - INNER + 1
     least = _smallest(inner, width)
-    places = np.flatnonzero((inner[: len(least)] == least) | (inner[width - 1 :] == least))
-    if not len(places):
-        places = np.array([0])
+    at_edge = (inner[: len(least)] == least) | (inner[width - 1 :] == least)
+    at_edge[0] = True
+    places = np.flatnonzero(at_edge)
     # the anchor's own hash: its first, middle and last inner runs cover it
     mixed = _mixed(inner[places] * _A + inner[places + (width - 1)])
-    mixed = _mixed(mixed * _A + inner[places + (size - inner_size) // 2])
+    mixed = _mixed(mixed * _A + inner[places + (SIZE - INNER) // 2])
     order = np.argsort(mixed, kind="stable")
     ordered = mixed[order]
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     before = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
-    mixed[order] = _mixed(ordered + before.astype(np.uint64) * _B)
+    mixed[order] = _mixed(ordered + before.astype(np.uint64) * _B)  # repeated anchors differ
     hashes = (mixed >> np.uint64(32)).astype(np.uint32)
     order = np.argsort(hashes, kind="stable")
-    first = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])
-    order = order[first]
-    kept = order[:KEPT]
-    return Fingerprint(hashes[kept], places[kept].astype(np.int64), len(order) <= KEPT)
+    order = order[np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])]
+    return Fingerprint(hashes[order], places[order].astype(np.int64))
 
 
 def likeness(a: Fingerprint, b: Fingerprint) -> float:
     """Share of the two texts' anchors that both have at one common shift, from 0 to 1.
 
-    That is twice the shared ones over all of either, estimated over the smallest
-    hashes of the union, which are a fair sample of it.  Equal texts give 1; two
-    empty texts too; an empty and another text give 0.  Both need anchors of one
-    size, see :func:`nearness`.
+    That is twice the shared ones over all of either.  Equal texts give 1; two
+    empty texts too; an empty and another text give 0.
     """
     if not len(a.hashes) or not len(b.hashes):
         return float(len(a.hashes) == len(b.hashes))
-    # beyond the smaller of the last kept hashes one side may have left out anchors
-    ends = [f.hashes[-1] for f in (a, b) if not f.whole]
-    end = min(ends) if ends else np.uint32(0xFFFFFFFF)
-    own, other = a.hashes <= end, b.hashes <= end
-    shared, i, j = np.intersect1d(
-        a.hashes[own], b.hashes[other], assume_unique=True, return_indices=True
-    )
-    every = int(own.sum() + other.sum())
+    shared, i, j = np.intersect1d(a.hashes, b.hashes, assume_unique=True, return_indices=True)
     if not len(shared):
         return 0.0
-    shifts = np.sort(a.places[own][i] - b.places[other][j])
+    shifts = np.sort(a.places[i] - b.places[j])
     upto = np.searchsorted(shifts, shifts + 2 * SLACK, side="right")
     agreed = int((upto - np.arange(len(shifts))).max())
-    return 2 * agreed / every
-
-
-def nearness(a: str, b: str, print_a: Fingerprint, print_b: Fingerprint) -> float:
-    """:func:`likeness` of two texts with these fingerprints, at one common anchor size."""
-    shorter = min(len(a), len(b))
-    if shorter:
-        if _sizes(len(a)) != _sizes(shorter):
-            print_a = fingerprint(a, shorter)
-        if _sizes(len(b)) != _sizes(shorter):
-            print_b = fingerprint(b, shorter)
-    return likeness(print_a, print_b)
+    return 2 * agreed / (len(a.hashes) + len(b.hashes))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
     """``docs`` with the fingerprint of ``text`` as a string.
 
-    ``+`` marks a fingerprint that holds only the smallest anchors; then
-    hash and position of each in hexadecimal.  Null counts as empty, which has
-    the empty fingerprint.  An input column called ``name`` is replaced.
+    See :func:`parse`.  Null counts as empty, which has the empty fingerprint.
+    An input column called ``name`` is replaced.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,13 +141,14 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint")
 
 def parse(value: str) -> Fingerprint:
     """The fingerprint a string stands for."""
-    whole = not value.startswith("+")
-    parts = [p for p in value.lstrip("+").split(".") if p]
-    return Fingerprint(
-        np.array([int(p[:8], 16) for p in parts], dtype=np.uint32),
-        np.array([int(p[8:], 16) for p in parts], dtype=np.int64),
-        whole,
-    )
+    if not value:
+        return fingerprint("")
+    hashes, steps_ = (b64decode(x) for x in value.lstrip("+").split("."))
+    kind = "<u4" if value.startswith("+") else "u1"
+    places = np.cumsum(np.frombuffer(steps_, kind).astype(np.int64))
+    found = np.frombuffer(hashes, "<u4").astype(np.uint32)
+    order = np.argsort(found)
+    return Fingerprint(found[order], places[order])
 
 
 # --- each document beside the next one ---------------------------------------
@@ -210,29 +184,32 @@ def beside_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     points) replaced by the first as many of the next document in ascending
     ``key`` (after the last: the first).  Texts are moved once, into ranges of
     keys; each range also gets the first document of the range after it, so that
-    all pairs are made inside tasks.  Null texts are empty.  Rows of equal key
-    are ordered by text, null keys come first; a document alone is its own next.
-    Keys are taken to be nearly unique: rows of one key share a task.  Returns
-    ``key``, ``n_chars``, ``edited_text``, both fingerprints, ``near_edited``
-    and ``near_next``; other columns are left out.
+    all pairs are made inside tasks.  Null texts are empty.  Null keys come first,
+    in an order by hashes of their texts, so they spread over ranges like others;
+    whole-number keys below -2**62 count as -2**62.  Rows of equal key are ordered
+    by text and share a task; a document alone is its own next.  Returns ``key``,
+    ``n_chars``, ``edited_text``, both fingerprints, ``near_edited`` and
+    ``near_next``; other columns are left out.
     """
+    number = F.greatest(F.col(key).cast("long"), F.lit(-(2**62)))
+    unnamed = F.pmod(F.xxhash64(F.col(text)), F.lit(2**61)) - F.lit(2**62) - F.lit(2**61)
     rows = docs.select(
         F.col(key).cast("long").alias("key"),
-        F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("place"),
+        F.coalesce(number, unnamed).alias("place"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed, firsts = key_ranges(rows, "place", RANGES * partitions)
     order = sorted(firsts)
-    before = {firsts[p]: order[i - 1] for i, p in enumerate(order)}  # the first's is the last
+    # the first document of a range goes to the range before, too; the first's is the last
+    before = [(firsts[p], order[i - 1]) for i, p in enumerate(order)]
+    starts = F.broadcast(spark.createDataFrame(before, "first long, before int"))  # a row per range
+    sent = placed.join(starts, F.col("place") == F.col("first"), "left")
     own = F.struct(F.col("part"), F.lit(False).alias("extra"))
-    targets = F.array(own)
-    if before:
-        pairs = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
-        extra = F.struct(pairs[F.col("place")].alias("part"), F.lit(True).alias("extra"))
-        is_first = F.col("place").isin([*before])
-        targets = F.when(is_first, F.array(own, extra)).otherwise(targets)
-    sent = placed.select("key", "place", "text", F.explode(targets).alias("to"))
+    extra = F.struct(F.col("before").alias("part"), F.lit(True).alias("extra"))
+    targets = F.when(F.col("before").isNotNull(), F.array(own, extra)).otherwise(F.array(own))
+    sent = sent.select("key", "place", "text", F.explode(targets).alias("to"))
     grouped = (
         sent.select("to.part", "to.extra", "key", "place", "text")
         .repartition(partitions, "part")
@@ -255,7 +232,7 @@ class _Row:
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a part in order, each with the one after it; extra rows only come second."""
     out: list[tuple] = []
-    part, held, first, closed = None, None, None, False
+    part, held, first, closed, size = None, None, None, False, 0
     for batch in steps(batches):
         columns = [batch.column(c).to_pylist() for c in ("part", "extra", "key", "text")]
         for to, extra, key, text in zip(*columns):
@@ -268,13 +245,14 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = _Row(key, text, fingerprint(text))
             if held is not None:
                 out.append(_pair(held, row))
+                size += len(held.text)
+                if size >= STEP_BYTES:
+                    yield _batch(out)
+                    out, size = [], 0
             if extra:
                 closed = True
             held = row
             first = first or row
-        if len(out) >= 500:
-            yield _batch(out)
-            out = []
     if held is not None and not closed:
         out.append(_pair(held, first))
     yield _batch(out)
@@ -290,8 +268,8 @@ def _pair(row: _Row, after: _Row) -> tuple:
         edited,
         str(row.print_),
         str(other),
-        nearness(row.text, edited, row.print_, other),
-        nearness(row.text, after.text, row.print_, after.print_),
+        likeness(row.print_, other),
+        likeness(row.print_, after.print_),
     )
 
 
