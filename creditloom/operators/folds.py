@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditloom.operators.lookup import is_small, lookup_join
-from creditloom.session import materialised
+from creditloom.operators.lookup import is_small, lookup_join, small_side
+from creditloom.session import materialised, written
 from creditloom.sources.schemas import APPLICANT, LABEL
 
 #: Text columns that are replaced by smoothed target means.
@@ -49,7 +49,7 @@ def stratified_folds(
     )
     inside = Window.partitionBy(label, "_bucket").orderBy("_order", key)
     numbered = mixed.withColumn("_number", F.row_number().over(inside))
-    placed = numbered.join(F.broadcast(starts), [label, "_bucket"])
+    placed = numbered.join(small_side(written(starts)), [label, "_bucket"])
     fold = (F.col("_start") + F.col("_number") - 1) % k
     return placed.withColumn("fold", fold.cast("int")).drop("_order", "_bucket", "_start", "_number")
 

@@ -18,6 +18,11 @@ def is_small(lookup: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> bool:
     return lookup.limit(broadcast_rows + 1).count() <= broadcast_rows
 
 
+def small_side(lookup: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The table marked for broadcast if its rows were counted to be few, else as it is."""
+    return F.broadcast(lookup) if is_small(lookup, broadcast_rows) else lookup
+
+
 def lookup_join(
     rows: DataFrame, lookup: DataFrame, on: list[str], small: bool | None = None
 ) -> DataFrame:

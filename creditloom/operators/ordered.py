@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditloom.session import materialised
+from creditloom.operators.lookup import small_side
+from creditloom.session import materialised, written
 
 #: Rows from which a key no longer goes through a single task.
 HOT_ROWS = 1_000_000
@@ -54,7 +55,7 @@ def ranked(
     hot = hot_keys(df, key, hot_rows)
     if hot is None:
         return _ranked_by_window(df, key, time, ties)
-    names = F.broadcast(hot.select(key))  # at most rows / hot_rows keys
+    names = small_side(hot.select(key))  # at most rows / hot_rows keys
     cold = _ranked_by_window(df.join(names, key, "left_anti"), key, time, ties)
     hot_total = hot.agg(F.sum("_rows")).first()[0]
     parts = min(MOST_PARTS, max(2, int(hot_total // hot_rows) + 1))
@@ -128,7 +129,7 @@ def prefix_totals(
         ),
     )
     local = placed.withColumns({name: F.sum(src).over(inside) for name, src in sums.items()})
-    joined = local.join(F.broadcast(offsets), [*keys, "_part"])
+    joined = local.join(small_side(written(offsets)), [*keys, "_part"])
     moved = joined.withColumns({name: F.col(name) + F.col(f"_shift_{name}") for name in sums})
     return moved.drop("_part", *(f"_shift_{name}" for name in sums))
 
@@ -206,7 +207,7 @@ def gap_statistics(
     hot = hot_keys(rows, key, hot_rows)
     if hot is None:
         return _gaps_by_lag(rows, key, time, names)
-    large = F.broadcast(hot.select(key))
+    large = small_side(hot.select(key))
     cold = _gaps_by_lag(rows.join(large, key, "left_anti"), key, time, names)
     merged = _gaps_by_time(rows.join(large, key, "left_semi"), key, time, names)
     return cold.unionByName(merged)
@@ -221,7 +222,7 @@ def with_gaps(df: DataFrame, key: str, time: str, hot_rows: int = HOT_ROWS) -> D
     hot = hot_keys(df, key, hot_rows)
     if hot is None:
         return _with_gaps_by_window(df, key, time)
-    names = F.broadcast(hot.select(key))  # at most rows / hot_rows keys
+    names = small_side(hot.select(key))  # at most rows / hot_rows keys
     cold = _with_gaps_by_window(df.join(names, key, "left_anti"), key, time)
     hot_total = hot.agg(F.sum("_rows")).first()[0]
     parts = min(MOST_PARTS, max(2, int(hot_total // hot_rows) + 1))
@@ -245,7 +246,7 @@ def _with_gaps_by_range(df: DataFrame, key: str, time: str, parts: int) -> DataF
     before = ends.select(
         key, "_part", F.lag("_last").over(Window.partitionBy(key).orderBy("_part")).alias("_before")
     )
-    joined = placed.join(F.broadcast(before), [key, "_part"])  # parts and keys at most
+    joined = placed.join(small_side(written(before)), [key, "_part"])  # parts and keys at most
     first = F.row_number().over(inside) == 1
     previous = F.when(first, F.col("_before")).otherwise(F.lag(time).over(inside))
     return joined.withColumn("gap", F.col(time) - previous).select(*df.columns, "gap")
