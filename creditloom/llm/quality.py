@@ -1,10 +1,10 @@
 """Quality by votes of the nearest labelled documents in a latent space.
 
-A document's terms are runs of four character shapes (capital, small letter,
-digit, blank, line end, each mark for itself; repetitions of a shape count
-once) and bands of how varied its words are.  Terms are hashed, weighted by
-log count and rarity, and projected on the leading singular vectors of the
-labelled documents.  Every document is compared with all labelled ones, block
+A document's terms are its words, runs of four character shapes (capital, small
+letter, digit, blank, line end, each mark for itself; repetitions of a shape
+count once) and bands of how varied its words are.  Words and runs are hashed,
+all terms weighted by log count and rarity, and projected on the leading singular
+vectors of the labelled documents.  Every document is compared with all labelled ones, block
 by block, and the nearest vote with their similarity as weight.
 """
 
@@ -20,13 +20,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creditloom.llm.labels import fit_rows
-from creditloom.llm.text import mapped, steps, texts_of, with_arrays, with_fields, words_of
+from creditloom.llm.text import (
+    mapped, steps, texts_of, with_arrays, with_fields, word_codes, words_of,
+)
 
 #: Most labelled documents that are fitted on and vote; bounds the broadcast.
 FIT_ROWS = 4_000
 
 BUCKETS, DIMENSIONS, NEIGHBOURS = 512, 48, 15
-BANDS = 16
+WORD_BUCKETS, BANDS = 1024, 16
+
+#: Places of a document's counts: runs of shapes, three kinds of bands, words.
+_WORDS = BUCKETS + 3 * BANDS
+WIDTH = _WORDS + WORD_BUCKETS
 
 _SHAPES = bytes(
     65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 57 if 48 <= c <= 57 else c
@@ -35,8 +41,8 @@ _SHAPES = bytes(
 
 
 def terms_of(text: bytes) -> np.ndarray:
-    """Counts of a text's hashed terms; the last places are bands of word variety and length."""
-    out = np.zeros(BUCKETS + 3 * BANDS, dtype=np.float32)
+    """Counts of a text's terms: shapes, bands of word variety and length, words."""
+    out = np.zeros(WIDTH, dtype=np.float32)
     shapes = np.frombuffer(text.translate(_SHAPES), dtype=np.uint8)
     if len(shapes) > 1:
         shapes = shapes[np.concatenate([[True], shapes[1:] != shapes[:-1]])]
@@ -55,6 +61,9 @@ def terms_of(text: bytes) -> np.ndarray:
         out[BUCKETS + min(BANDS - 1, variety)] = weight
         out[BUCKETS + BANDS + min(BANDS - 1, int(pairs / count * (BANDS - 1)))] = weight
         out[BUCKETS + 2 * BANDS + min(BANDS - 1, int(np.log2(count)))] = weight / 4
+        mixed = word_codes(words) * np.uint64(0x9E3779B97F4A7C15)
+        at = (mixed >> np.uint64(64 - 10)).astype(np.int64)
+        out[_WORDS:] = np.bincount(at, minlength=WORD_BUCKETS)
     return out
 
 
@@ -113,7 +122,6 @@ def fit(
     Counting terms is done by tasks; the counts (``most`` short rows) meet in
     the driver.  Without labelled rows every score is one half.
     """
-    width = BUCKETS + 3 * BANDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -128,7 +136,7 @@ def fit(
     found = mapped(rows, run, "order long, y double, counts binary").toArrow().sort_by("order")
     counts = np.frombuffer(b"".join(found.column("counts").to_pylist()), dtype=np.float32)
     y = found.column("y").to_numpy().astype(np.float32)
-    return learned(counts.reshape(-1, width), y)
+    return learned(counts.reshape(-1, WIDTH), y)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
