@@ -132,8 +132,8 @@ def _estimated(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = profile_all(tables).select(*keys, F.col("n_unique").alias("_exact"))
     out = profile_all(tables, exact=False).drop("dtype").join(exact, keys)
     near = F.abs(F.col("n_unique") - F.col("_exact")) <= 4 * SKETCH_ERROR * F.col("_exact")
-    kept = out.select(*keys, "n_rows", "null_pct", "min", "max", "mean")
-    return published(kept, *keys, "n_rows").join(out.select(*keys, near.alias("near")), keys)
+    kept = out.select(*keys, "n_rows", "null_pct", "min", "max", "mean", near.alias("near"))
+    return published(kept, *keys, "n_rows", "near")
 
 
 def _types(spark: SparkSession, sf_dir: str) -> DataFrame:
