@@ -260,3 +260,57 @@ def test_sample_is_the_rows_with_the_smallest_hashes(spark):
         assert sorted(map(str, got)) == sorted(map(str, ranked[:n]))
     plan = selection.sample_rows(df, 100, "k")._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrdered" not in plan and "SinglePartition" not in plan.split("Limit")[0]
+
+
+def test_numbers_are_assembled_once(train, result, monkeypatch):
+    """Later fits read the written vectors, which hold what the columns hold."""
+    names = ["EXT_SOURCE_1", "EXT_SOURCE_3", "AMT_CREDIT", "APP_AGE_YEARS"]
+    ready = training.prepared(train, 2, names, result.encoded)
+    fills = ready.fills(False)
+    for chosen in (names, names[::2]):
+        at = None if chosen == names else [0, 2]
+        one = training.model_rows(ready.rows, 1, chosen, result.encoded, fills)
+        two = training.fold_rows(ready.vectors(False), 1, at, result.encoded)
+        told = [APPLICANT, LABEL, "fold", vector_to_array("features").alias("x")]
+        assert sorted(one.select(*told).collect()) == sorted(two.select(*told).collect())
+    files = set(ready.vectors(False).inputFiles())
+    assert {f.split("/fold=")[1][0] for f in files} == {"0", "1"}
+    training.cross_validated(ready, "boosted", SMALL_TREES, scored=False)
+    monkeypatch.setattr(training, "written", None)  # nothing is assembled or written again
+    training.cross_validated(ready, "boosted", SMALL_TREES, features=names[:2], scored=False)
+
+
+def test_tasks_of_a_fit_are_bounded():
+    """A task returns the statistics of all nodes: their number follows the cores, not the rows."""
+    assert training.fit_tasks(1_000, 12, 5) == 1
+    assert training.fit_tasks(80_000, 12, 5) == 2
+    assert training.fit_tasks(800_000, 12, 5) == 8
+    assert training.fit_tasks(800_000, 12, 1) == 12
+    assert training.fold_width(787_500, 378, 5) == 5
+    assert training.fold_width(4_725_000, 378, 5) == 1
+
+
+def test_few_refits(monkeypatch):
+    """A search for rounds that never ends by itself fits a third more than its last fit."""
+    fitted = []
+
+    class Fit:
+        maxIter = "maxIter"
+
+        def __init__(self, rounds):
+            self.rounds = rounds
+
+        def getOrDefault(self, _):
+            return self.rounds
+
+        def copy(self, extra):
+            return Fit(extra["maxIter"])
+
+        def fit(self, _):
+            fitted.append(self.rounds)
+            return self.rounds
+
+    monkeypatch.setattr(training, "round_aucs", lambda model, _: [i / model for i in range(model)])
+    monkeypatch.setattr(training, "cut", lambda model, rounds: rounds)
+    assert training.fit_rounds(Fit(1000), None, None, 8)[0] == 1000
+    assert sum(fitted) < 1.4 * 1000
