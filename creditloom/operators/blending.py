@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditloom.operators.metrics import NEGATIVES, POSITIVES, auc_of_counts, rated
+from creditloom.operators.ordered import MOST_PARTS
 from creditloom.session import materialised
 from creditloom.sources.schemas import LABEL
 
@@ -21,6 +22,8 @@ from creditloom.sources.schemas import LABEL
 FIRST_LEVELS, MOST_LEVELS = 1024, 1 << 18
 #: Counts that a task keeps per class in later passes (16 MB).
 CELLS = 1 << 21
+#: Scores of all combinations that a task of the exact ranking merges.
+TASK_SCORES = 2_000_000
 #: Bounding passes at most, and open combinations that are ranked without a further one.
 PASSES, FEW_OPEN = 4, 4
 
@@ -112,8 +115,14 @@ def _in_tasks(
 def grid_auc(df: DataFrame, scores: list[str], grid: Grid, label: str = LABEL) -> DataFrame:
     """Exact AUC of every weight combination: ``position`` in the grid, ``auc``.
 
-    Tasks merge the equal scores of a batch before anything is shuffled.
+    Tasks merge the equal scores of a batch before anything is shuffled; equal scores
+    meet in as many tasks as the counted rows and combinations need.  Merging before
+    the shuffle too would have one task keep the scores of all its rows.
     """
+    parts = min(MOST_PARTS, -(-df.count() * len(grid) // TASK_SCORES))
+    if parts > 1:  # few columns: what is moved is small beside the scores
+        df = df.select(label, *scores).repartition(parts)
+
     def gather(batches: Iterator[Blends]) -> Iterator[dict[str, np.ndarray]]:
         for position, blend, positive in chain.from_iterable(batches):
             value, at = np.unique(blend, return_inverse=True)
@@ -126,6 +135,8 @@ def grid_auc(df: DataFrame, scores: list[str], grid: Grid, label: str = LABEL) -
 
     schema = f"position int, _score double, {POSITIVES} long, {NEGATIVES} long"
     cells = _in_tasks(df, scores, grid, label, schema, gather)
+    if parts > 1:
+        cells = cells.repartition(parts, "position", "_score")
     counts = cells.groupBy("position", "_score").agg(
         F.sum(POSITIVES).alias(POSITIVES), F.sum(NEGATIVES).alias(NEGATIVES)
     )

@@ -275,3 +275,24 @@ def test_estimated_profile(spark):
         assert r["mean"] == pytest.approx(want["mean"])
     plan = pr.estimated_profile(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange SinglePartition") == 1 and "Generate" in plan and "hashpartitioning" not in plan
+
+
+def test_grid_ranking_spreads_its_scores(spark, monkeypatch):
+    """Equal scores meet in as many tasks as rows times combinations need, with the same AUCs."""
+    from creditloom.operators import blending
+
+    rows = [(i, i * 7 % 3 == 0, (i * 37 % 101) / 101, (i * 53 % 97) / 97) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, y boolean, a double, b double")
+    df = df.withColumn("y", F.col("y").cast("int")).coalesce(1)
+    grid = [(0.3, 0.7), (0.5, 0.5), (0.6, 0.4)]
+    want = {r["position"]: r["auc"] for r in blending.grid_auc(df, ["a", "b"], grid, "y").collect()}
+    seen, real = [], blending.auc_of_counts
+
+    def counted(counts, *args):
+        seen.append(counts.rdd.getNumPartitions())
+        return real(counts, *args)
+
+    monkeypatch.setattr(blending, "auc_of_counts", counted)
+    monkeypatch.setattr(blending, "TASK_SCORES", 100)
+    got = {r["position"]: r["auc"] for r in blending.grid_auc(df, ["a", "b"], grid, "y").collect()}
+    assert seen == [12] and got == want
