@@ -17,9 +17,9 @@ def engineered(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.startswith(tuple(PREFIXES))]
 
 
-def _by_applicant(build):
+def _by_applicant(build, shared: bool = False):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return published(build(Inputs(spark, sf_dir)), APPLICANT)
+        return published(build(Inputs(spark, sf_dir, shared)), APPLICANT)
 
     return query
 
@@ -48,7 +48,7 @@ def _pipeline(part: str):
     """From table files to the two written feature tables, of which one is returned."""
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder = scratch_dir(spark)
-        for name, table in Inputs(spark, sf_dir).all().items():
+        for name, table in Inputs(spark, sf_dir, shared=True).all().items():
             write_parquet(table, f"{folder}/data/{name}.parquet")
         train, test = build_feature_tables(spark, f"{folder}/data", f"{folder}/features")
         out = train if part == "train" else test
@@ -68,7 +68,7 @@ QUERIES = {
         lambda t: history.previous_features(t["previous_application"])
     ),
     "installment_features": _by_applicant(
-        lambda t: history.instalment_features(t["installments_payments"])
+        lambda t: history.instalment_features(t["installments_payments"]), shared=True
     ),
     "pos_features": _by_applicant(lambda t: history.pos_features(t["POS_CASH_balance"])),
     "card_features": _by_applicant(lambda t: history.card_features(t["credit_card_balance"])),
@@ -77,7 +77,7 @@ QUERIES = {
             t["installments_payments"], t["credit_card_balance"], t["POS_CASH_balance"]
         )
     ),
-    "h2_trajectory": _by_applicant(lambda t: hyp.h2_trajectory(*_five(t))),
+    "h2_trajectory": _by_applicant(lambda t: hyp.h2_trajectory(*_five(t)), shared=True),
     "h3_recency": _by_applicant(lambda t: hyp.h3_recency(*_five(t))),
     "h4_untapped": _by_applicant(
         lambda t: hyp.h4_untapped(t["bureau"], t["previous_application"])
@@ -86,15 +86,16 @@ QUERIES = {
     "h6_velocity": _by_applicant(
         lambda t: hyp.h6_velocity(t["previous_application"], t["bureau"])
     ),
-    "experimental_all": _by_applicant(lambda t: hyp.experimental_all(t.all())),
-    "experimental_winning": _by_applicant(lambda t: hyp.experimental_winning(t.all())),
+    "experimental_all": _by_applicant(lambda t: hyp.experimental_all(t.all()), shared=True),
+    "experimental_winning": _by_applicant(lambda t: hyp.experimental_winning(t.all()), shared=True),
     "cross_features": _by_applicant(
         lambda t: (w := _wide(t, "train")).select(
             APPLICANT, *(c for c in w.columns if c.startswith("CROSS_"))
-        )
+        ),
+        shared=True,
     ),
-    "feature_table_train": _by_applicant(lambda t: _wide(t, "train")),
-    "feature_table_test": _by_applicant(lambda t: _wide(t, "test")),
+    "feature_table_train": _by_applicant(lambda t: _wide(t, "train"), shared=True),
+    "feature_table_test": _by_applicant(lambda t: _wide(t, "test"), shared=True),
     "feature_pipeline": _pipeline("train"),
     "feature_pipeline_test": _pipeline("test"),
 }

@@ -34,11 +34,11 @@ def over(table: str, *keys: str):
     return wrap
 
 
-def across(*keys: str):
+def across(*keys: str, shared: bool = False):
     """The same over several tables."""
     def wrap(build):
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return published(build(Inputs(spark, sf_dir)), *keys)
+            return published(build(Inputs(spark, sf_dir, shared)), *keys)
 
         return query
 
@@ -121,7 +121,7 @@ def numeric_feature_columns_(df: DataFrame) -> DataFrame:
     return _filled_counts(df, numeric_feature_columns(df))
 
 
-@across("hypothesis", "column")
+@across("hypothesis", "column", shared=True)
 def hypothesis_columns(t: Inputs) -> DataFrame:
     wide = hyp.experimental_all(t.all())
     names = [

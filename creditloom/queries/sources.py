@@ -155,7 +155,7 @@ def _value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _experimental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return experimental_winning(Inputs(spark, sf_dir).all())
+    return experimental_winning(Inputs(spark, sf_dir, shared=True).all())
 
 
 def _null_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,3 +221,29 @@ def test_feature_tables_are_rebuilt_for_changed_inputs_only(spark, inputs, tmp_p
     assert sorted(built[14:]) == ["features_card", "features_card_halves", "test_final", "train_final"]
     plan = again._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_lines_are_joined_once(spark):
+    """Shared inputs hold the same rows, and no reader joins the lines again."""
+    from creditloom.queries.common import Inputs
+
+    own, shared = Inputs(spark, SMALL), Inputs(spark, SMALL, shared=True)
+    for name in ("installments_payments", "POS_CASH_balance", "credit_card_balance"):
+        assert "Join" not in shared[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert shared[name].exceptAll(own[name]).count() == own[name].exceptAll(shared[name]).count() == 0
+
+
+def test_only_rows_of_the_applicants_are_grouped(spark, inputs):
+    from creditloom.plans.feature_table import of_applicants
+
+    app = inputs["application_test"]
+    tables = inputs.all()
+    chosen = of_applicants(tables, app)
+    for name in ("bureau", "installments_payments", "POS_CASH_balance"):
+        assert 0 < chosen[name].count() == tables[name].where("SK_ID_CURR % 8 = 7").count()
+        assert chosen[name].where("SK_ID_CURR % 8 <> 7").count() == 0
+    assert chosen["bureau_balance"] is tables["bureau_balance"]
+    assert of_applicants(tables, app, most=3) is tables
