@@ -314,3 +314,31 @@ def test_few_refits(monkeypatch):
     monkeypatch.setattr(training, "cut", lambda model, rounds: rounds)
     assert training.fit_rounds(Fit(1000), None, None, 8)[0] == 1000
     assert sum(fitted) < 1.4 * 1000
+
+
+def test_one_fit_for_an_early_best_round(monkeypatch):
+    """Patience that ends soon after twice its length does not cost a second fit."""
+    fitted = []
+
+    class Fit:
+        maxIter = "maxIter"
+
+        def __init__(self, rounds):
+            self.rounds = rounds
+
+        def getOrDefault(self, _):
+            return self.rounds
+
+        def copy(self, extra):
+            return Fit(extra["maxIter"])
+
+        def fit(self, _):
+            fitted.append(self.rounds)
+            return self.rounds
+
+    monkeypatch.setattr(training, "round_aucs", lambda model, _: [-abs(i - 11) for i in range(model)])
+    monkeypatch.setattr(training, "cut", lambda model, rounds: rounds)
+    assert training.fit_rounds(Fit(1000), None, None, 8)[0] == 12
+    assert len(fitted) == 1
+    assert training.fit_lengths(1000, 8) == [24, 82, 286, 1000]
+    assert training.fit_lengths(1, 1) == [1] and training.fit_lengths(3, 50) == [3]
