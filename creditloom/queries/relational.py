@@ -20,6 +20,7 @@ from creditloom.plans.feature_table import (
     ensure_columns, feature_columns, numeric_feature_columns,
 )
 from creditloom.queries.common import Inputs, published
+from creditloom.sources.mapped import NOT_EXPLORED
 from creditloom.sources.schemas import APPLICANT, CREDIT, LABEL, LOAN
 
 
@@ -34,11 +35,11 @@ def over(table: str, *keys: str):
     return wrap
 
 
-def across(*keys: str, shared: bool = False):
+def across(*keys: str, shared: bool = False, **form):
     """The same over several tables."""
     def wrap(build):
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return published(build(Inputs(spark, sf_dir, shared)), *keys)
+            return published(build(Inputs(spark, sf_dir, shared, **form)), *keys)
 
         return query
 
@@ -121,7 +122,7 @@ def numeric_feature_columns_(df: DataFrame) -> DataFrame:
     return _filled_counts(df, numeric_feature_columns(df))
 
 
-@across("hypothesis", "column", shared=True)
+@across("hypothesis", "column", shared=True, without=NOT_EXPLORED)
 def hypothesis_columns(t: Inputs) -> DataFrame:
     wide = hyp.experimental_all(t.all())
     names = [

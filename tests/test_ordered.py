@@ -142,3 +142,13 @@ def test_prefix_totals(spark):
         for _, s, n in sorted(r for r in rows if r[0] == g):
             run += n
             assert seen[s, n] == run
+
+
+def test_no_key_has_more_rows_than_told(frame, monkeypatch):
+    """A bound above the limit leads to the exact count; below it no key is counted by itself."""
+    most = frame.where("k is not null").groupBy("k").count().agg({"count": "max"}).first()[0]
+    assert o.most_rows(frame, "k") >= most
+    monkeypatch.setattr(o, "BUCKETS", 1)
+    assert o.most_rows(frame, "k") == frame.where("k is not null").count()
+    assert o.hot_keys(frame, "k", most + 1) is None
+    assert [r["_rows"] for r in o.hot_keys(frame, "k", most).collect()] == [most]
