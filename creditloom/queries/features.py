@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from creditloom.plans import application, bureau, history
 from creditloom.plans import hypotheses as hyp
-from creditloom.plans.feature_table import PREFIXES, build_feature_tables, feature_table
+from creditloom.plans.feature_table import CROSSED, PREFIXES, build_feature_tables, feature_table
 from creditloom.queries.common import Inputs, published
 from creditloom.session import scratch_dir
+from creditloom.sources.mapped import NOT_EXPLORED
 from creditloom.sources.schemas import APPLICANT, CREDIT, LABEL
 from creditloom.sources.tables import write_parquet
 
@@ -17,9 +18,9 @@ def engineered(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.startswith(tuple(PREFIXES))]
 
 
-def _by_applicant(build, shared: bool = False):
+def _by_applicant(build, shared: bool = False, **form):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return published(build(Inputs(spark, sf_dir, shared)), APPLICANT)
+        return published(build(Inputs(spark, sf_dir, shared, **form)), APPLICANT)
 
     return query
 
@@ -33,8 +34,8 @@ def _balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return published(bureau.balance_features(Inputs(spark, sf_dir)["bureau_balance"]), CREDIT)
 
 
-def _wide(t: Inputs, part: str) -> DataFrame:
-    out = feature_table(t[f"application_{part}"], t.all())
+def _wide(t: Inputs, part: str, only: tuple[str, ...] | None = None) -> DataFrame:
+    out = feature_table(t[f"application_{part}"], t.all(), only)
     label = [LABEL] if LABEL in out.columns else []
     return out.select(APPLICANT, *label, *engineered(out), "DAYS_EMPLOYED")
 
@@ -48,7 +49,7 @@ def _pipeline(part: str):
     """From table files to the two written feature tables, of which one is returned."""
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder = scratch_dir(spark)
-        for name, table in Inputs(spark, sf_dir, shared=True).all().items():
+        for name, table in Inputs(spark, sf_dir, shared=True, dealt=False).all().items():
             write_parquet(table, f"{folder}/data/{name}.parquet")
         train, test = build_feature_tables(spark, f"{folder}/data", f"{folder}/features")
         out = train if part == "train" else test
@@ -86,13 +87,17 @@ QUERIES = {
     "h6_velocity": _by_applicant(
         lambda t: hyp.h6_velocity(t["previous_application"], t["bureau"])
     ),
-    "experimental_all": _by_applicant(lambda t: hyp.experimental_all(t.all()), shared=True),
-    "experimental_winning": _by_applicant(lambda t: hyp.experimental_winning(t.all()), shared=True),
+    "experimental_all": _by_applicant(
+        lambda t: hyp.experimental_all(t.all()), shared=True, without=NOT_EXPLORED
+    ),
+    "experimental_winning": _by_applicant(
+        lambda t: hyp.experimental_winning(t.all()), shared=True, without=NOT_EXPLORED
+    ),
     "cross_features": _by_applicant(
-        lambda t: (w := _wide(t, "train")).select(
+        lambda t: (w := _wide(t, "train", CROSSED)).select(
             APPLICANT, *(c for c in w.columns if c.startswith("CROSS_"))
         ),
-        shared=True,
+        shared=True, dealt=False,
     ),
     "feature_table_train": _by_applicant(lambda t: _wide(t, "train"), shared=True),
     "feature_table_test": _by_applicant(lambda t: _wide(t, "test"), shared=True),

@@ -247,3 +247,63 @@ def test_only_rows_of_the_applicants_are_grouped(spark, inputs):
         assert chosen[name].where("SK_ID_CURR % 8 <> 7").count() == 0
     assert chosen["bureau_balance"] is tables["bureau_balance"]
     assert of_applicants(tables, app, most=3) is tables
+
+
+def _moves(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_lines_are_dealt_out_by_applicant_once(spark, inputs):
+    """Groupings and windows by applicant need no exchange; no line is lost or changed."""
+    from conftest import SMALL
+
+    from creditloom.queries.common import Inputs
+    from creditloom.sources import mapped
+
+    shared, name = Inputs(spark, SMALL, shared=True), "installments_payments"
+    halves = hyp.h2_instalments(shared[name])
+    for built in (history.instalment_features(shared[name]), halves, hyp.h1_instalments(shared[name])):
+        assert _moves(built) == 0
+    for table in (name, "POS_CASH_balance", "credit_card_balance"):
+        assert shared[table].exceptAll(inputs[table]).count() == 0
+        assert shared[table].count() == inputs[table].count()
+    # an applicant with very many lines is not given to one task
+    loose = mapped.mapped_table(spark, SMALL, name, mapped.written_detail(spark, SMALL, hot_rows=50))
+    assert loose.exceptAll(inputs[name]).count() == 0 and loose.count() == inputs[name].count()
+    assert _moves(hyp.h1_instalments(loose)) > 0
+
+
+def test_left_out_lines_take_only_columns_that_need_them(spark, inputs):
+    from conftest import SMALL
+
+    from creditloom.queries.common import Inputs
+    from creditloom.sources.mapped import NOT_EXPLORED
+
+    slim = Inputs(spark, SMALL, shared=True, without=NOT_EXPLORED)
+    lost = {"CNT_INSTALMENT", "CNT_INSTALMENT_FUTURE", "NAME_CONTRACT_STATUS"}
+    for table in ("installments_payments", "POS_CASH_balance", "credit_card_balance"):
+        kept = [c for c in inputs[table].columns if table == "installments_payments" or c not in lost]
+        assert slim[table].columns == kept
+        assert slim[table].exceptAll(inputs[table].select(kept)).count() == 0
+
+
+def test_balances_move_once_a_join_if_no_applicant_has_very_many(inputs):
+    """Only large applicants' equal months are counted first, which takes a grouping of all cells."""
+    plan = hyp.h2_balances(inputs["bureau_balance"], inputs["bureau"])._jdf.queryExecution()
+    assert "partial_count" not in plan.executedPlan().toString()
+    large = hyp.h2_balances(inputs["bureau_balance"], inputs["bureau"], hot_rows=15)._jdf.queryExecution()
+    assert "partial_count" in large.executedPlan().toString()
+
+
+def test_interactions_need_five_supplements_only(train_wide, inputs):
+    from creditloom.plans.feature_table import CROSSED
+
+    some = feature_table(inputs["application_train"], inputs.all(), CROSSED)
+    names = [APPLICANT, *(c for c in train_wide.columns if c.startswith("CROSS_"))]
+    assert [c for c in some.columns if c.startswith("CROSS_")] == names[1:]
+
+    def rounded(df):
+        shape = (F.round(c, 9).alias(c) if c != APPLICANT else F.col(c) for c in names)
+        return sorted(map(str, df.select(*shape).collect()))
+
+    assert rounded(some) == rounded(train_wide)
