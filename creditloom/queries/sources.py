@@ -22,6 +22,7 @@ from creditloom.plans.hypotheses import experimental_winning
 from creditloom.queries.common import Inputs, published, with_scores
 from creditloom.session import scratch_dir
 from creditloom.sources import tables as io
+from creditloom.sources.mapped import NOT_EXPLORED
 from creditloom.sources.schemas import APPLICANT, CREDIT, LOAN, TABLES
 
 _BUREAU_TEXT = ("CREDIT_ACTIVE", "CREDIT_TYPE", "AMT_ANNUITY")
@@ -155,7 +156,7 @@ def _value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _experimental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return experimental_winning(Inputs(spark, sf_dir, shared=True).all())
+    return experimental_winning(Inputs(spark, sf_dir, shared=True, without=NOT_EXPLORED).all())
 
 
 def _null_report(spark: SparkSession, sf_dir: str) -> DataFrame:
