@@ -342,3 +342,19 @@ def test_one_fit_for_an_early_best_round(monkeypatch):
     assert len(fitted) == 1
     assert training.fit_lengths(1000, 8) == [24, 82, 286, 1000]
     assert training.fit_lengths(1, 1) == [1] and training.fit_lengths(3, 50) == [3]
+
+
+def test_trials_read_one_copy_of_the_rows(train, monkeypatch):
+    """Vectors without encodings are kept once for all trials and folds, with the same AUCs."""
+    names = ["EXT_SOURCE_1", "EXT_SOURCE_3", "AMT_CREDIT"]
+    ready = training.prepared(train, 2, names, [])
+    params = {**training.learner_params(training.draw_trial(0)), "maxIter": 1}
+    want = training.cross_validated(ready, "boosted", params, patience=1, scored=False).fold_auc
+
+    kind, kept = type(train), []
+    real = kind.persist
+    monkeypatch.setattr(kind, "persist", lambda df, *level: kept.append(df) or real(df, *level))
+    options = dict(n_trials=2, n_folds=2, features=names, rounds=1, patience=1)
+    trials = training.random_search(train, **options)[1].orderBy("trial").collect()
+    assert len(kept) == 1 and not kept[0].is_cached
+    assert len(trials) == 2 and trials[0]["auc"] == pytest.approx(np.mean(want), abs=1e-12)
