@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from creditloom.plans import application, bureau, history
 from creditloom.plans import hypotheses as hyp
-from creditloom.plans.feature_table import CROSSED, PREFIXES, build_feature_tables, feature_table
+from creditloom.plans.feature_table import (
+    CROSSED, PARTS, PREFIXES, build_feature_tables, feature_table,
+)
 from creditloom.queries.common import Inputs, published
-from creditloom.session import scratch_dir
+from creditloom.session import in_threads, scratch_dir
 from creditloom.sources.mapped import NOT_EXPLORED
 from creditloom.sources.schemas import APPLICANT, CREDIT, LABEL
 from creditloom.sources.tables import write_parquet
@@ -49,8 +51,11 @@ def _pipeline(part: str):
     """From table files to the two written feature tables, of which one is returned."""
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder = scratch_dir(spark)
-        for name, table in Inputs(spark, sf_dir, shared=True, dealt=False).all().items():
-            write_parquet(table, f"{folder}/data/{name}.parquet")
+        tables = Inputs(spark, sf_dir, shared=True, dealt=False).all()
+        in_threads(spark, [
+            lambda n=n, table=table: write_parquet(table, f"{folder}/data/{n}.parquet")
+            for n, table in tables.items()
+        ], PARTS)
         train, test = build_feature_tables(spark, f"{folder}/data", f"{folder}/features")
         out = train if part == "train" else test
         label = [LABEL] if part == "train" else []

@@ -223,6 +223,32 @@ def test_feature_tables_are_rebuilt_for_changed_inputs_only(spark, inputs, tmp_p
     assert "Exchange" not in plan
 
 
+def test_parts_are_built_side_by_side(spark, inputs, tmp_path, monkeypatch):
+    import threading
+    import time
+
+    from creditloom.plans import feature_table as ft
+
+    for name, table in inputs.all().items():
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    lock, active, most = threading.Lock(), set(), []
+
+    def built(spark, name, build, *_):
+        with lock:
+            active.add(name)
+            most.append(len(active))
+        time.sleep(0.3)
+        frame = build()
+        with lock:
+            active.remove(name)
+        return frame
+
+    monkeypatch.setattr(ft, "bucketed_cache", built)
+    train, test = ft.build_feature_tables(spark, str(tmp_path), f"{tmp_path}/out", buckets=2)
+    assert len(most) == 14 and 2 <= max(most) <= ft.PARTS
+    assert LABEL in train.columns and LABEL not in test.columns
+
+
 SMALL = "/root/testdata/sf0.001"
 
 
