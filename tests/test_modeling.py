@@ -358,3 +358,104 @@ def test_trials_read_one_copy_of_the_rows(train, monkeypatch):
     trials = training.random_search(train, **options)[1].orderBy("trial").collect()
     assert len(kept) == 1 and not kept[0].is_cached
     assert len(trials) == 2 and trials[0]["auc"] == pytest.approx(np.mean(want), abs=1e-12)
+
+
+def test_trees_are_those_of_spark(spark):
+    """Without draws the fitted trees equal Spark's, node by node, whatever the weight of a class."""
+    from creditloom.modeling import boosting, trees
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 7, (400, 5)).astype(float) / 2
+    label = ((x[:, 0] + x[:, 2] * x[:, 1] / 3 + rng.normal(0, 0.8, 400)) > 2.5).astype(int)
+    rows = [(i, int(y), i % 2, *map(float, v)) for i, (y, v) in enumerate(zip(label, x))]
+    names = [f"f{i}" for i in range(5)]
+    table = spark.createDataFrame(rows, [APPLICANT, LABEL, "fold", *names]).repartition(3)
+    ready = training.Prepared(table, 2, names, [])
+    exact = {
+        "maxIter": 4, "maxDepth": 3, "stepSize": 0.2, "minInstancesPerNode": 25,
+        "subsamplingRate": 1.0, "featureSubsetStrategy": "all",
+    }
+    for positive in (None, 2.5):
+        own = exact if positive is None else {**exact, "positive": positive}
+        got = training.cross_validated(ready, "boosted", own, patience=4)
+        vectors = training._weighted(ready.vectors(False), positive)
+        for k, model in enumerate(got.models):
+            rows = training.fold_rows(vectors, k, None, []).where(F.col("fold") != k)
+            want = training.GBTClassifier(labelCol=LABEL, weightCol="weight", seed=42, **exact).fit(rows)
+            kept = model.getNumTrees
+            assert len(got.round_auc[k]) == 4 and kept == training.best_round(got.round_auc[k], 4)[0]
+            told = [
+                sorted(map(tuple, trees.node_table(m, spark).where(F.col("tree") < kept).collect()))
+                for m in (model, want)
+            ]
+            for a, b in zip(*told, strict=True):
+                assert [v is None for v in a] == [v is None for v in b]
+                assert [v for v in a if v is not None] == pytest.approx([v for v in b if v is not None], abs=1e-9)
+    assert boosting.drawn_features("0.8", 378) == 303 and boosting.drawn_features("sqrt", 10) == 4
+
+
+def test_every_round_is_fitted_once(train, monkeypatch):
+    """The boosted learner waits for its patience without a second fit, with files in any order."""
+    monkeypatch.setattr(training, "fit_rounds", None)
+    names = ["EXT_SOURCE_1", "EXT_SOURCE_3", "AMT_CREDIT", "APP_AGE_YEARS"]
+    params = {**SMALL_TREES, "maxIter": 40}
+    one, two = (
+        training.cross_validated(training.prepared(rows, 2, names), "boosted", params, patience=5)
+        for rows in (train, train.repartition(7))
+    )
+    assert one.round_auc == two.round_auc
+    for aucs, model in zip(one.round_auc, one.models):
+        best, ended = training.best_round(aucs, 5)
+        assert model.getNumTrees == best and len(aucs) == (best + 5 if ended else 40)
+
+
+def test_bins_have_equal_shares():
+    from creditloom.modeling import boosting
+
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.normal(size=40_000), np.full(3_000, -9.0)])
+    rng.shuffle(values)
+    ones = np.ones(10_000, np.int64)
+    parts = [boosting.summary(p, ones[: len(p)]) for p in np.array_split(values, 5)]
+    merged = boosting.summary(*(np.concatenate(c) for c in zip(*parts)))
+    assert merged[1].sum() == len(values) and len(merged[0]) <= boosting.SUMMARY
+    bounds = boosting.thresholds(*merged)
+    sizes = np.bincount(np.searchsorted(bounds, values), minlength=32) / len(values)
+    assert len(bounds) == 31 and sizes[0] == 3_000 / len(values) and max(sizes[1:]) < 1.5 / 32
+    assert boosting.thresholds(np.array([0.0, 1.0, 4.0]), np.array([1, 9_999, 1])) == [0.5, 2.5]
+
+
+def test_sums_of_nodes_are_exact():
+    """Single features, pairs and pieces of rows give the same sums as one feature at a time."""
+    from creditloom.modeling import boosting
+
+    rng = np.random.default_rng(9)
+    n = boosting.PIECE + 5_000
+    x = rng.integers(0, 32, (5, n)).astype(np.uint16)
+    pairs = np.stack([x[0] << 5 | x[1], x[2] << 5 | x[3], x[4] << 5])
+    residual = rng.integers(-(1 << 19) + 1, 1 << 19, n)
+    for slots in (1, 3, 40):
+        slot = rng.integers(0, slots, n)
+        got = boosting.Rows(pairs, 5).sums(np.arange(n), slot, residual + boosting.COUNT, slots)
+        for f in range(5):
+            want = np.zeros((2, slots, 32))
+            np.add.at(want[0], (slot, x[f]), 1)
+            np.add.at(want[1], (slot, x[f]), residual)
+            assert (got[0][:, f] == want[0]).all() and (got[1][:, f] == want[1]).all()
+
+
+def test_registered_fits_run_the_learners_defaults(monkeypatch):
+    """The queries name neither fewer rounds nor less patience than the operators have."""
+    from creditloom.queries import models
+
+    asked = {}
+    monkeypatch.setattr(models, "_kept", {})
+    monkeypatch.setattr(models, "_ready", lambda *_: "ready")
+    monkeypatch.setattr(training, "cross_validated", lambda *a, **k: asked.update(fit=k))
+
+    class Session:
+        class sparkContext:
+            applicationId, defaultParallelism = "none", 8
+
+    models._fitted(Session, "nowhere", "boosted")
+    assert asked["fit"].get("patience", training.PATIENCE) == training.PATIENCE == 50
