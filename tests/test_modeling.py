@@ -459,3 +459,17 @@ def test_registered_fits_run_the_learners_defaults(monkeypatch):
 
     models._fitted(Session, "nowhere", "boosted")
     assert asked["fit"].get("patience", training.PATIENCE) == training.PATIENCE == 50
+
+    class Asked(Exception):
+        pass
+
+    def search(*_, **settings):
+        asked.update(search=settings)
+        raise Asked
+
+    monkeypatch.setattr(models, "_wide", lambda *_: "wide")
+    monkeypatch.setattr(training, "random_search", search)
+    with pytest.raises(Asked):
+        models._search(Session, "nowhere")
+    assert asked["search"]["rounds"] == 1500 and asked["search"].get("n_trials", 30) == 30
+    assert asked["search"].get("patience", training.PATIENCE) == training.PATIENCE
